@@ -54,7 +54,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def lookup(df: DataFrame) -> DataFrame:
     """Mark a checkpointed table for broadcast if it is small, else leave the join to the planner."""
-    return F.broadcast(df) if len(df.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def ascii_lower(c: Column) -> Column:

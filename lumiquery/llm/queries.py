@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan
+from . import common, license_scan, mixing, quality_rules, secret_scan, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,63 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Host, path and verdict of the rules that the pages are judged by.
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    rules = spark.createDataFrame(list(URL_RULES), url_filter.RULE_SCHEMA)
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and verdict of every document."""
+    return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and how many look live or copied."""
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"].isin([k.name for k in secret_scan.BASE_KINDS]))
+    return found.select(
+        "doc_id",
+        n("assign").alias("n_assign"),
+        n("access").alias("n_access"),
+        n("hex").alias("n_hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+        "n_live",
+        "n_copied",
+    )
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    path = common.scratch_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator of this subpackage."""
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_url_filter": op2_url_filter,
+        "op4_quality_rules": op4_quality_rules,
+        "op6_secret_scan": op6_secret_scan,
+        "op8_mixing": op8_mixing,
+        "op9_warc": op9_warc,
     }
