@@ -8,7 +8,7 @@ counts, checkpointed, from which the references (one row a listed language, and
 all others) and then the distances are made.
 
 Edge cases: a null text has no words; a null or unlisted language is held against the
-reference of all languages; a reference without any text gives no distance, and only the base rule
+characters of all languages, and has no common words to compare; a reference without any text gives no distance, and only the base rule
 counts; repeated rows are each answered; an empty table gives an empty result. Repeated
 three-word windows are found by 64-bit hashes of the words.
 """
@@ -32,38 +32,59 @@ CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "wide": "[^\
 SYMBOLS = "[#*$%&|<>]"
 
 MIN_CHARS, MIN_WORDS = 200, 40
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.25
+
+
+def words(text: Column) -> Column:
+    """The words of a text: white space other than blanks is turned into blanks, for Spark's fast split."""
+    return F.array_remove(F.split(F.regexp_replace(text, "[\\x09-\\x0D]", " "), " "), "")
+
+
+def _windows() -> Column:
+    """64-bit hashes of all three-word windows, from ``_words``, by their first word."""
+    one = F.col("_hashes")
+    two = F.zip_with(F.slice(one, F.lit(1), F.size(one) - 1), F.slice(one, F.lit(2), F.size(one) - 1), lambda a, b: F.xxhash64(a, b))
+    return F.when(F.size(one) >= 3, F.zip_with(F.slice(two, F.lit(1), F.size(one) - 2), F.slice(one, F.lit(3), F.size(one) - 2), lambda a, b: F.xxhash64(a, b)))
 
 
 def _repeat_words() -> Column:
     """Words covered by a three-word window that occurs twice or more; ``_sorted`` has (hash, position)."""
     s = F.col("_sorted")
     twice = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.coalesce(F.get(s, k + 1)["h"] == x["h"], F.lit(False))))
-    at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+    at = F.sort_array(F.transform(twice, lambda x: x["i"]))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda a, p: F.struct((p + 3).alias("end"), (a["n"] + p + 3 - F.greatest(p, a["end"])).alias("n"))
     return F.aggregate(at, zero, step, lambda a: a["n"]).cast("long")
 
 
 def document_stats(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document: counts of the base rules, character classes and common words."""
+    """Per document: counts of the base rules, character classes and its language's common words."""
     listed = list(COMMON_WORDS)
     d = docs.select(F.col(id_col), F.when(F.col("lang").isin(listed), F.col("lang")).otherwise(F.lit("")).alias("_lang"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
-    d = d.withColumn("_words", F.array_remove(F.split("_text", common.SPACE_RE), ""))
+    d = d.withColumn("_words", words(F.col("_text")))
     d = d.withColumns({
         "n_words": F.size("_words").cast("long"),
         "_joined": F.array_join("_words", ""),
-        "_padded": F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" "))),
+        "_padded": F.when(F.col("_lang") != "", F.lower(F.concat(F.lit(" "), F.array_join("_words", "  "), F.lit(" ")))),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-        "_sorted": F.when(F.size("_words") >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))))),
+        "_hashes": F.transform("_words", lambda w: F.xxhash64(w)),
     })
+    d = d.withColumn("_windows", _windows())
+    # most texts repeat no window; only the others are sorted
+    d = d.withColumn("_sorted", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     left, rest = "_joined", {}
     for name, pattern in CLASSES.items():
         d = d.withColumn(f"_after_{name}", F.regexp_replace(left, pattern, ""))
         rest[f"c_{name}"] = (F.length(left) - F.length(f"_after_{name}")).cast("long")
         left = f"_after_{name}"
-    words = sorted({w for ws in COMMON_WORDS.values() for w in ws})
-    hits = {f"w_{w}": ((F.octet_length("_padded") - F.octet_length(F.replace(F.col("_padded"), F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("long") for w in words}
+    hits = {}
+    for k in range(max(map(len, COMMON_WORDS.values()))):
+        hit = F.lit(0)
+        for lang, listed_words in COMMON_WORDS.items():
+            if k < len(listed_words):
+                w = listed_words[k]
+                hit = F.when(F.col("_lang") == lang, ((F.octet_length("_padded") - F.octet_length(F.replace(F.col("_padded"), F.lit(f" {w} "), F.lit("")))) / (len(w.encode()) + 2)).cast("int")).otherwise(hit)
+        hits[f"w_{k}"] = hit.cast("long")
     return d.select(
         id_col,
         "_lang",
@@ -113,7 +134,7 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", max_class: floa
     class_n = sum((F.col(c) for c in classes[1:]), F.col(classes[0]))
     word_n = sum((F.col(c) for c in words[1:]), F.col(words[0]))
     p_class = F.when(class_n > 0, F.array(*[F.col(c) / class_n for c in classes]))
-    p_word = F.when(F.col("n_words") > 0, F.array(*[F.col(c) / F.col("n_words") for c in words], (F.col("n_words") - word_n) / F.col("n_words")))
+    p_word = F.when((F.col("n_words") > 0) & (F.col("_lang") != ""), F.array(*[F.col(c) / F.col("n_words") for c in words], (F.col("n_words") - word_n) / F.col("n_words")))
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = lambda c, most: F.coalesce(F.col(c) > most, F.lit(False))
     long_enough = (F.col("word_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_WORDS)
