@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, license_scan, mixing, quality_rules, secret_scan, url_filter, warc
+from . import common, license_scan, mixing, near_dedup, quality_rules, secret_scan, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near copies of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, and how many look live or copied."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_url_filter": op2_url_filter,
         "op4_quality_rules": op4_quality_rules,
+        "op5_near_dedup": op5_near_dedup,
         "op6_secret_scan": op6_secret_scan,
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
