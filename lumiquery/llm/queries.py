@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, license_scan, mixing, near_dedup, quality_rules, secret_scan, url_filter, warc
+from . import common, license_scan, mixing, near_dedup, quality_crf, quality_rules, secret_scan, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, distances and verdict of every document."""
     return quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
         "op2_url_filter": op2_url_filter,
+        "op3_quality_classifier": op3_quality_classifier,
         "op4_quality_rules": op4_quality_rules,
         "op5_near_dedup": op5_near_dedup,
         "op6_secret_scan": op6_secret_scan,
