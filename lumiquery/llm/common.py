@@ -86,3 +86,14 @@ def hash_order_prefix(rows: DataFrame, groups: list[str], size: str, h32: str, o
         same = same & F.col(g).eqNullSafe(F.col(f"_t_{g}"))
     out = rows.join(t, same, "left").withColumn("before", F.col("_inside") + F.col("_ahead"))
     return out.drop("_part", "_inside", "_ahead", "_t_part", *[f"_t_{g}" for g in groups])
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """The same rows as one physical RDD, so that several passes see the same partitions.
+
+    Planning a frame twice may split its files differently (splits depend on the cores
+    that are registered at that moment). Nothing is computed or stored here.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, license_scan, mixing, near_dedup, quality_crf, quality_rules, secret_scan, url_filter, warc
+from . import common, decontaminate, license_scan, mixing, near_dedup, quality_crf, quality_rules, secret_scan, token_output, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token sequences, written in training order and read back."""
+    return token_output.materialise(table(spark, sf_dir, "documents"), common.scratch_path(spark, "tokens"))
+
+
 #: Host, path and verdict of the rules that the pages are judged by.
 URL_RULES = (
     ("com", "/en/", "block"),
@@ -110,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontamination": op7_decontamination,
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
+        "op10_token_output": op10_token_output,
     }
