@@ -46,8 +46,6 @@ BLOCK = 4
 #: Terms in more than this share of the items are summed as one constant in the bounds.
 FREQUENT = 0.05
 
-MATCH = "item_id: {}, score: double, question: double, answer: double"
-
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case words."""
@@ -224,8 +222,9 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
                     out.append([{"item_id": x.ids[j], "score": s, "question": q, "answer": a} for j, s, q, a in hits])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*keep, "matches"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, matches array<struct<{MATCH.format(item_type.simpleString())}>>")
+    match = T.StructType([T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]])
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("matches", T.ArrayType(match))])
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -238,8 +239,8 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     cols = list(dict.fromkeys((id_col, *keep)))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in cols)
-    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, f"{schema}, score double")
+    schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("score", T.DoubleType())])
+    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
