@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import measurements, molecules, predictions  # noqa: F401  they register their queries
+from .catalog import ORACLES, QUERIES, Query
+from .predictions import flagship
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     """Query name to a callable of (spark, sf_dir)."""
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {}
+    return dict(ORACLES)
