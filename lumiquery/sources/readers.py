@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Encodings in the order in which they are tried, and what Spark calls them.
-ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin1": "ISO-8859-1"}
+ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
 HEAD_BYTES = 1 << 20
 
 
+#: Spark reads cp1252 as Latin-1; these are the characters at which the two differ.
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
+def _as_cp1252(df: DataFrame) -> DataFrame:
+    """Names and values that were read as Latin-1, in cp1252."""
+    names = str.maketrans(_LATIN, _CP1252)
+    return df.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _CP1252).alias(c.translate(names)) for c in df.columns])
+
+
 def _head(spark: SparkSession, path: str) -> bytes:
     """First bytes of a file of any file system that Spark reaches; FileNotFoundError without it."""
     jvm = spark.sparkContext._jvm
@@ -61,6 +72,8 @@ def read_csv(spark: SparkSession, path: str, sniff: bool = False, encoding: str
     sep = detect_delimiter(head.decode(name, "ignore")) if sniff else ","
     reader = spark.read.option("header", True).option("encoding", ENCODINGS.get(name, name)).option("sep", sep).option("multiLine", True).option("escape", '"').option("inferSchema", False)
     df = reader.csv(path)
+    if name == "cp1252":
+        df = _as_cp1252(df)
     if df.columns and df.columns[0].startswith("\ufeff"):
         df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff"))
     return df.select(*columns) if columns else df
@@ -87,6 +100,8 @@ def read_csv_ragged(spark: SparkSession, path: str) -> DataFrame:
     first = F.regexp_replace("value", "^\ufeff", "")
     header = head.decode(name, "ignore").splitlines()[0].lstrip("\ufeff").rstrip("\r")
     body = lines.select(F.rtrim(first).alias("value")).filter((F.col("value") != header) & (F.col("value") != ""))
+    if name == "cp1252":
+        body = _as_cp1252(body)
     return body.mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in names]))
 
 
