@@ -9,14 +9,14 @@ Jaccard similarity.
 1. Exact copies (equal words) are grouped by digest; only one representative goes on.
 2. Each band of four registers is a bucket. At similarity 0.85 all 32 bands of a pair
    differ with probability 5e-11; at 0.8, 5e-8.
-3. Round one pairs each member of a bucket with one pivot of it (another pivot in each
-   bucket, so that a pair that shares many buckets meets often).
+3. Round one pairs each member of a bucket with its pivot, the smallest id: a group that
+   shares many buckets shares the pivot, so it sends about one pair a member.
 4. Pairs go on if the size bound allows, and the similarity that is most likely, given
-   both sizes and how many registers are larger, smaller and equal, is at most six
+   both sizes and how many registers are larger, smaller and equal, is at most five
    standard errors under the threshold. Then both texts' full sets are compared.
 5. Round two takes the buckets of three or more that still hold several components and
-   compares all their members of different components by sketch, in square cells of
-   bounded size, so a link that no pivot was part of is found, and a hot bucket is dealt
+   compares all their members of different components by finer sketches, each pair in the
+   first bucket that it shares, in square cells of bounded size, so a link that no pivot was part of is found, and a hot bucket is dealt
    over many tasks. What passes is verified like before.
 6. Components of the verified links come from alternating large-star and small-star steps.
 
@@ -47,16 +47,18 @@ from . import common
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SHINGLE, PERCENT = 5, 85
 REGISTERS, BAND_ROWS = 128, 4
+#: Registers of the finer sketches of round two.
+FINE = 512
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 #: Standard errors of the estimate that a pair may lie under the threshold and still be verified.
-SLACK = 6.0
+SLACK = 5.0
 #: Members of a block; two blocks meet in a cell of round two.
 BLOCK = 256
 WORD_CACHE = 500_000
 
 _rng = np.random.default_rng(20_240_501)
-_FACTOR = (_rng.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
-_OFFSET = _rng.integers(0, 2**32, REGISTERS, dtype=np.uint32)[:, None]
+_FACTOR = (_rng.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+_OFFSET = _rng.integers(0, 2**32, FINE, dtype=np.uint32)[:, None]
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,39 +96,40 @@ def shingle_set(words: list[str], hashes: _Hashes, size: int = SHINGLE) -> np.nd
     return np.unique(s)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
+def sketch(elements: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """SetSketch registers of a set of 64-bit hashes. A union's are the maxima of its parts'."""
-    least = np.full(REGISTERS, 2**32 - 1, np.uint32)
+    least = np.full(registers, 2**32 - 1, np.uint32)
+    factor, offset = _FACTOR[:registers], _OFFSET[:registers]
     x = (elements >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(x), 2048):
-        h = _FACTOR * x[None, k : k + 2048]
-        h += _OFFSET
+        h = factor * x[None, k : k + 2048]
+        h += offset
         np.minimum(least, h.min(axis=1), out=least)
     exponential = -np.log1p(-(least + 0.5) / 2**32) / RATE
     return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, LIMIT + 1).astype(np.uint16)
 
 
-def likely_jaccard(n1: np.ndarray, n2: np.ndarray, more: np.ndarray, less: np.ndarray) -> np.ndarray:
+def likely_jaccard(n1: np.ndarray, n2: np.ndarray, more: np.ndarray, less: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
     """Most likely similarity, to 1/200, of sets of sizes n1 and n2 of whose registers so many are larger or smaller."""
     u, v = (n1 / (n1 + n2))[:, None], (n2 / (n1 + n2))[:, None]
     j = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
     plus, minus = np.clip(p(u - v * j), 1e-12, 1), np.clip(p(v - u * j), 1e-12, 1)
     same = np.clip(1 - plus - minus, 1e-12, 1)
-    score = more[:, None] * np.log(plus) + less[:, None] * np.log(minus) + (REGISTERS - more - less)[:, None] * np.log(same)
+    score = more[:, None] * np.log(plus) + less[:, None] * np.log(minus) + (registers - more - less)[:, None] * np.log(same)
     return j[np.arange(len(j)), score.argmax(axis=1)]
 
 
 def _plausible(n1: np.ndarray, r1: np.ndarray, n2: np.ndarray, r2: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs may have the similarity asked for: size bound first, then the joint estimate."""
-    t = percent / 100
+    t, registers = percent / 100, r1.shape[1]
     fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
     out = np.zeros(len(n1), bool)
     at = np.flatnonzero(fits)
     if len(at):
         a, b = r1[at], r2[at]
-        j = likely_jaccard(n1[at].astype(float), n2[at].astype(float), (a > b).sum(axis=1), (a < b).sum(axis=1))
-        out[at] = j >= t - SLACK * math.sqrt(t * (1 - t) / REGISTERS)
+        j = likely_jaccard(n1[at].astype(float), n2[at].astype(float), (a > b).sum(axis=1), (a < b).sum(axis=1), registers)
+        out[at] = j >= t - SLACK * math.sqrt(t * (1 - t) / registers)
     return out
 
 
@@ -200,14 +203,30 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
 
 
-def _residual_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _fine_sketches(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """(rep, fine): sketches of ``FINE`` registers of the documents with these ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for x in batches:
+            fine = [sketch(shingle_set(words_of(t), hashes), FINE).tobytes() for t in x.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fine, pa.binary())], names=["rep", "fine"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ids), "rep")
+    return texts.mapInArrow(run, f"rep {kind}, fine binary")
+
+
+def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of different components in buckets of three or more that hold several."""
-    m = members.filter("n >= 3").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "rep", "n", "comp")
+    m = members.filter("n >= 3").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "band", "rep", "n", "comp")
     open_keys = common.cut(m.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("key"))
-    m = m.join(open_keys, "key").join(reps.select("rep", "n_shingles", "bands"), "rep")
+    m = common.cut(m.join(common.lookup(open_keys), "key"))
+    fine = _fine_sketches(docs, common.cut(m.select("rep").distinct()), id_col)
+    m = m.join(common.cut(reps.select("rep", "n_shingles", "bands").join(fine, "rep")), "rep")
     blocks = F.ceil(F.col("n") / BLOCK)
     m = m.withColumn("_block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    m = m.select("key", F.least("_block", "_other").alias("row"), F.greatest("_block", "_other").alias("col"), (F.col("_block") <= F.col("_other")).alias("left"), (F.col("_block") >= F.col("_other")).alias("right"), "rep", "comp", "n_shingles", "bands")
+    m = m.select("key", F.least("_block", "_other").alias("row"), F.greatest("_block", "_other").alias("col"), (F.col("_block") <= F.col("_other")).alias("left"), (F.col("_block") >= F.col("_other")).alias("right"), "rep", "comp", "n_shingles", "bands", "band", "fine")
     # the cells of a hot bucket hash to many tasks; a task holds one cell, two blocks, at a time
     m = m.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
 
@@ -217,13 +236,15 @@ def _residual_pairs(members: DataFrame, labels: DataFrame, reps: DataFrame, perc
         if not right or len({r[6] for r in rows}) < 2:
             return out
         comp, size = np.array([r[6] for r in right]), np.array([r[7] for r in right])
-        regs = np.array([r[8] for r in right], np.int64).view(np.uint16).reshape(-1, REGISTERS)
+        bands, band = np.array([r[8] for r in right], np.int64), rows[0][9]
+        regs = np.frombuffer(b"".join(r[10] for r in right), np.uint16).reshape(-1, FINE)
         for r in rows:
             if r[3]:
-                at = np.flatnonzero(comp != r[6])
+                # a pair is looked at only in the first of the buckets that it shares
+                at = np.flatnonzero((comp != r[6]) & ((bands == np.array(r[8], np.int64)).argmax(axis=1) == band))
                 if len(at):
-                    mine = np.array(r[8], np.int64).view(np.uint16)[None, :]
-                    for k in at[_plausible(np.full(len(at), r[7]), np.broadcast_to(mine, (len(at), REGISTERS)), size[at], regs[at], percent)]:
+                    mine = np.broadcast_to(np.frombuffer(r[10], np.uint16), (len(at), FINE))
+                    for k in at[_plausible(np.full(len(at), r[7]), mine, size[at], regs[at], percent)]:
                         out["a"].append(min(r[5], right[k][5]))
                         out["b"].append(max(r[5], right[k][5]))
         return out
@@ -271,17 +292,15 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCEN
     rows = common.cut(sketches(docs, id_col))
     reps = rows.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = common.cut(reps)
-    keys = reps.select("rep", F.explode(F.transform("bands", lambda x, i: F.xxhash64(x, i))).alias("key"))
-    # rep xor key orders the members of a bucket, differently in each bucket; its least is the pivot
-    number = F.col("rep") if dict(reps.dtypes)["rep"] in ("bigint", "int") else None
-    pivot = F.min(number.cast("long").bitwiseXOR(F.col("key"))) if number is not None else F.min("rep")
-    buckets = common.cut(keys.groupBy("key").agg(pivot.alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = common.cut(keys.join(buckets, "key").select("key", "rep", "n", (F.col("pivot").bitwiseXOR(F.col("key")).cast(dict(reps.dtypes)["rep"]) if number is not None else F.col("pivot")).alias("pivot")))
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "_band")).select("rep", "band", F.xxhash64("_band", "band").alias("key"))
+    buckets = common.cut(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    members = common.cut(keys.join(buckets, "key").select("key", "band", "rep", "n", "pivot"))
     first = members.filter("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     first = common.cut(_score(first, reps, percent))
-    text = lambda pairs: common.cut(docs.select(F.col(id_col).alias("id"), "text").join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id"))
+    ids = lambda pairs: common.lookup(common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    text = lambda pairs: common.cut(docs.select(F.col(id_col).alias("id"), "text").join(ids(pairs), "id"))
     links = common.cut(_verify(first, text(first), percent))
-    second = common.cut(_residual_pairs(members, components(links), reps, percent).join(first, ["a", "b"], "left_anti"))
+    second = common.cut(_residual_pairs(docs, id_col, members, components(links), reps, percent).join(first, ["a", "b"], "left_anti"))
     if second.take(1):
         links = links.unionByName(common.cut(_verify(second, text(second), percent)))
     return rows, reps, links
