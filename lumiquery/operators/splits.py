@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_sum
+
 
 def hash_unit(key: Column, seed: int) -> Column:
     """A number from 0 to 1 that only key and seed decide (``randomSplit`` depends on partitioning)."""
@@ -20,9 +22,9 @@ def group_split(df: DataFrame, group: str, test: float = 0.2, seed: int = 42) ->
     """Exactly ceil(test * groups) groups to test: groups, not rows, are ranked by hash."""
     df = df.drop("split")
     groups = df.select(group).distinct()
-    order = Window.orderBy(F.xxhash64(F.col(group), F.lit(seed)), group)
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    side = groups.withColumn("split", F.when(F.row_number().over(order) <= F.ceil(n * test), "test").otherwise("train"))
+    total = F.broadcast(groups.agg(F.count(F.lit(1)).alias("_total")))  # one row
+    ranked = running_sum(groups, [F.xxhash64(F.col(group), F.lit(seed)), F.col(group)], F.lit(1), "_before")
+    side = ranked.crossJoin(total).select(group, F.when(F.col("_before") < F.ceil(F.col("_total") * test), "test").otherwise("train").alias("split"))
     return df.join(side, df[group].eqNullSafe(side[group])).drop(side[group])
 
 
@@ -39,9 +41,9 @@ def greedy_group_split(df: DataFrame, group: str, test: float = 0.2, tie: Column
     """Largest groups go to test while the test rows before them are fewer than the share asked for."""
     df = df.drop("split")
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(F.col("_n").desc(), tie if tie is not None else F.col(group)).rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("_n").over(Window.partitionBy())
-    side = sizes.withColumn("split", F.when(F.coalesce(F.sum("_n").over(order), F.lit(0)) < F.round(total * test), "test").otherwise("train")).drop("_n")
+    total = F.broadcast(sizes.agg(F.sum("_n").alias("_total")))  # one row
+    ranked = running_sum(sizes, [F.col("_n").desc(), tie if tie is not None else F.col(group)], F.col("_n"), "_before")
+    side = ranked.crossJoin(total).select(group, F.when(F.col("_before") < F.round(F.col("_total") * test), "test").otherwise("train").alias("split"))
     return df.join(side, df[group].eqNullSafe(side[group])).drop(side[group])
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumiquery.operators import dedup, joins, metrics, models, profile, splits
+from lumiquery.operators import dedup, joins, metrics, models, ordering, profile, splits
 from lumiquery.sources import readers, writers
 from lumiquery.streaming import jobs
 
@@ -142,3 +142,13 @@ def test_jobs(spark, tmp_path):
 def test_state_machine(spark):
     df = spark.createDataFrame([(1, "queued", 1), (1, "running", 2), (1, "completed", 2), (2, "queued", 1)], "id int, status string, updated_at int")
     assert {(r["id"], r["status"]) for r in jobs.state_machine(df).collect()} == {(1, "completed"), (2, "queued")}
+
+
+@pytest.mark.parametrize("one_task_rows", [10, 10_000])
+def test_running_sum(spark, one_task_rows):
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("k"), (F.col("id") % 5).alias("v"))
+    got = sorted((r["k"], r["v"], r["before"]) for r in ordering.running_sum(df, [F.col("k").desc()], F.col("v"), one_task_rows=one_task_rows).collect())
+    at = 0
+    for _, v, before in reversed(got):
+        assert before == at
+        at += v
