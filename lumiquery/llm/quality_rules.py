@@ -32,7 +32,7 @@ CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "wide": "[^\
 SYMBOLS = "[#*$%&|<>]"
 
 MIN_CHARS, MIN_WORDS = 200, 40
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.25
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.32, 0.28
 
 
 def words(text: Column) -> Column:
