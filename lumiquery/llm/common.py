@@ -17,6 +17,9 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 #: Largest number of rows that is broadcast as a lookup table.
 BROADCAST_ROWS = 100_000
 
+#: Texts in an Arrow batch.
+TEXTS_PER_BATCH = 1_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir.
@@ -40,6 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Bound the memory of texts between Spark and Python: fewer rows an Arrow batch, unless the session has set them.
+
+    A batch is held by the JVM, by Arrow and as Python objects at once, in each task.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(TEXTS_PER_BATCH))
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

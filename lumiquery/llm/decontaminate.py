@@ -35,6 +35,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from . import common
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
@@ -224,7 +226,7 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
 
     match = T.StructType([T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("matches", T.ArrayType(match))])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return common.short_batches(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -118,7 +120,7 @@ def licence_idf(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, f
                     df[w] += 1
         yield pa.RecordBatch.from_pydict({"word": [*df, ""], "df": pa.array([*df.values(), n], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    rows = common.short_batches(docs).select("text").mapInArrow(count, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
     df = {r["word"]: r["df"] for r in rows}
     n = df.get("", 0)
     return {w: math.log(1 + (n - (k := df.get(w, 0)) + 0.5) / (k + 0.5)) for w in vocabulary}
@@ -143,4 +145,4 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(matches, match)], names=[id_col, "n_words", "matches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(scan, f"`{id_col}` {kind}, n_words long, matches array<struct<label:string,start_word:long,end_word:long,share:double,base:boolean>>")
+    return common.short_batches(docs).select(id_col, "text").mapInArrow(scan, f"`{id_col}` {kind}, n_words long, matches array<struct<label:string,start_word:long,end_word:long,share:double,base:boolean>>")

@@ -54,7 +54,7 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 SLACK = 5.0
 #: Members of a block; two blocks meet in a cell of round two.
 BLOCK = 256
-WORD_CACHE = 500_000
+WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20_240_501)
 _FACTOR = (_rng.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -154,7 +154,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "digest", "n_shingles", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, digest binary, n_shingles long, bands array<long>")
+    return common.short_batches(docs).select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, digest binary, n_shingles long, bands array<long>")
 
 
 def _score(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +200,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield out.filter(pa.array((u > 0) & (100 * i >= percent * u)))
 
     kind = texts.schema["id"].dataType.simpleString()
-    return both.mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
+    return common.short_batches(both).mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
 
 
 def _fine_sketches(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -214,7 +214,7 @@ def _fine_sketches(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ids), "rep")
-    return texts.mapInArrow(run, f"rep {kind}, fine binary")
+    return common.short_batches(texts).mapInArrow(run, f"rep {kind}, fine binary")
 
 
 def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:

@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.string()), ("x", pa.binary()), ("n", pa.binary()), ("y", pa.int32())]))
 
-    rows = docs.join(ids, docs[id_col] == ids["_id"]).select(id_col, "text", "_y").mapInArrow(run, "id string, x binary, n binary, y int").collect()
+    rows = common.short_batches(docs).join(ids, docs[id_col] == ids["_id"]).select(id_col, "text", "_y").mapInArrow(run, "id string, x binary, n binary, y int").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     return fit([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES), np.frombuffer(bytes(r["n"]), np.int64), r["y"]) for r in rows])
 
@@ -240,7 +240,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep:
 
     cols = list(dict.fromkeys((id_col, *keep)))
     schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("score", T.DoubleType())])
-    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return common.short_batches(docs).select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary:
     """Write all shards below ``path``; returns the number of sequences."""
     spark = docs.sparkSession
     ranks = _vocabulary(spark, vocabulary)
-    rows = common.pin(docs.select(F.col(id_col).cast("long").alias("id"), "text"))
+    rows = common.pin(common.short_batches(docs).select(F.col(id_col).cast("long").alias("id"), "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, n = Tokenizer(ranks.value), 0
