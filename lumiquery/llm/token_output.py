@@ -120,6 +120,8 @@ def _vocabulary(spark: SparkSession, path: str):  # noqa: ANN202
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary: str = VOCABULARY, length: int = LENGTH, key: int = KEY) -> int:
     """Write all shards below ``path``; returns the number of sequences."""
     spark = docs.sparkSession
+    if docs.isEmpty():
+        return 0
     ranks = _vocabulary(spark, vocabulary)
     rows = common.pin(common.short_batches(docs).select(F.col(id_col).cast("long").alias("id"), "text"))
 
