@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from lumiquery.llm import common, decontaminate, mixing, near_dedup, quality_crf, token_output
 
+#: Similarity in percent from which documents are near copies in the corpus; 85 is the contract of op5_near_dedup alone.
+NEAR_PERCENT = 80
+
 #: Training rows are drawn by hash and tokens permuted by key, which SQL can't express.
 ORACLE_SQL = None
 
@@ -34,7 +37,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, and one row of each id that repeats."""
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
     gone = common.cut(found.filter("not kept").select("doc_id").distinct())
     kept = docs.join(common.lookup(gone), "doc_id", "left_anti")
     again = common.cut(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
