@@ -37,3 +37,8 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, out: str = "b
     inside = parts.withColumn("_inside", ahead(Window.partitionBy("_part").orderBy(*order)))
     joined = inside.join(F.broadcast(totals), "_part")  # one row a partition
     return joined.withColumn(out, F.col("_inside") + F.col("_ahead")).drop("_value", "_part", "_inside", "_ahead")
+
+
+def place(df: DataFrame, order: list[Column], out: str = "place", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Number all rows from 1 in the order, which must be total."""
+    return running_sum(df, order, F.lit(1), "_earlier", one_task_rows).withColumn(out, F.col("_earlier") + 1).drop("_earlier")

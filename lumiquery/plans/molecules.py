@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins, scalars
-from ..operators import graph, joins, neighbours, screening
+from ..operators import graph, joins, neighbours, ordering, screening
 from ..streaming import jobs as job_queue
 from . import views
 from .catalog import query
@@ -228,12 +228,17 @@ def exact_match_payload(spark: SparkSession, d: str) -> DataFrame:
     return hits.agg(_n().alias("n_matches")).crossJoin(first).withColumn("first_ids", F.when(F.col("first_ids") != "", F.col("first_ids")))
 
 
+def ranked(mol: DataFrame, one_task_rows: int = ordering.ONE_TASK_ROWS) -> DataFrame:
+    """All molecules with their place in the custom order."""
+    order = [F.when(F.col("substituent") == "PROMO", 0).otherwise(1), F.col("similarity").desc_nulls_last(), F.col("molecule_id")]
+    return ordering.place(mol, order, one_task_rows=one_task_rows)
+
+
 @query("rank_in_order", """
 SELECT molecule_id, scaffold, row_number() OVER (ORDER BY CASE substituent WHEN 'PROMO' THEN 0 ELSE 1 END, similarity DESC NULLS LAST, molecule_id) AS place FROM mol WHERE size <= 10""", MOL)
 def rank_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Custom rank first, then mixed directions with missing values last."""
-    w = Window.orderBy(F.when(F.col("substituent") == "PROMO", 0).otherwise(1), F.col("similarity").desc_nulls_last(), "molecule_id")
-    return views.mol(spark, d).filter("size <= 10").select("molecule_id", "scaffold", F.row_number().over(w).alias("place"))
+    return ranked(views.mol(spark, d).filter("size <= 10")).select("molecule_id", "scaffold", "place")
 
 
 @query("stream_available_now")
