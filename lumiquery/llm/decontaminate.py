@@ -16,7 +16,8 @@ What is retrieved is verified: the word n-grams of the item's question and of it
 must both stand in the passage.
 
 The index is sent to the executors, so its size is bounded: beyond ``MAX_ITEMS`` items it
-is cut into shards, and the documents are read once for each shard. There is no shuffle.
+is cut into shards, which count with the figures of all items, and the documents are
+read once for each shard. There is no shuffle.
 
 Edge cases: null or empty texts match nothing; items of fewer than ``MIN_WORDS`` words
 are not indexed; an item without a second sentence is all question, and its last words
@@ -26,10 +27,11 @@ other columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,19 +80,30 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(want & _grams(passage, n)) / len(want)
 
 
+def corpus_of(lengths: Iterable[int], counts: Iterable[Counter]) -> tuple[int, int, int, Counter]:
+    """Number of items, of their words, words of the longest one, and items by word."""
+    n, words, longest, df = 0, 0, 0, Counter()
+    for length, c in zip(lengths, counts, strict=True):
+        n, words, longest = n + 1, words + length, max(longest, length)
+        df.update(c.keys())
+    return n, words, longest or MIN_WORDS, df
+
+
 class Index:
     """Inverted index of items with impacts in shares of each item's own score, in blocks."""
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], corpus: tuple[int, int, int, Counter] | None = None) -> None:
         kept = [(i, t, ws) for i, t in items if t and len(ws := words_of(t)) >= MIN_WORDS]
         self.ids = [i for i, _, _ in kept]
         self.parts = [split_item(t) for _, t, _ in kept]
         counts = [Counter(ws) for _, _, ws in kept]
         lengths = [len(ws) for _, _, ws in kept]
-        self.longest = max(lengths, default=MIN_WORDS)
-        mean, n = sum(lengths) / max(1, len(lengths)), len(kept)
-        df = Counter(w for c in counts for w in c)
-        idf = {w: math.log(1 + (n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+        n = len(kept)
+        # a shard counts with the figures of all items, so that its scores are those of one index
+        all_n, words, self.longest, df = corpus or corpus_of(lengths, counts)
+        mean = words / max(1, all_n)
+        idf = {w: math.log(1 + (all_n - df[w] + 0.5) / (df[w] + 0.5)) for c in counts for w in c}
+        often = max(1, FREQUENT * all_n)
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         frequent = [0.0] * n
         for j, c in enumerate(counts):
@@ -99,7 +112,7 @@ class Index:
             total = sum(impact.values())
             for w, x in impact.items():
                 postings[w].append((j, x / total))
-                if df[w] > max(1, FREQUENT * n):
+                if df[w] > often:
                     frequent[j] += x / total
         self.constant = max(frequent, default=0.0)
         self.terms = {w: k for k, w in enumerate(postings)}
@@ -110,7 +123,7 @@ class Index:
         starts, block, bound = [0], [], []
         for w, p in postings.items():
             top: dict[int, float] = {}
-            if df[w] <= max(1, FREQUENT * n):
+            if df[w] <= often:
                 for j, x in p:
                     top[j // BLOCK] = max(top.get(j // BLOCK, 0.0), x)
             block += top
@@ -198,8 +211,8 @@ class Index:
         return [(j, *v) for j, v in sorted(best.items())]
 
 
-def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items))  # at most about MAX_ITEMS items
+def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType, corpus: tuple[int, int, int, Counter] | None = None) -> DataFrame:
+    index = docs.sparkSession.sparkContext.broadcast(Index(items, corpus))  # at most about MAX_ITEMS items
     id_type = {"int": pa.int32(), "bigint": pa.int64()}.get(item_type.simpleString(), pa.string())
     kind = pa.list_(pa.struct([("item_id", id_type), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
@@ -234,12 +247,17 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     item_type = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("id"), "text").filter("text is not null")
     shards = max(1, -(-items.count() // max_items))
+    corpus = None
+    if shards > 1:
+        words = (ws for r in items.toLocalIterator() if len(ws := words_of(r["text"])) >= MIN_WORDS)
+        lengths, counts = itertools.tee(words)
+        corpus = corpus_of(map(len, lengths), map(Counter, counts))
     out = docs
     cols = list(dict.fromkeys(keep))
     total = None
     for k in range(shards):
         shard = sorted(((r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        out = _match_shard(out, shard, [*cols, *(["text"] if shards > 1 and "text" not in cols and k < shards - 1 else []), *(["_found"] if total else [])], item_type)
+        out = _match_shard(out, shard, [*cols, *(["text"] if shards > 1 and "text" not in cols and k < shards - 1 else []), *(["_found"] if total else [])], item_type, corpus)
         if shards > 1:
             out = out.withColumn("_found", F.concat("_found", "matches") if total else F.col("matches")).drop("matches")
             total = True
