@@ -19,8 +19,11 @@ The index is sent to the executors, so its size is bounded: beyond ``MAX_ITEMS``
 is cut into shards, which count with the figures of all items, and the documents are
 read once for each shard. There is no shuffle.
 
-Edge cases: null or empty texts match nothing; items of fewer than ``MIN_WORDS`` words
-are not indexed; an item without a second sentence is all question, and its last words
+Items of fewer than ``MIN_WORDS`` words have too few terms for a score. They are found
+exactly, as consecutive words; an item with letters of a script without blanks, as a
+substring of the words joined by blanks. Both have a score of 1.
+
+Edge cases: null or empty texts match nothing; so do items without words; an item without a second sentence is all question, and its last words
 are its answer; equal items are each reported; repeated documents are each answered;
 other columns are ignored; empty tables give an empty result.
 """
@@ -42,6 +45,8 @@ from . import common
 from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
+#: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Chinese characters.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP, GRAM = 0.8, 0.8, 3
@@ -94,7 +99,17 @@ class Index:
 
     def __init__(self, items: list[tuple[object, str]], corpus: tuple[int, int, int, Counter] | None = None) -> None:
         kept = [(i, t, ws) for i, t in items if t and len(ws := words_of(t)) >= MIN_WORDS]
-        self.ids = [i for i, _, _ in kept]
+        short = [(i, ws) for i, t in items if t and 0 < len(ws := words_of(t)) < MIN_WORDS]
+        self.ids = [i for i, _, _ in kept] + [i for i, _ in short]
+        #: Short items by their first word, or by the first two characters from the first unspaced letter on.
+        self.by_word: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+        self.by_letters: dict[str, list[tuple[int, int, str]]] = defaultdict(list)
+        for j, (_, ws) in enumerate(short, len(kept)):
+            text = " ".join(ws)
+            if first := UNSPACED.search(text):
+                self.by_letters[text[first.start() : first.start() + 2]].append((j, first.start(), text))
+            else:
+                self.by_word[ws[0]].append((j, ws))
         self.parts = [split_item(t) for _, t, _ in kept]
         counts = [Counter(ws) for _, _, ws in kept]
         lengths = [len(ws) for _, _, ws in kept]
@@ -197,6 +212,26 @@ class Index:
                 c[1] += 1
             c[0] = its[c[1]] if c[1] < len(its) else -1
 
+    def short_matches(self, words: list[str]) -> list[tuple[int, float, float, float]]:
+        """Like ``matches``, for the items that are too short for a score."""
+        found = set()
+        if self.by_word:
+            for k, w in enumerate(words):
+                if w in self.by_word:
+                    found.update(j for j, ws in self.by_word[w] if words[k : k + len(ws)] == ws)
+        if self.by_letters:
+            text = " ".join(words)
+            spaced = lambda c: c.strip() and not UNSPACED.match(c)
+            for m in UNSPACED.finditer(text):
+                for key in {text[m.start() : m.start() + 2], m[0]}:
+                    for j, ahead, item in self.by_letters.get(key, ()):
+                        low = m.start() - ahead
+                        high = low + len(item)
+                        # letters of other scripts at an end of the item are whole words
+                        if low >= 0 and text.startswith(item, low) and not (spaced(item[0]) and spaced(text[low - 1 : low])) and not (spaced(item[-1]) and spaced(text[high : high + 1])):
+                            found.add(j)
+        return [(j, 1.0, 1.0, 1.0) for j in sorted(found)]
+
     def matches(self, words: list[str], ids: np.ndarray, search: np.ndarray, stride: int) -> list[tuple[int, float, float, float]]:
         """(item, best score, question overlap, answer overlap) of the verified items of a document."""
         best: dict[int, tuple[float, float, float]] = {}
@@ -233,7 +268,7 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
                 search = x.passages_to_search(cell[known], flat[known], int(begin[-1]))
                 for i, ws in enumerate(part):
                     mine = search[begin[i] : begin[i + 1] - 1]
-                    hits = x.matches(ws, ids[i], mine, stride) if mine.any() else []
+                    hits = (x.matches(ws, ids[i], mine, stride) if mine.any() else []) + x.short_matches(ws)
                     out.append([{"item_id": x.ids[j], "score": s, "question": q, "answer": a} for j, s, q, a in hits])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*keep, "matches"])
 

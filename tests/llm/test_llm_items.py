@@ -24,3 +24,17 @@ def test_shards_score_like_one_index(spark):
     whole = found(decontaminate.match_documents(docs, bench))
     assert len(whole) > 50 and any(v[0] < 1 for v in whole.values())
     assert found(decontaminate.match_documents(docs, bench, max_items=20)) == whole
+
+
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Who was Ada?"), (2, "yes"), (3, "中国的首都是哪里？"), (4, "GPT是什么"), (5, "日"), (6, "?!"), (7, None), (8, "首都 在 哪"), (9, " ".join(f"w{k}" for k in range(20)))]
+    texts = {
+        10: "he asked: who was  ada, and left", 11: "who is ada? who was adam", 12: "", 13: None, 14: "YES.", 15: "yesterday",
+        16: "请问中国的首都是哪里？答案是北京", 17: "中国的首都", 18: "我问GPT是什么", 19: "xgpt是什么", 20: "今日は", 21: "首都在哪 首都 在 哪里", 22: "中国的首都是哪里。yes",
+    }
+    want = {(10, 1), (14, 2), (16, 3), (18, 4), (20, 5), (21, 8), (22, 3), (22, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for max_items in (decontaminate.MAX_ITEMS, 2):
+        got = found(decontaminate.match_documents(docs, bench, max_items=max_items))
+        assert got.keys() == want and set(got.values()) == {(1.0, 1.0, 1.0)}
