@@ -347,7 +347,7 @@ def ensemble_mean_std(spark: SparkSession, d: str) -> DataFrame:
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap intervals of each model's metrics."""
-    return metrics.bootstrap(views.pred(spark, d), ["model"], "y_true", "y_pred", rounds=200)
+    return metrics.bootstrap(views.pred(spark, d), ["model"], "y_true", "y_pred")
 
 
 @query("greedy_scaffold_split", """
