@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII lower-casing only; other letters keep their case.
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -17,8 +21,8 @@ WORD_RE = "[^\\x20\\x09-\\x0D]+"
 #: Largest number of rows that is broadcast as a lookup table.
 BROADCAST_ROWS = 100_000
 
-#: Texts in an Arrow batch.
-TEXTS_PER_BATCH = 1_000
+#: Texts that are Python objects at a time.
+TEXTS_PER_SLICE = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,15 +47,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def short_batches(df: DataFrame) -> DataFrame:
-    """Bound the memory of texts between Spark and Python: fewer rows an Arrow batch, unless the session has set them.
+def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_PER_SLICE) -> Iterator[pa.RecordBatch]:
+    """Short pieces of Arrow batches, so that few texts are Python objects at a time.
 
-    A batch is held by the JVM, by Arrow and as Python objects at once, in each task.
+    Spark bounds a batch by bytes on its own; no setting of the session is touched.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(TEXTS_PER_BATCH))
-    return df
+    for batch in batches:
+        for first in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(first, rows)
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    """The Arrow type in which Spark takes a column back."""
+    return to_arrow_type(kind)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -66,6 +74,19 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system that Spark reaches is there."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def list_names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Names in a folder that begin so, in order."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(prefix))
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """Mark a checkpointed table for broadcast if it is small, else leave the join to the planner."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

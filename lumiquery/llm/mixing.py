@@ -2,22 +2,23 @@
 
 Sources weigh 5, 2, 1, repeating in code-point order (null last), and share a budget of
 150 % of all words; no source gives more than twice its words, and what it can't give is
-shared again by weight. Each document gets a hash-random key; within each source the
-documents are range-sorted by it, their sizes are prefix-summed in parts, and the source
-is cut at exactly its budget: whole epochs first, then the documents before the cut.
+shared again by weight. Each document gets a hash-random key of its id and text; equal rows are
+counted first, so that no key is hot. Within each source the documents are range-sorted
+by the key, their sizes are prefix-summed in parts, and the source is cut at exactly its
+budget: whole epochs first, then the documents before the cut.
 
 The texts are read once, for the sizes; everything after is narrow rows. The document
 at the cut gives the part that fits, so a source's words are its target to the word.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source of its
-own; repeated rows are documents of their own (equal keys are ordered by size, and equal
-rows may swap places, which leaves the result the same); other columns are ignored; an
-empty table gives an empty result.
+own; rows that share an id, or have none, are documents of their own, each with its own
+part; equal rows are counted out one after the other; columns of any name are kept as
+they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,14 +26,22 @@ from . import common
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 SEED = "mix-1"
+#: Equal rows are counted out in runs of so many, so that no task holds all of them.
+RUN = 1_000
+
+
+def row_key(row_id: Column, text: Column) -> Column:
+    """The hash-random key: rows with the same id and text share it, and no others."""
+    blank = F.lit("")
+    return F.md5(F.concat(F.coalesce(row_id.cast("string"), blank), F.lit("|"), F.md5(F.coalesce(text, blank).cast("binary")), F.lit("|" + SEED)).cast("binary"))
 
 
 def document_sizes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Id, source, number of words, and the hash-random key in two parts, checkpointed."""
+    """One row for equal ones (id, source and text): number of words, key, and how many rows they are; checkpointed."""
     size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(common.WORD_RE)).cast("long")
-    key = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|" + SEED)).cast("binary"))
-    rows = docs.select(F.col(id_col), F.col("source").cast("string").alias("source"), size.alias("size"), key.alias("key"))
-    return common.cut(rows.withColumn("h32", F.conv(F.substring("key", 1, 8), 16, 10).cast("long")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_key(F.col(id_col), F.col("text")).alias("key"))
+    same = rows.groupBy("id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n"))
+    return common.cut(same.withColumns({"h32": F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), "words": F.col("size") * F.col("n")}))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -43,7 +52,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     in that order give the level at each of them, and the first at which no further
     source is above its limit is it. The windows run over sources, not documents.
     """
-    s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
+    s = sizes.groupBy("source").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     s = s.withColumn("rank", rank).withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") - 1) % len(weights)))
     everything = Window.partitionBy()
@@ -57,26 +66,54 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return s.select("source", "rank", "source_size", "source_rows", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """Per document: size, its source's size and target, and ``taken``, the words the mix takes of it."""
+def _shares(docs: DataFrame, id_col: str, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """Equal rows with ``epochs``, how often each is taken whole, and ``rest``, the words that are taken of them beyond that."""
     sizes = document_sizes(docs, id_col)
     targets = common.cut(source_targets(sizes, weights, share, most))
     t = common.lookup(targets).withColumnRenamed("source", "_source")
     rows = sizes.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = common.hash_order_prefix(rows, ["rank"], "size", "h32", ["key", "size"], "source_rows")
+    rows = common.hash_order_prefix(rows, ["rank"], "words", "h32", ["key", "size"], "source_rows")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rows = rows.withColumn("_epochs", epochs).withColumn("_rest", F.floor("target") - F.col("_epochs") * F.col("source_size"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("before")))
-    return rows.select(id_col, "source", "size", "source_size", "target", (F.col("_epochs") * F.col("size") + part).cast("long").alias("taken"), "key")
+    rows = rows.withColumn("epochs", epochs).withColumn("_left", F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("before"))
+    return rows.withColumn("rest", F.greatest(F.lit(0), F.least(F.col("words"), F.col("_left"))).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Per document: size, its source's size and target, and ``taken``, the words the mix takes of it.
+
+    Equal rows are one row up to here; they are dealt out again in runs of ``RUN``.
+    """
+    rows = _shares(docs, id_col, weights, share, most)
+    runs = rows.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    each = runs.withColumn("_k", F.explode(F.sequence(F.col("_first"), F.least(F.col("n"), F.col("_first") + RUN) - 1)))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_k") * F.col("size")))
+    taken = (F.col("epochs") * F.col("size") + part).cast("long")
+    return each.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "key")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of ``docs``.
 
     Documents stay whole: the one at a source's cut is given once more in full, so a
-    source exceeds its budget by less than one document. Rows with one id are taken alike.
+    source exceeds its budget by less than one document. Rows with equal id, source and
+    text take turns; at the cut (one such group a source at most) the first of them by
+    their other columns is given as often as words are left.
     """
-    copies = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    wanted = mix(docs, id_col).select(F.col(id_col).alias("_id"), "size", copies.alias("_copies")).groupBy("_id").agg(F.max("_copies").alias("_copies")).filter("_copies > 0")
-    out = docs.join(common.cut(wanted), F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    extra = F.when(F.col("size") > 0, F.ceil(F.col("rest") / F.col("size"))).otherwise(F.lit(0))
+    each = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0))
+    wanted = _shares(docs, id_col, WEIGHTS, SHARE, MOST).select("key", F.col("source").alias("src"), each.alias("each"), extra.alias("extra"), "n")
+    # all of equal rows are taken once more, or (at the cut) some of them
+    all_again = F.when(F.col("extra") == F.col("n"), 1).otherwise(0)
+    wanted = common.cut(wanted.select("key", "src", (F.col("each") + all_again).cast("int").alias("copies"), F.when(all_again == 0, F.col("extra")).otherwise(F.lit(0)).cast("long").alias("extra")).filter("copies > 0 OR extra > 0"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_col), F.col("text")).alias("key"), F.col("source").cast("string").alias("src"))
+    same = lambda a, b: (a["key"] == b["key"]) & a["src"].eqNullSafe(b["src"])
+    taken = rows.join(wanted, same(rows, wanted)).select("row", wanted["copies"]).filter("copies > 0")
+    out = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row")
+    cut = common.cut(wanted.filter("extra > 0").select("key", "src", "extra"))
+    if cut.take(1):
+        there = rows.join(F.broadcast(cut), same(rows, cut)).select(cut["key"], cut["src"], "extra", "row")  # at most one row a source
+        plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+        first = there.groupBy("key", "src", "extra").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+        runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1, F.lit(RUN).cast("long")))).repartition("key", "run")
+        out = out.unionByName(runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("extra"), F.col("run") + RUN) - 1))).select("row"))
+    return out.select("row.*")

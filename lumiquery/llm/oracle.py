@@ -98,7 +98,8 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 f AS ({" UNION ALL ".join(parts)}),
 h AS (SELECT doc_id, source, kind, rank, x.s AS s, x.s + x.n AS e, x.v AS v FROM f WHERE length(x.v) >= CASE kind {least} END),
 own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM h GROUP BY 1),
-judged AS (SELECT doc_id, count(*) FILTER (owners < {secret_scan.MIN_OWNERS}) AS n_live, count(*) FILTER (owners >= {secret_scan.MIN_OWNERS}) AS n_copied FROM (SELECT DISTINCT doc_id, v FROM h) JOIN own USING (v) GROUP BY 1),
+lim AS (SELECT least({secret_scan.MIN_OWNERS}, greatest({secret_scan.LEAST_OWNERS}, CAST(ceil(count(DISTINCT coalesce(source, chr(0))) / 2.0) AS BIGINT))) AS lim FROM documents),
+judged AS (SELECT doc_id, count(*) FILTER (owners < (SELECT lim FROM lim)) AS n_live, count(*) FILTER (owners >= (SELECT lim FROM lim)) AS n_copied FROM (SELECT DISTINCT doc_id, v FROM h) JOIN own USING (v) GROUP BY 1),
 a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg({line}, ',' ORDER BY s, rank) FILTER (kind IN ({base})) AS base, string_agg({line}, ',' ORDER BY s, rank) AS spans FROM h GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
@@ -106,7 +107,7 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 
 MIXING = f"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix-1') AS key FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) || '|mix-1') AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM r),

@@ -5,6 +5,7 @@ of the pieces between matches and of the matches give each match's place in code
 The hash of each candidate's secret is then aggregated over the corpus by distinct
 repositories and owners (first by both, so that a secret copied everywhere is summed
 before it is shuffled): one that many owners hold is a copied example, others look live.
+Many are ``MIN_OWNERS``, or half of all owners of the corpus where there are fewer.
 
 Edge cases: a null text is empty; a null repository or owner counts as one of its own;
 repeated rows are each answered, and count once in the frequencies; other columns are
@@ -48,8 +49,8 @@ KINDS = (
     Kind("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{5,}"),
 )
 
-#: A secret held by so many owners is a widely copied example.
-MIN_OWNERS = 5
+#: A secret that so many owners hold is a widely copied example; so is one that half of all owners hold, two at least.
+MIN_OWNERS, LEAST_OWNERS = 5, 2
 
 SPAN = "array<struct<kind:string,rank:int,start:bigint,end:bigint,value:string>>"
 
@@ -93,13 +94,15 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS, id_col: str = "doc_id", repository: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
     """Per document: ``spans`` in order (with their secrets), and how many distinct secrets look live or copied."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    names = dict.fromkeys((id_col, repository, owner))
-    rows = docs.select(*names, text.alias("_text"))
-    rows = rows.withColumn("spans", in_order(F.concat(*[spans(F.col("_text"), k, i) for i, k in enumerate(kinds)])))
-    rows = rows.select(F.col(id_col), F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"), "spans")
-    rows = common.cut(rows.withColumn("_row", F.xxhash64(id_col, "_repository", "_owner", F.to_json("spans"))))
-    held = rows.filter(F.size("spans") > 0).select("_row", "_repository", "_owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256)))).alias("secret"))
-    known = common.cut(ownership(held.select("secret", F.col("_repository").alias("repository"), F.col("_owner").alias("owner"))))
-    judged = held.select("_row", "secret").distinct().join(known, "secret").groupBy("_row").agg(F.count_if(F.col("owners") < min_owners).alias("n_live"), F.count_if(F.col("owners") >= min_owners).alias("n_copied"), F.max("owners").alias("most_owners"))
-    out = rows.join(judged, "_row", "left")
-    return out.select(id_col, "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied", "most_owners")])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), text.alias("text"))
+    rows = rows.withColumn("spans", in_order(F.concat(*[spans(F.col("text"), k, i) for i, k in enumerate(kinds)]))).drop("text")
+    # two 64-bit hashes: equal rows share a key, and no others
+    content = ("id", "repository", "owner", F.to_json("spans"))
+    rows = common.cut(rows.withColumns({"key": F.xxhash64(*content), "key2": F.xxhash64(F.lit("again"), *content)}))
+    held = rows.filter(F.size("spans") > 0).select("key", "key2", "repository", "owner", F.explode(F.array_distinct(F.transform("spans", lambda s: F.sha2(s["value"], 256)))).alias("secret"))
+    all_owners = rows.agg(F.countDistinct("owner") + F.max(F.col("owner").isNull().cast("int"))).first()[0] or 0
+    cut = min(min_owners, max(LEAST_OWNERS, -(-all_owners // 2)))
+    known = common.cut(ownership(held.select("secret", "repository", "owner")))
+    judged = held.select("key", "key2", "secret").distinct().join(known, "secret").groupBy("key", "key2").agg(F.count_if(F.col("owners") < cut).alias("n_live"), F.count_if(F.col("owners") >= cut).alias("n_copied"), F.max("owners").alias("most_owners"))
+    out = rows.join(judged, ["key", "key2"], "left")
+    return out.select(F.col("id").alias(id_col), "spans", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_live", "n_copied", "most_owners")])

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumiquery.llm import near_dedup
+from lumiquery.llm import mixing, near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -42,3 +45,43 @@ def test_dedup_stage_links_from_080(spark):
     rnd.shuffle(rows)
     got = corpus_pipeline.dedup(spark, spark.createDataFrame(rows, SCHEMA), "")
     assert sorted(r["doc_id"] for r in got.collect()) == want
+
+
+def test_mix_stage_meets_budgets_without_ids(spark):
+    rnd = random.Random(3)
+    rows = []
+    for k in range(600):
+        text = " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 30))) if k % 4 else "the same text"
+        doc = None if k % 3 == 0 else 7 if k % 3 == 1 else k
+        rows.append((doc, text, rnd.choice(["s1", "s1", "s2", None]), 1, "x", 2, "r"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, _copies string, _copy int, row string")
+    mixed = mixing.mixed_documents(d)
+    assert mixed.columns == d.columns
+    got, target = Counter(), {r["source"]: r["target"] for r in mixing.mix(d).collect()}
+    for r in mixed.collect():
+        assert (r["_id"], r["_copies"], r["_copy"], r["row"]) == (1, "x", 2, "r")
+        got[r["source"]] += len(r["text"].split())
+    assert set(got) == set(target) and all(0 <= got[s] - int(t) < 30 for s, t in target.items())
+    taken = Counter()
+    for r in mixing.mix(d).collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(taken[s] == int(t) for s, t in target.items())
+
+
+def test_stages_keep_columns_with_internal_names(spark, tmp_path):
+    names = ["_id", "_y", "_row", "_copies", "_copy", "_found", "_text", "score", "matches", "key", "src", "row", "copies", "extra", "id", "digest", "place", "_comp", "n", "rep"]
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    for k, n in enumerate(names):
+        d = d.withColumn(n, F.lit(k))
+    again = d.filter("doc_id % 7 = 0")
+    d = d.unionByName(again).unionByName(again.withColumn("doc_id", F.lit(None).cast("long")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, sf)
+        assert out.columns == d.columns, name
+        path = str(tmp_path / name.split(" ")[0])
+        out.write.parquet(path)
+        d = spark.read.parquet(path)
+        assert d.count() and all(d.select(n).distinct().collect() == [(k,)] for k, n in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count()
