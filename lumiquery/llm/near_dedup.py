@@ -14,10 +14,13 @@ Jaccard similarity.
 4. Pairs go on if the size bound allows, and the similarity that is most likely, given
    both sizes and how many registers are larger, smaller and equal, is at most five
    standard errors under the threshold. Then both texts' full sets are compared.
-5. Round two takes the buckets of three or more that still hold several components and
-   compares all their members of different components by finer sketches, each pair in the
-   first bucket that it shares, in square cells of bounded size, so a link that no pivot was part of is found, and a hot bucket is dealt
-   over many tasks. What passes is verified like before.
+5. Round two takes the members of all buckets of three or more that still hold several
+   components, and joins them by an exact prefix filter: texts meet only under a shingle
+   that is among the rarest of both, so pages that share a template but aren't linked
+   don't meet, however many they are. Under a shingle, members of the largest component
+   meet only the others, in square cells of bounded size that are dealt over many tasks.
+   Pairs of different components are compared by finer sketches; what passes is verified
+   like before. So a link that no pivot was part of is found.
 6. Components of the verified links come from alternating large-star and small-star steps.
 
 No step sends out all pairs of a group: rounds send pairs with a pivot, and pairs that
@@ -54,6 +57,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 SLACK = 5.0
 #: Members of a block; two blocks meet in a cell of round two.
 BLOCK = 256
+#: Hashed counters of shingle frequencies.
+COUNTERS = 1 << 18
 WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20_240_501)
@@ -143,7 +148,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for batch in batches:
+        for batch in common.slices(batches):
             digests, sizes, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -154,7 +159,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "digest", "n_shingles", "bands"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return common.short_batches(docs).select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, digest binary, n_shingles long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), "text").mapInArrow(run, f"id {kind}, digest binary, n_shingles long, bands array<long>")
 
 
 def _score(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +193,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 recent[text] = shingle_set(words_of(text), hashes)
             return recent[text]
 
-        for x in batches:
+        for x in common.slices(batches):
             common_n, union_n = [], []
             for ta, tb in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
                 s, t = get(ta), get(tb)
@@ -200,56 +205,118 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             yield out.filter(pa.array((u > 0) & (100 * i >= percent * u)))
 
     kind = texts.schema["id"].dataType.simpleString()
-    return common.short_batches(both).mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
+    return both.mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
+
+
+def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
+    """(token, rep, comp, n_shingles, indexed): the rarest shingles of each text, enough of them for a prefix filter.
+
+    In one order of all shingles, sets of similarity t share a token among the first
+    ``n - ceil(t n) + 1`` of the larger set and the first ``n - ceil(2t / (1 + t) n) + 1``
+    of the smaller one (``indexed``). The order is by frequency, counted in ``COUNTERS``
+    hashed counters, so what the driver sees is bounded; any order gives the same links.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = _Hashes(), np.zeros(COUNTERS, np.int64)
+        for x in common.slices(batches):
+            sets = [shingle_set(words_of(t), hashes) for t in x.column(2).to_pylist()]
+            if sets:
+                total += np.bincount(np.concatenate(sets) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["counter", "n"])
 
+    found = texts.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
+    often = np.zeros(COUNTERS, np.int64)
+    often[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+    kind = common.arrow_type(texts.schema["rep"].dataType)
 
-def _fine_sketches(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """(rep, fine): sketches of ``FINE`` registers of the documents with these ids."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n_of = _Hashes(), shared.value
+        for x in common.slices(batches, 200):
+            tokens, indexed, lengths, sizes = [], [], [], []
+            for t in x.column(2).to_pylist():
+                s = shingle_set(words_of(t), hashes)
+                n = len(s)
+                probe, index = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                tokens.append(s[np.lexsort((s, n_of[s % np.uint64(COUNTERS)]))[:probe]].view(np.int64))
+                indexed.append(np.arange(len(tokens[-1])) < index)
+                lengths.append(len(tokens[-1]))
+                sizes.append(n)
+            if tokens:
+                each = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), x.column(0).take(each), x.column(1).take(each), pa.array(np.repeat(sizes, lengths).astype(np.int64)), pa.array(np.concatenate(indexed))], schema=pa.schema([("token", pa.int64()), ("rep", kind), ("comp", kind), ("n_shingles", pa.int64()), ("indexed", pa.bool_())]))
+
+    name = texts.schema["rep"].dataType.simpleString()
+    return texts.mapInArrow(run, f"token long, rep {name}, comp {name}, n_shingles long, indexed boolean")
+
+
+def _fine_sketches(texts: DataFrame) -> DataFrame:
+    """(rep, fine): sketches of ``FINE`` registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for x in batches:
-            fine = [sketch(shingle_set(words_of(t), hashes), FINE).tobytes() for t in x.column(1).to_pylist()]
+        for x in common.slices(batches):
+            fine = [sketch(shingle_set(words_of(t), hashes), FINE).tobytes() for t in x.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fine, pa.binary())], names=["rep", "fine"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ids), "rep")
-    return common.short_batches(texts).mapInArrow(run, f"rep {kind}, fine binary")
-
-
-def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of different components in buckets of three or more that hold several."""
-    m = members.filter("n >= 3").join(labels, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).select("key", "band", "rep", "n", "comp")
+    return texts.mapInArrow(run, f"rep {texts.schema['rep'].dataType.simpleString()}, fine binary")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Deal the members of each token to square cells of two blocks.
+
+    Members of a token's largest component need no comparing among themselves: their
+    blocks meet only those of the others, and the others' blocks each other.
+    """
+    per = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"), F.bool_or("indexed").alias("indexed"))
+    per = per.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("big"), F.sum("n").alias("n"), F.bool_or("indexed").alias("indexed")).filter("n > big.n AND indexed")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    dealt = common.cut(per.select("token", F.col("big.comp").alias("big"), blocks(F.col("big.n")).alias("nb"), blocks(F.col("n") - F.col("big.n")).alias("ns")))
+    rows = rows.join(common.lookup(dealt), "token")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda row, col, left, right: F.struct(row.alias("row"), col.alias("col"), left.alias("left"), right.alias("right"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("comp") == F.col("big"), F.col("nb")).otherwise(F.col("ns")))
+    rows = rows.withColumn("block", block)
+    k, nb, ns = F.col("block"), F.col("nb"), F.col("ns")
+    big = F.transform(upto(ns), lambda j: place(k, j, F.lit(True), F.lit(False)))
+    other = F.concat(F.transform(upto(nb), lambda i: place(i, k, F.lit(False), F.lit(True))), F.transform(upto(ns), lambda j: place(nb + F.least(k, j), F.greatest(k, j), k <= j, k >= j)))
+    cell = F.explode(F.when(F.col("comp") == F.col("big"), big).otherwise(other))
+    return rows.select("token", "rep", "comp", "n_shingles", "indexed", cell.alias("cell")).select("token", "cell.*", "rep", "comp", "n_shingles", "indexed")
+
+
+def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
+    """Plausible pairs of different components among the members of all buckets of three or more that hold several."""
+    m = members.filter("n >= 3").join(labels, "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     open_keys = common.cut(m.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high").select("key"))
-    m = common.cut(m.join(common.lookup(open_keys), "key"))
-    fine = _fine_sketches(docs, common.cut(m.select("rep").distinct()), id_col)
-    m = m.join(common.cut(reps.select("rep", "n_shingles", "bands").join(fine, "rep")), "rep")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    m = m.withColumn("_block", F.pmod(F.xxhash64("rep"), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    m = m.select("key", F.least("_block", "_other").alias("row"), F.greatest("_block", "_other").alias("col"), (F.col("_block") <= F.col("_other")).alias("left"), (F.col("_block") >= F.col("_other")).alias("right"), "rep", "comp", "n_shingles", "bands", "band", "fine")
-    # the cells of a hot bucket hash to many tasks; a task holds one cell, two blocks, at a time
-    m = m.repartition("key", "row", "col").sortWithinPartitions("key", "row", "col")
-
-    def cell(rows: list[tuple]) -> dict[str, list]:
+    ids = common.cut(m.join(common.lookup(open_keys), "key").select("rep", "comp").distinct())
+    if not ids.take(1):
+        return None
+    texts = docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ids), "rep").select("rep", "comp", "text")
+    dealt = common.cut(_cells(common.cut(_prefixes(texts, percent))))
+    ends = common.cut(dealt.select("rep", "comp").distinct())
+    fine = _fine_sketches(docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ends), "rep").select("rep", "comp", "text"))
+    # the cells of a hot token hash to many tasks; a task holds one cell, two blocks, at a time
+    rows = dealt.join(common.cut(fine), "rep").select("token", "row", "col", "left", "right", "rep", "comp", "n_shingles", "indexed", "fine")
+    rows = rows.repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
+    schema = pa.schema([("a", common.arrow_type(ids.schema["rep"].dataType)), ("b", common.arrow_type(ids.schema["rep"].dataType))])
+
+    def cell(rows: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {"a": [], "b": []}
         right = [r for r in rows if r[4]]
-        if not right or len({r[6] for r in rows}) < 2:
-            return out
-        comp, size = np.array([r[6] for r in right]), np.array([r[7] for r in right])
-        bands, band = np.array([r[8] for r in right], np.int64), rows[0][9]
-        regs = np.frombuffer(b"".join(r[10] for r in right), np.uint16).reshape(-1, FINE)
-        for r in rows:
-            if r[3]:
-                # a pair is looked at only in the first of the buckets that it shares
-                at = np.flatnonzero((comp != r[6]) & ((bands == np.array(r[8], np.int64)).argmax(axis=1) == band))
-                if len(at):
-                    mine = np.broadcast_to(np.frombuffer(r[10], np.uint16), (len(at), FINE))
-                    for k in at[_plausible(np.full(len(at), r[7]), mine, size[at], regs[at], percent)]:
-                        out["a"].append(min(r[5], right[k][5]))
-                        out["b"].append(max(r[5], right[k][5]))
-        return out
-
-    id_type = pa.int32() if reps.schema["rep"].dataType.simpleString() == "int" else pa.int64() if reps.schema["rep"].dataType.simpleString() == "bigint" else pa.string()
+        if right and any(r[6] != rows[0][6] for r in rows):
+            comp, size, indexed = np.array([r[6] for r in right]), np.array([r[7] for r in right]), np.array([r[8] for r in right])
+            regs = np.frombuffer(b"".join(r[9] for r in right), np.uint16).reshape(-1, FINE)
+            for r in rows:
+                if r[3]:
+                    at = np.flatnonzero((comp != r[6]) & np.where(size >= r[7], r[8], indexed))
+                    if len(at):
+                        mine = np.broadcast_to(np.frombuffer(r[9], np.uint16), (len(at), FINE))
+                        for k in at[_plausible(np.full(len(at), r[7]), mine, size[at], regs[at], percent)]:
+                            out["a"].append(min(r[5], right[k][5]))
+                            out["b"].append(max(r[5], right[k][5]))
+        return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -257,14 +324,14 @@ def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: Da
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if r[:3] != at:
                     if rows:
-                        yield pa.RecordBatch.from_pydict(cell(rows), schema=pa.schema([("a", id_type), ("b", id_type)]))
+                        yield cell(rows)
                     at, rows = r[:3], []
                 rows.append(r)
         if rows:
-            yield pa.RecordBatch.from_pydict(cell(rows), schema=pa.schema([("a", id_type), ("b", id_type)]))
+            yield cell(rows)
 
-    kind = reps.schema["rep"].dataType.simpleString()
-    return m.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    kind = ids.schema["rep"].dataType.simpleString()
+    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -292,16 +359,17 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCEN
     rows = common.cut(sketches(docs, id_col))
     reps = rows.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = common.cut(reps)
-    keys = reps.select("rep", F.posexplode("bands").alias("band", "_band")).select("rep", "band", F.xxhash64("_band", "band").alias("key"))
+    keys = reps.select("rep", F.posexplode("bands").alias("band", "_band")).select("rep", F.xxhash64("_band", "band").alias("key"))
     buckets = common.cut(keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    members = common.cut(keys.join(buckets, "key").select("key", "band", "rep", "n", "pivot"))
+    members = common.cut(keys.join(buckets, "key").select("key", "rep", "n", "pivot"))
     first = members.filter("rep != pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     first = common.cut(_score(first, reps, percent))
     ids = lambda pairs: common.lookup(common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     text = lambda pairs: common.cut(docs.select(F.col(id_col).alias("id"), "text").join(ids(pairs), "id"))
     links = common.cut(_verify(first, text(first), percent))
-    second = common.cut(_residual_pairs(docs, id_col, members, components(links), reps, percent).join(first, ["a", "b"], "left_anti"))
-    if second.take(1):
+    rest = _residual_pairs(docs, id_col, members, components(links), percent)
+    if rest is not None:
+        second = common.cut(rest.join(first, ["a", "b"], "left_anti"))
         links = links.unionByName(common.cut(_verify(second, text(second), percent)))
     return rows, reps, links
 

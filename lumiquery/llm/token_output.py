@@ -3,30 +3,37 @@
 Documents are tokenized and cut into sequences of a fixed length. Each sequence has an
 ordinal (offset of its partition, plus its place there); a keyed Feistel permutation of
 the smallest power of four that is large enough, with cycle-walking, maps the ordinals
-0..N-1 onto the slots 0..N-1. Slots are dealt by range to shards, each shard is sorted by
-slot and written as one file of records of a fixed stride, so the record of slot s is at
-byte ``(s % per_shard) * stride`` of shard ``s // per_shard``, and a reader that stops at a slot
-resumes at that byte.
+0..N-1 onto the slots 0..N-1. Slots are range-partitioned: shard k is the range of slots
+from ``k * per_shard`` on, one task writes it, sorted by slot, as one file of records of a
+fixed stride. So the record of slot s is at byte ``(s % per_shard) * stride`` of shard
+``s // per_shard``, and a reader that stops at a slot resumes at that byte
+(``stream_records``, ``read_tokens``). Shards grow with the square root of the data, so neither
+their number nor a task's bytes runs away.
 
 Two passes read the documents: the first only counts sequences (one row a partition
 reaches the driver), so token ids are shuffled once and stored once. Both passes run on
-one physical RDD, so they see the same partitions; the second checks that its counts are
-those of the first. Files are written by Spark's own text writer, raw bytes and all, and
-commit with their tasks.
+one physical RDD, so they see the same partitions; the second checks that its texts, in
+their order, and its counts are those of the first, so a partition that comes back
+otherwise after a loss is an error and never a doubled or missing slot. Files are written
+by Spark's own text writer, raw bytes and all, and commit with their tasks; the layout is
+written last, so a directory without it is not complete.
 
 A record is: slot, document id (int64 each), sequence number in the document, number of
 tokens (int32 each), ``length`` token ids (uint16, filled up with the end token), and a
-line feed; all little-endian.
+line feed; all little-endian. The sequence number of a row without an id is its complement
+(below zero). An id that is no integer is written as its 64-bit hash, and a table beside
+the shards, ``_ids``, gives it back.
 
 Edge cases: a null or empty text is one sequence that holds the end token alone; a null
-id is written as the smallest int64 and read back as null; repeated rows each have
-sequences of their own; other columns are ignored; an empty table writes no shard and
-gives an empty result.
+id is read back as null; repeated rows each have sequences of their own; other columns
+are ignored; an empty table writes no shard and gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import math
 import sys
 import zlib
 from array import array
@@ -47,10 +54,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTH = 256
 KEY = 0x5EED_0F_0DD5
 ROUNDS = 6
-#: Shards are at least so many, so that they are written in parallel, until they reach the largest size.
-LEAST_SHARDS, MIN_PER_SHARD, MAX_PER_SHARD = 256, 1_024, 131_072
+#: A shard's slots: about so many times the square root of all, a power of two within these limits (0.5 MB to 1.1 GB a shard).
+SHARD_GROWTH, MIN_PER_SHARD, MAX_PER_SHARD = 8, 1_024, 2_097_152
 HEADER = np.dtype([("slot", "<i8"), ("doc_id", "<i8"), ("seq_no", "<i4"), ("n_tokens", "<i4")])
-NO_ID = -(2**63)
+#: Records that are read from a shard at once.
+READ_RECORDS = 4_096
+RECORD = "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens int, crc32 long, tokens binary"
+
 
 class Tokenizer:
     """Token ids as uint16 bytes."""
@@ -102,7 +112,8 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 def per_shard(n: int) -> int:
     """Slots of a shard for n sequences: a power of two."""
-    return min(MAX_PER_SHARD, max(MIN_PER_SHARD, 1 << max(0, -(-n // LEAST_SHARDS) - 1).bit_length()))
+    want = max(1, math.isqrt(max(0, n - 1)) * SHARD_GROWTH)
+    return min(MAX_PER_SHARD, max(MIN_PER_SHARD, 1 << (want - 1).bit_length()))
 
 
 def stride(length: int = LENGTH) -> int:
@@ -117,100 +128,155 @@ def _vocabulary(spark: SparkSession, path: str):  # noqa: ANN202
     return spark.sparkContext.broadcast(data)
 
 
+def _plain_ids(docs: DataFrame, id_col: str) -> bool:
+    return docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _write_ids(docs: DataFrame, path: str, id_col: str) -> None:
+    """The table from hash to id; two ids with one hash are an error."""
+    ids = docs.select(F.xxhash64(id_col).alias("hash"), F.col(id_col).alias("id")).filter("id IS NOT NULL").groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("_other"))
+    clash = F.when(F.col("id") == F.col("_other"), F.col("id")).otherwise(F.raise_error(F.lit("two ids have the same hash")).cast(docs.schema[id_col].dataType))
+    ids.select("hash", clash.alias("id")).write.mode("overwrite").parquet(f"{path}/_ids")
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary: str = VOCABULARY, length: int = LENGTH, key: int = KEY) -> int:
     """Write all shards below ``path``; returns the number of sequences."""
     spark = docs.sparkSession
     if docs.isEmpty():
         return 0
     ranks = _vocabulary(spark, vocabulary)
-    rows = common.pin(common.short_batches(docs).select(F.col(id_col).cast("long").alias("id"), "text"))
+    row_id = F.col(id_col).cast("long") if _plain_ids(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
+    rows = common.pin(docs.select(row_id.alias("id"), "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, n = Tokenizer(ranks.value), 0
-        for batch in batches:
+        tokenizer, n, crc = Tokenizer(ranks.value), 0, 0
+        for batch in common.slices(batches):
             for text in batch.column(1).to_pylist():
                 n += -(-tokenizer.count(text) // length)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+                crc = zlib.crc32((text or "").encode(), crc)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "crc": pa.array([crc], pa.int64())})
 
-    counts = dict(rows.mapInArrow(count, "part int, n long").collect())
-    total = sum(counts.values())
+    counts = {r["part"]: (r["n"], r["crc"]) for r in rows.mapInArrow(count, "part int, n long, crc long").collect()}
+    total = sum(n for n, _ in counts.values())
     if not total:
         return 0
     offsets, at = {}, 0
     for part in sorted(counts):
-        offsets[part], at = at, at + counts[part]
+        offsets[part], at = at, at + counts[part][0]
     slots, wide = per_shard(total), 2 * length
     fill = np.full(length, END, "<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = Tokenizer(ranks.value), TaskContext.get().partitionId()
+        tokenizer, part, crc = Tokenizer(ranks.value), TaskContext.get().partitionId(), 0
         at = offsets[part]
-        for batch in batches:
-            heads: list[tuple[int, int, int, int]] = []
-            bodies: list[bytes] = []
-
-            def emit() -> pa.RecordBatch:
-                head = np.array(heads, HEADER)
-                head["slot"] = feistel(np.arange(at, at + len(heads)), total, key)
-                raw = head.tobytes()
-                size = HEADER.itemsize
-                records = [raw[k * size : (k + 1) * size] + b + b"\n" for k, b in enumerate(bodies)]
-                return pa.RecordBatch.from_arrays([pa.array(head["slot"] // slots), pa.array(head["slot"]), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
-
+        heads: list[tuple[int, int, int, int]] = []
+        bodies: list[bytes] = []
+
+        def emit() -> pa.RecordBatch:
+            head = np.array(heads, HEADER)
+            head["slot"] = feistel(np.arange(at, at + len(heads)), total, key)
+            raw = head.tobytes()
+            size = HEADER.itemsize
+            records = [raw[k * size : (k + 1) * size] + b for k, b in enumerate(bodies)]
+            return pa.RecordBatch.from_arrays([pa.array((head["slot"] // slots).astype(np.int32)), pa.array(head["slot"]), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
+
+        for batch in common.slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                crc = zlib.crc32((text or "").encode(), crc)
                 ids = tokenizer.encode(text)
                 for k in range(0, len(ids), wide):
                     body = ids[k : k + wide]
-                    heads.append((0, NO_ID if doc is None else doc, k // wide, len(body) // 2))
+                    heads.append((0, doc or 0, ~(k // wide) if doc is None else k // wide, len(body) // 2))
                     bodies.append(body + fill[len(body) :])
                 if len(heads) >= 8_192:
                     yield emit()
                     at += len(heads)
                     heads, bodies = [], []
-            if heads:
-                yield emit()
-                at += len(heads)
-        if at != offsets[part] + counts[part]:
+        if heads:
+            yield emit()
+            at += len(heads)
+        if (at - offsets[part], crc) != counts[part]:
             raise RuntimeError(f"partition {part} changed between the passes")
 
-    sequences = rows.mapInArrow(cut, "shard long, slot long, record binary")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = sequences.repartition(parts, "shard").sortWithinPartitions("shard", "slot")
-    # the writer ends each row with a line feed, the record's last byte
-    body = F.substring("record", 1, stride(length) - 1).cast("string").alias("value")
-    dealt.select("shard", body).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    sequences = rows.mapInArrow(cut, "shard int, slot long, record binary")
+    # one partition a shard; the writer ends each row with a line feed, the record's last byte
+    dealt = sequences.repartitionById(-(-total // slots), "shard").sortWithinPartitions("shard", "slot")
+    dealt.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    if not _plain_ids(docs, id_col):
+        _write_ids(docs, path, id_col)
+    layout = {"sequences": total, "per_shard": slots, "length": length, "stride": stride(length), "key": key}
+    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_layout")
     return total
 
 
-def read_tokens(spark: SparkSession, path: str, length: int = LENGTH) -> DataFrame:
-    """One row for each record of the shards: where it is, what it holds, its ids and their CRC-32."""
-    wide = stride(length)
+def read_layout(spark: SparkSession, path: str) -> dict[str, int]:
+    """What the shards below ``path`` hold; an error if they are not complete."""
+    return json.loads(spark.read.text(f"{path}/_layout").first()["value"])
+
+
+def read_tokens(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
+    """One row for each record from slot ``start`` on: where it is, what it holds, its ids and their CRC-32.
+
+    Shards before that slot are not opened.
+    """
+    layout = read_layout(spark, path)
+    wide, slots, length = layout["stride"], layout["per_shard"], layout["length"]
     record = np.dtype([*HEADER.descr, ("tokens", "<u2", (length,)), ("end", "u1")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
+                data = content.as_buffer()
                 if len(data) % wide:
                     raise ValueError(f"shard {shard} is cut off")
-                r = np.frombuffer(data, record)
-                if (r["end"] != 10).any():
-                    raise ValueError(f"shard {shard} has a broken record")
-                n = len(r)
-                crc = [zlib.crc32(t[:k].tobytes()) for t, k in zip(r["tokens"], r["n_tokens"], strict=True)]
-                doc = pa.array(r["doc_id"].copy(), mask=r["doc_id"] == NO_ID)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["slot"].copy()), pa.array(np.full(n, shard, np.int64)), pa.array(np.arange(n) * wide), doc, pa.array(r["seq_no"].copy()), pa.array(r["n_tokens"].copy()), pa.array(crc, pa.int64()), pa.array([t[:k].tobytes() for t, k in zip(r["tokens"], r["n_tokens"], strict=True)], pa.binary())],
-                    names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", "tokens"],
-                )
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path).select("shard", "content")
-    return files.mapInArrow(run, "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens int, crc32 long, tokens binary")
+                first = max(0, start - shard * slots)
+                for at in range(first, len(data) // wide, READ_RECORDS):
+                    r = np.frombuffer(data[at * wide : (at + READ_RECORDS) * wide], record)
+                    if (r["end"] != 10).any():
+                        raise ValueError(f"shard {shard} has a broken record")
+                    n, none = len(r), r["seq_no"] < 0
+                    ids = [t[:k].tobytes() for t, k in zip(r["tokens"], r["n_tokens"], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(r["slot"].copy()), pa.array(np.full(n, shard, np.int64)), pa.array((at + np.arange(n)) * wide), pa.array(r["doc_id"].copy(), mask=none), pa.array(np.where(none, ~r["seq_no"], r["seq_no"])), pa.array(r["n_tokens"].copy()), pa.array([zlib.crc32(t) for t in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", "tokens"],
+                    )
+
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
+    out = files.filter(F.col("shard") >= start // slots).select("shard", "content").mapInArrow(run, RECORD)
+    if not common.path_exists(spark, f"{path}/_ids"):
+        return out
+    ids = spark.read.parquet(f"{path}/_ids")
+    return out.join(ids, out["doc_id"] == ids["hash"], "left").drop("hash", "doc_id").withColumnRenamed("id", "doc_id")
+
+
+def stream_records(spark: SparkSession, path: str, start: int = 0) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
+    """(slot, id, sequence number, token ids) one after the other from slot ``start`` on, as a trainer reads them.
+
+    The file system is asked for the bytes from that slot's record on, some thousand records at a time.
+    """
+    layout = read_layout(spark, path)
+    wide, slots = layout["stride"], layout["per_shard"]
+    record = np.dtype([*HEADER.descr, ("tokens", "<u2", (layout["length"],)), ("end", "u1")])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while start < layout["sequences"]:
+        shard = start // slots
+        names = [str(f.getPath()) for f in fs.listStatus(hadoop(f"{path}/shard={shard}")) if f.getPath().getName().startswith("part-")]
+        stream = fs.open(hadoop(names[0]))
+        try:
+            stream.seek((start % slots) * wide)
+            while data := bytes(stream.readNBytes(READ_RECORDS * wide)):
+                for r in np.frombuffer(data, record):
+                    none = r["seq_no"] < 0
+                    yield int(r["slot"]), None if none else int(r["doc_id"]), int(~r["seq_no"] if none else r["seq_no"]), r["tokens"][: r["n_tokens"]]
+        finally:
+            stream.close()
+        start = (shard + 1) * slots
 
 
 def materialise(docs: DataFrame, path: str, **options) -> DataFrame:  # noqa: ANN003
     """Write the shards below ``path`` and give their records, without the ids."""
     spark = docs.sparkSession
     if not write_tokens(docs, path, **options):
-        return spark.createDataFrame([], "slot long, shard long, offset long, doc_id long, seq_no int, n_tokens int, crc32 long")
-    return read_tokens(spark, path, options.get("length", LENGTH)).drop("tokens")
+        return spark.createDataFrame([], RECORD).drop("tokens")
+    return read_tokens(spark, path).drop("tokens")

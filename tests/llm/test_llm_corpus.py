@@ -68,6 +68,41 @@ def test_near_dedup_edges(spark):
     assert near_dedup.near_duplicates(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_dedup_finds_every_pair_near_the_threshold(spark):
+    rnd = random.Random(12)
+    rows, pairs = [], 0
+    for k in range(250):
+        n = rnd.randint(60, 400)
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+        # a copy that is cut or grown at its end, so that the sets differ in size, or edited inside
+        j = rnd.uniform(0.85, 0.87)
+        if k % 2:
+            copy = base[: -(-int(j * 1000) * (n - 4) // 1000) + 4 + 1]
+        else:
+            copy = list(base)
+            for at in rnd.sample(range(10, n - 10), max(1, int(n * (1 - j) / (1 + j) / 5))):
+                copy[at] = f"x{rnd.randint(0, 10**6)}"
+        rows += [(2 * k + 1, " ".join(base), "s"), (2 * k + 2, " ".join(copy), "s")]
+    want = brute_components(rows)
+    pairs = sum(c != i for i, (_, c) in want.items())
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert pairs > 200 and got == want
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_pages_of_one_template_are_not_compared(spark, n):
+    rnd = random.Random(n)
+    template = " ".join(f"t{k}" for k in range(150))
+    rows = [(k, k, f"{' '.join(f'u{rnd.randint(0, 10**7)}' for _ in range(40))} {template}") for k in range(n)]
+    pages = spark.createDataFrame(rows, "rep long, comp long, text string")
+    tokens = common.cut(near_dedup._prefixes(pages, 85))
+    # the rarest 27 or so of 186 shingles, and none of the template's that two pages share
+    assert tokens.count() < 30 * n and near_dedup._cells(tokens).count() == 0
+    # members of one component under one shingle meet the few others only: rows in proportion, not squared
+    family = tokens.select(F.lit(1).alias("token"), "rep", F.when(F.col("rep") > 3, F.lit(10**9)).otherwise(F.col("rep")).alias("comp"), "n_shingles", F.lit(True).alias("indexed")).dropDuplicates(["rep"])
+    assert near_dedup._cells(family).count() <= 3 * n
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**64, 3000, dtype=np.uint64)
@@ -183,7 +218,7 @@ def test_warc_round_trip(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\n"
     rows = [(1, "http://a/1", "same"), (2, "http://a/2", "same"), (9, None, "same"), (3, "u", None), (4, "u", ""), (5, "http://a b\r\nX: y", fake), (6, "u", "é🙂\n\r\n\r\n"), (7, "u", "big " * 50_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(5))
-    warc.write_warc(pages, str(tmp_path / "w"), records_per_file=3)
+    warc.write_warc(pages.repartition(2), str(tmp_path / "w"), archive_bytes=500)
     got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert got == {1: (4, "revisit", 9), 2: (4, "revisit", 9), 9: (4, "response", None), 3: (0, "revisit", 4), 4: (0, "response", None), 5: (len(fake), "response", None), 6: (11, "response", None), 7: (200_000, "response", None)}
     warc.write_warc(pages, str(tmp_path / "v"), least_bytes=5, compression="none")
@@ -200,6 +235,30 @@ def test_warc_edges(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_members_and_ids(spark, tmp_path):
+    rnd = random.Random(4)
+    noise = "".join(chr(rnd.randint(32, 0x2FFF)) for _ in range(200_000))
+    rows = [(k, "u", f"page {k % 7} {noise if k % 10 == 0 else ''}") for k in range(40)] + [(38, "u", "page 3 ")] * 3 + [(39, "u", "page 4 ")] * 2 + [(50, "u", "x" * (17 << 20))]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)
+    path = tmp_path / "w"
+    warc.write_warc(pages, str(path), archive_bytes=100_000, date="2025-02-03T04:05:06Z")
+    heads = []
+    for f in path.glob("archive=*/part-*"):
+        found = [h for m in warc.members(memoryview(f.read_bytes())) for h, _ in warc.parse_warc(m)]
+        assert f.stat().st_size <= 100_000 or len(found) == 1
+        assert len([m for m in warc.members(memoryview(f.read_bytes())) if m]) == len(found)
+        heads += found
+    assert len(heads) == len(rows) and len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    by_id = {h["WARC-Record-ID"]: h for h in heads}
+    again = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert again and {h["WARC-Date"] for h in heads} == {"2025-02-03T04:05:06Z"}
+    for h in again:
+        named = h.get("WARC-Refers-To")
+        assert (named is None) == (h["X-Refers-To-Page-Id"] in ("38", "39"))
+        assert named is None or (by_id[named]["X-Page-Id"], by_id[named]["WARC-Type"], by_id[named]["WARC-Payload-Digest"]) == (h["X-Refers-To-Page-Id"], "response", h["WARC-Payload-Digest"])
+    assert warc.read_warc(spark, str(path), "int").filter("record_type = 'revisit'").count() == len(again)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 255, 256, 257, 5000])
 def test_feistel_is_a_permutation(n):
     assert sorted(token_output.feistel(np.arange(n), n)) == list(range(n))
@@ -211,7 +270,7 @@ def test_tokens_round_trip(spark, tmp_path):
     rows = [(i, f"text number {i} " + "more words " * (i * 7 % 400), "s") for i in range(60)] + [(70, None, "s"), (71, "", "s"), (None, "no id <|endoftext|> é🙂", "s"), (5, "again", "s")]
     d = docs(spark, rows).repartition(5)
     n = token_output.write_tokens(d, str(tmp_path / "t"), length=64)
-    got = token_output.read_tokens(spark, str(tmp_path / "t"), length=64).collect()
+    got = token_output.read_tokens(spark, str(tmp_path / "t")).collect()
     assert sorted(r["slot"] for r in got) == list(range(n))
     assert all(r["slot"] == r["shard"] * token_output.per_shard(n) + r["offset"] // token_output.stride(64) for r in got)
     tokenizer = token_output.Tokenizer(open(token_output.VOCABULARY, "rb").read())
@@ -230,6 +289,37 @@ def test_tokens_round_trip(spark, tmp_path):
     assert token_output.materialise(d.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_tokens_resume_at_a_slot(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_output, "MIN_PER_SHARD", 16)
+    monkeypatch.setattr(token_output, "SHARD_GROWTH", 2)
+    low = -(2**63)
+    rows = [(low if i == 3 else None if i % 11 == 0 else i, "some words of a text " * (i % 60), "s") for i in range(90)]
+    d = docs(spark, rows).repartition(3)
+    path = str(tmp_path / "t")
+    n = token_output.write_tokens(d, path, length=32)
+    slots = token_output.per_shard(n)
+    whole = {r["slot"]: (r["doc_id"], r["seq_no"], bytes(r["tokens"])) for r in token_output.read_tokens(spark, path).collect()}
+    assert len(whole) == n > 3 * slots and low in {v[0] for v in whole.values()} and None in {v[0] for v in whole.values()}
+    for start in (0, slots + 5, 2 * slots, n - 1, n):
+        want = {k: v for k, v in whole.items() if k >= start}
+        assert {r["slot"]: (r["doc_id"], r["seq_no"], bytes(r["tokens"])) for r in token_output.read_tokens(spark, path, start).collect()} == want
+        read = list(token_output.stream_records(spark, path, start))
+        assert [r[0] for r in read] == list(range(start, n)) and {r[0]: (r[1], r[2], r[3].tobytes()) for r in read} == want
+
+
+def test_tokens_with_text_ids(spark, tmp_path):
+    d = spark.createDataFrame([(f"doc-{i}" if i else None, "words " * i) for i in range(40)], "doc_id string, text string")
+    got = token_output.materialise(d, str(tmp_path / "t"))
+    assert {r["doc_id"] for r in got.collect()} == {None, *(f"doc-{i}" for i in range(1, 40))}
+    assert got.columns.count("doc_id") == 1 and got.count() == 40
+
+
+@pytest.mark.parametrize("n", [1, 10_000, 10**6, 10**8, 10**11])
+def test_shards_and_their_size_grow_alike(n):
+    slots = token_output.per_shard(n)
+    assert -(-n // slots) * 4 <= max(4, 8 * n**0.5) and slots * token_output.stride() < 1.2e9
+
+
 def test_pipeline_stages(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
