@@ -50,7 +50,8 @@ UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u30
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 QUESTION_OVERLAP, ANSWER_OVERLAP, GRAM = 0.8, 0.8, 3
-MIN_WORDS, MAX_ITEMS = 5, 50_000
+#: An index has at most about so many items and so many postings (some 0.5 KB each while it is built); beyond either there are several.
+MIN_WORDS, MAX_ITEMS, MAX_POSTINGS = 5, 50_000, 500_000
 BLOCK = 4
 #: Terms in more than this share of the items are summed as one constant in the bounds.
 FREQUENT = 0.05
@@ -248,13 +249,12 @@ class Index:
 
 def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType, corpus: tuple[int, int, int, Counter] | None = None) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(items, corpus))  # at most about MAX_ITEMS items
-    id_type = {"int": pa.int32(), "bigint": pa.int64()}.get(item_type.simpleString(), pa.string())
-    kind = pa.list_(pa.struct([("item_id", id_type), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
+    kind = pa.list_(pa.struct([("item_id", common.arrow_type(item_type)), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index.value
         stride, get = x.longest, x.terms.get
-        for batch in batches:
+        for batch in common.slices(batches):
             out: list[list[dict]] = []
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for first in range(0, len(texts), 256):
@@ -274,14 +274,15 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
 
     match = T.StructType([T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("matches", T.ArrayType(match))])
-    return common.short_batches(docs).select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:
     """Each document with the columns to keep and ``matches``, the test items that it holds."""
     item_type = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("id"), "text").filter("text is not null")
-    shards = max(1, -(-items.count() // max_items))
+    n, postings = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", "\\W+"))), F.lit(0))).first()
+    shards = max(1, -(-n // max_items), -(-postings // MAX_POSTINGS))
     corpus = None
     if shards > 1:
         words = (ws for r in items.toLocalIterator() if len(ws := words_of(r["text"])) >= MIN_WORDS)

@@ -8,9 +8,10 @@ which a logistic curve maps to the score.
 Training: document labels are given to all lines; after a first fit the lines of bad
 documents that look good on their own become good (never all of a document's lines),
 and the field is fitted again. Only labelled rows whose crc32(id as text) mod 3 is not 1
-are used, at most ``MAX_TRAIN_DOCS`` of them in hash order, with at most
-``MAX_TRAIN_LINES`` lines each; the id chooses rows and is never a feature. Scoring
-takes every line of every text.
+are used: the first ``MAX_TRAIN_DOCS`` ids in hash order, and of these the first whose
+lines are ``MAX_TRAIN_LINES`` in all (a longer document is left out), so the driver holds
+at most 100 MB of features. Of rows that share an id one is used. The id chooses rows and
+is never a feature. Scoring takes every line of every text.
 
 Edge cases: a null or empty text is one empty line and is scored like any other;
 repeated rows are each answered; rows with several labels count by the lowest; a null id
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MAX_TRAIN_DOCS, MAX_TRAIN_LINES = 4_000, 2_000
+MAX_TRAIN_DOCS, MAX_TRAIN_LINES = 4_000, 200_000
 STEPS, RATE, DECAY = 150, 0.15, 1e-3
 #: A line of a bad document is good if the first fit, without neighbours' labels, says so this surely.
 SURE = 0.9
@@ -198,26 +199,36 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
     return field
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_docs: int = MAX_TRAIN_DOCS) -> Field:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES) -> Field:
     """Fit on a bounded sample of the labelled documents that aren't held out."""
     spark = docs.sparkSession
-    usable = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1))
-    picked = usable.groupBy(id_col).agg(F.min(label).cast("int").alias("_y")).orderBy(F.xxhash64(id_col), id_col).limit(max_docs).collect()
+    usable = labels.select(F.col(id_col).alias("_id"), F.col(label).alias("_y"))
+    usable = usable.filter(F.col("_id").isNotNull() & F.col("_y").isNotNull() & (F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1))
+    picked = usable.groupBy("_id").agg(F.min("_y").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_docs).collect()
     kind = docs.schema[id_col].dataType.simpleString()
-    ids = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in picked], f"_id {kind}, _y int"))  # at most max_docs rows
+    ids = spark.createDataFrame([(k, r[0], r[1]) for k, r in enumerate(picked)], f"_place int, _id {kind}, _y int")  # at most max_docs rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             out = []
-            for key, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (text or "").count("\n") < MAX_TRAIN_LINES:
+            for place, text, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (text or "").count("\n") < max_lines:
                     x, n = line_features(text)
-                    out.append({"id": str(key), "x": x.tobytes(), "n": n.tobytes(), "y": y})
+                    out.append({"place": place, "lines": len(n), "x": x.tobytes(), "n": n.tobytes(), "y": y})
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("id", pa.string()), ("x", pa.binary()), ("n", pa.binary()), ("y", pa.int32())]))
-
-    rows = common.short_batches(docs).join(ids, docs[id_col] == ids["_id"]).select(id_col, "text", "_y").mapInArrow(run, "id string, x binary, n binary, y int").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("place", pa.int32()), ("lines", pa.int32()), ("x", pa.binary()), ("n", pa.binary()), ("y", pa.int32())]))
+
+    texts = docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(ids), "_id").select("_place", "text", "_y")
+    features = texts.mapInArrow(run, "place int, lines int, x binary, n binary, y int")
+    # one row an id, then documents in hash order as long as their lines are few enough for the driver
+    one = common.cut(features.groupBy("place").agg(F.min(F.struct("lines", "x", "n", "y")).alias("r")).select("place", "r.*"))
+    last, lines = -1, 0
+    for r in one.select("place", "lines").orderBy("place").collect():
+        lines += r["lines"]
+        if lines > max_lines:
+            break
+        last = r["place"]
+    rows = one.filter(F.col("place") <= last).orderBy("place").collect()
     return fit([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES), np.frombuffer(bytes(r["n"]), np.int64), r["y"]) for r in rows])
 
 
@@ -225,7 +236,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep:
     """Per document: id, the columns to keep, and ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             scores, part, lines = [], [], 0
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for i, text in enumerate(texts):
@@ -240,7 +251,7 @@ def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep:
 
     cols = list(dict.fromkeys((id_col, *keep)))
     schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("score", T.DoubleType())])
-    return common.short_batches(docs).select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

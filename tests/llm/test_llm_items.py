@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 from lumiquery.llm import decontaminate
 
@@ -38,3 +40,53 @@ def test_short_items_are_found_exactly(spark):
     for max_items in (decontaminate.MAX_ITEMS, 2):
         got = found(decontaminate.match_documents(docs, bench, max_items=max_items))
         assert got.keys() == want and set(got.values()) == {(1.0, 1.0, 1.0)}
+
+
+def brute(docs, items):
+    """Every passage against every item, by the formula: (doc, item) whose score and overlaps reach the thresholds."""
+    d = decontaminate
+    words = {i: d.words_of(t) for i, t in items if t}
+    scored = {i: ws for i, ws in words.items() if len(ws) >= d.MIN_WORDS}
+    n, mean, stride = len(scored), sum(map(len, scored.values())) / len(scored), max(map(len, scored.values()))
+    df = Counter(w for ws in scored.values() for w in set(ws))
+    found = set()
+    for doc, text in docs:
+        ws = d.words_of(text)
+        for i, item in words.items():
+            if i not in scored:
+                if any(ws[k : k + len(item)] == item for k in range(len(ws))):
+                    found.add((doc, i))
+                continue
+            tf = Counter(item)
+            impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (d.K1 + 1) / (f + d.K1 * (1 - d.B + d.B * len(item) / mean)) for w, f in tf.items()}
+            q, a = d.split_item(dict(items)[i])
+            for k in range(0, max(1, len(ws)), stride):
+                share = sum(impact[w] for w in set(ws[k : k + 2 * stride]) & impact.keys()) / sum(impact.values())
+                near = ws[max(0, k - stride) : k + 3 * stride]
+                if share >= d.THRESHOLD - 1e-9 and d.overlap(q, near) >= d.QUESTION_OVERLAP and d.overlap(a, near) >= d.ANSWER_OVERLAP:
+                    found.add((doc, i))
+    return found
+
+
+def test_every_passage_against_every_item(spark):
+    rnd = random.Random(8)
+    some = lambda n: [rnd.choice(["the", "of", "stone", "river"]) if rnd.random() < 0.3 else f"w{rnd.randint(0, 400)}" for _ in range(n)]
+    items = [(k, " ".join(some(rnd.randint(12, 40))) + ". " + " ".join(some(rnd.randint(3, 9)))) for k in range(16)]
+    items += [(20, "zebra"), (21, "ada who"), (22, "one two three"), (23, "w1 w2 w3 w4")]
+    docs, planted = [], set()
+    for k in range(120):
+        i, text = rnd.choice(items)
+        ws = decontaminate.words_of(text)
+        edits = rnd.choice([0, 0, 1, 2, 6]) if len(ws) > 10 else 0
+        for _ in range(edits):
+            ws[rnd.randrange(len(ws))] = "edited"
+        if edits <= 1:
+            planted.add((k, i))
+        docs.append((k, " ".join([*some(rnd.randint(0, 90)), *ws, *some(rnd.randint(0, 90))])))
+    want = brute(docs, items)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for max_items in (decontaminate.MAX_ITEMS, 7, 1):
+        assert found(decontaminate.match_documents(d, bench, max_items=max_items)).keys() == want, max_items
+    # copies with at most one word changed: all but those whose few answer words were hit
+    assert len(planted & want) >= 0.9 * len(planted)

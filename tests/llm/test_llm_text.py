@@ -43,6 +43,74 @@ def test_licence_templates(spark):
     assert license_scan.scan_licenses(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def licence_text(label):
+    return next(t.text for t in license_scan.TEMPLATES if t.label == label)
+
+
+def edited(rnd, ws, n):
+    """n words put in, left out or changed, none of them in the key phrases at either end."""
+    ws = list(ws)
+    for _ in range(n):
+        k = rnd.randrange(len(ws))
+        ws[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["entity"], ["or", "other"]])
+    return ws
+
+
+def test_licences_with_changed_words(spark):
+    mit = licence_text("mit-text")
+    changed = mit.replace("any person obtaining", "any person or entity obtaining").replace("publish ", "")
+    lines = "\n * ".join(" ".join(changed.upper().split()[k : k + 9]) for k in range(0, 70, 9))
+    half = " ".join(mit.split()[:30])
+    texts = [changed, lines, half, mit + " filler " * 50 + mit, "no licence here " * 20]
+    got = [sorted(m["label"] for m in r["matches"]) for r in license_scan.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["mit-text"], ["mit-text"], [], ["mit-text", "mit-text"], []]
+
+
+def test_licence_index_against_every_position():
+    rnd = random.Random(6)
+    idf = {w: rnd.uniform(0.5, 9) for t in license_scan.TEMPLATES for w in license_scan.words_of(t.text)}
+    index = license_scan.LicenseIndex(license_scan.TEMPLATES, idf)
+    n_found = 0
+    for _ in range(60):
+        i = rnd.randrange(len(license_scan.TEMPLATES))
+        body = edited(rnd, index.words[i], rnd.choice([0, 1, 2, 4, 9]))
+        words = [rnd.choice(["the", "software", "license", "x", "y"]) for _ in range(rnd.randint(0, 30))] + body + ["end"] * rnd.randint(0, 9)
+        want = set()
+        for j, t in enumerate(license_scan.TEMPLATES):
+            ws, x = index.words[j], index.weights[j]
+            for o in range(-len(ws), len(words)):
+                if t.coverage >= 1:
+                    if o >= 0 and words[o : o + len(ws)] == ws:
+                        want.add(t.label)
+                    continue
+                got, first, last = license_scan.align(words, ws, x, o)
+                place = words[first : last + 1] if got else []
+                holds = lambda key, place=place: any(place[a : a + len(key)] == key for a in range(len(place) - len(key) + 1))
+                if got >= t.coverage * sum(x) - 1e-9 and all(holds(license_scan.words_of(k)) for k in t.key_phrases):
+                    want.add(t.label)
+        found = {license_scan.TEMPLATES[j].label for j, *_ in index.scan(words)}
+        assert found == want, (found, want)
+        n_found += len(want)
+    assert n_found > 40
+
+
+def test_licence_query_columns(spark):
+    from lumiquery.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op1_license_scan(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        ws = license_scan.words_of(texts[r["doc_id"]])
+        places = [(k, label) for label, p in (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")) for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split()]
+        starts = [k for k, _ in places]
+        base = sorted({label for _, label in places})
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(ws), len(places), min(starts, default=None), max(starts, default=None), ",".join(base))
+        labels = r["labels"].split(",") if r["labels"] else []
+        assert labels == sorted(set(labels)) and set(base) <= set(labels) and (r["score"] == 1.0 if base else (0 < r["score"] <= 1) == bool(labels))
+
+
 def test_urls_against_brute_force(spark):
     rnd = random.Random(2)
     labels, parts = ["a", "b", "com", "net", "x1"], ["/", "/en", "/en/", "/en/7", "/de/", ""]
