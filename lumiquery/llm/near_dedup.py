@@ -42,6 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ SLACK = 5.0
 BLOCK = 256
 #: Hashed counters of shingle frequencies.
 COUNTERS = 1 << 18
+#: Rarest shingles that go with a text to its cells, so that most pairs go on from one cell only.
+HEAD = 64
 WORD_CACHE = 200_000
 
 _rng = np.random.default_rng(20_240_501)
@@ -208,14 +211,8 @@ def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, n_common long, n_union long")
 
 
-def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
-    """(token, rep, comp, n_shingles, indexed): the rarest shingles of each text, enough of them for a prefix filter.
-
-    In one order of all shingles, sets of similarity t share a token among the first
-    ``n - ceil(t n) + 1`` of the larger set and the first ``n - ceil(2t / (1 + t) n) + 1``
-    of the smaller one (``indexed``). The order is by frequency, counted in ``COUNTERS``
-    hashed counters, so what the driver sees is bounded; any order gives the same links.
-    """
+def _frequencies(texts: DataFrame) -> Broadcast:
+    """Shingle frequencies in ``COUNTERS`` hashed counters, so what the driver sees is bounded. They only put shingles in order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total = _Hashes(), np.zeros(COUNTERS, np.int64)
@@ -229,39 +226,55 @@ def _prefixes(texts: DataFrame, percent: int) -> DataFrame:
     found = texts.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # at most COUNTERS rows
     often = np.zeros(COUNTERS, np.int64)
     often[found.column("counter").to_numpy()] = found.column("n").to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(often)
+    return texts.sparkSession.sparkContext.broadcast(often)
+
+
+def _by_rarity(s: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
+    """The n rarest shingles of a set, in the one order of all shingles."""
+    return s[np.lexsort((s, often[s % np.uint64(COUNTERS)]))[:n]]
+
+
+def _prefixes(texts: DataFrame, often: Broadcast, percent: int) -> DataFrame:
+    """(token, rep, comp, n_shingles, place, indexed): the rarest shingles of each text, enough of them for a prefix filter.
+
+    In one order of all shingles, sets of similarity t share a token among the first
+    ``n - ceil(t n) + 1`` of the larger set and the first ``n - ceil(2t / (1 + t) n) + 1``
+    of the smaller one (``indexed``).
+    """
     kind = common.arrow_type(texts.schema["rep"].dataType)
+    schema = pa.schema([("token", pa.int64()), ("rep", kind), ("comp", kind), ("n_shingles", pa.int64()), ("place", pa.int32()), ("indexed", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n_of = _Hashes(), shared.value
+        hashes = _Hashes()
         for x in common.slices(batches, 200):
-            tokens, indexed, lengths, sizes = [], [], [], []
+            tokens, index, sizes = [], [], []
             for t in x.column(2).to_pylist():
                 s = shingle_set(words_of(t), hashes)
                 n = len(s)
-                probe, index = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
-                tokens.append(s[np.lexsort((s, n_of[s % np.uint64(COUNTERS)]))[:probe]].view(np.int64))
-                indexed.append(np.arange(len(tokens[-1])) < index)
-                lengths.append(len(tokens[-1]))
+                tokens.append(_by_rarity(s, often.value, n - -(-percent * n // 100) + 1).view(np.int64))
+                index.append(n - -(-2 * percent * n // (100 + percent)) + 1)
                 sizes.append(n)
             if tokens:
-                each = pa.array(np.repeat(np.arange(len(lengths)), lengths))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), x.column(0).take(each), x.column(1).take(each), pa.array(np.repeat(sizes, lengths).astype(np.int64)), pa.array(np.concatenate(indexed))], schema=pa.schema([("token", pa.int64()), ("rep", kind), ("comp", kind), ("n_shingles", pa.int64()), ("indexed", pa.bool_())]))
+                lengths = [len(t) for t in tokens]
+                each, places = np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                columns = [pa.array(np.concatenate(tokens)), x.column(0).take(pa.array(each)), x.column(1).take(pa.array(each)), pa.array(np.array(sizes, np.int64)[each]), pa.array(places), pa.array(places < np.array(index)[each])]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     name = texts.schema["rep"].dataType.simpleString()
-    return texts.mapInArrow(run, f"token long, rep {name}, comp {name}, n_shingles long, indexed boolean")
+    return texts.mapInArrow(run, f"token long, rep {name}, comp {name}, n_shingles long, place int, indexed boolean")
 
 
-def _fine_sketches(texts: DataFrame) -> DataFrame:
-    """(rep, fine): sketches of ``FINE`` registers."""
+def _fine_sketches(texts: DataFrame, often: Broadcast) -> DataFrame:
+    """(rep, fine, head): sketches of ``FINE`` registers, and the ``HEAD`` rarest shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for x in common.slices(batches):
-            fine = [sketch(shingle_set(words_of(t), hashes), FINE).tobytes() for t in x.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fine, pa.binary())], names=["rep", "fine"])
+            sets = [shingle_set(words_of(t), hashes) for t in x.column(2).to_pylist()]
+            fine, head = [sketch(s, FINE).tobytes() for s in sets], [_by_rarity(s, often.value, HEAD).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(fine, pa.binary()), pa.array(head, pa.binary())], names=["rep", "fine", "head"])
 
-    return texts.mapInArrow(run, f"rep {texts.schema['rep'].dataType.simpleString()}, fine binary")
+    return texts.mapInArrow(run, f"rep {texts.schema['rep'].dataType.simpleString()}, fine binary, head binary")
 
 
 def _cells(rows: DataFrame) -> DataFrame:
@@ -283,7 +296,7 @@ def _cells(rows: DataFrame) -> DataFrame:
     big = F.transform(upto(ns), lambda j: place(k, j, F.lit(True), F.lit(False)))
     other = F.concat(F.transform(upto(nb), lambda i: place(i, k, F.lit(False), F.lit(True))), F.transform(upto(ns), lambda j: place(nb + F.least(k, j), F.greatest(k, j), k <= j, k >= j)))
     cell = F.explode(F.when(F.col("comp") == F.col("big"), big).otherwise(other))
-    return rows.select("token", "rep", "comp", "n_shingles", "indexed", cell.alias("cell")).select("token", "cell.*", "rep", "comp", "n_shingles", "indexed")
+    return rows.select("token", "rep", "comp", "n_shingles", "place", "indexed", cell.alias("cell")).select("token", "cell.*", "rep", "comp", "n_shingles", "place", "indexed")
 
 
 def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: DataFrame, percent: int) -> DataFrame | None:
@@ -294,16 +307,24 @@ def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: Da
     if not ids.take(1):
         return None
     texts = docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ids), "rep").select("rep", "comp", "text")
-    dealt = common.cut(_cells(common.cut(_prefixes(texts, percent))))
+    often = _frequencies(texts)
+    dealt = common.cut(_cells(common.cut(_prefixes(texts, often, percent))))
     ends = common.cut(dealt.select("rep", "comp").distinct())
-    fine = _fine_sketches(docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ends), "rep").select("rep", "comp", "text"))
+    fine = _fine_sketches(docs.select(F.col(id_col).alias("rep"), "text").join(common.lookup(ends), "rep").select("rep", "comp", "text"), often)
     # the cells of a hot token hash to many tasks; a task holds one cell, two blocks, at a time
-    rows = dealt.join(common.cut(fine), "rep").select("token", "row", "col", "left", "right", "rep", "comp", "n_shingles", "indexed", "fine")
+    rows = dealt.join(common.cut(fine), "rep").select("token", "row", "col", "left", "right", "rep", "comp", "n_shingles", "indexed", "fine", "head", "place")
     rows = rows.repartition("token", "row", "col").sortWithinPartitions("token", "row", "col")
     schema = pa.schema([("a", common.arrow_type(ids.schema["rep"].dataType)), ("b", common.arrow_type(ids.schema["rep"].dataType))])
 
     def cell(rows: list[tuple]) -> pa.RecordBatch:
         out: dict[str, list] = {"a": [], "b": []}
+        seen: dict[object, frozenset[int]] = {}
+
+        def early(r: tuple) -> frozenset[int]:
+            if r[5] not in seen:
+                seen[r[5]] = frozenset(np.frombuffer(r[10], np.uint64)[: r[11]].tolist())
+            return seen[r[5]]
+
         right = [r for r in rows if r[4]]
         if right and any(r[6] != rows[0][6] for r in rows):
             comp, size, indexed = np.array([r[6] for r in right]), np.array([r[7] for r in right]), np.array([r[8] for r in right])
@@ -314,8 +335,10 @@ def _residual_pairs(docs: DataFrame, id_col: str, members: DataFrame, labels: Da
                     if len(at):
                         mine = np.broadcast_to(np.frombuffer(r[9], np.uint16), (len(at), FINE))
                         for k in at[_plausible(np.full(len(at), r[7]), mine, size[at], regs[at], percent)]:
-                            out["a"].append(min(r[5], right[k][5]))
-                            out["b"].append(max(r[5], right[k][5]))
+                            # a pair that surely met under a rarer shingle went on from there
+                            if not early(r) or early(r).isdisjoint(early(right[k])):
+                                out["a"].append(min(r[5], right[k][5]))
+                                out["b"].append(max(r[5], right[k][5]))
         return pa.RecordBatch.from_pydict(out, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -95,11 +95,11 @@ def test_pages_of_one_template_are_not_compared(spark, n):
     template = " ".join(f"t{k}" for k in range(150))
     rows = [(k, k, f"{' '.join(f'u{rnd.randint(0, 10**7)}' for _ in range(40))} {template}") for k in range(n)]
     pages = spark.createDataFrame(rows, "rep long, comp long, text string")
-    tokens = common.cut(near_dedup._prefixes(pages, 85))
+    tokens = common.cut(near_dedup._prefixes(pages, near_dedup._frequencies(pages), 85))
     # the rarest 27 or so of 186 shingles, and none of the template's that two pages share
     assert tokens.count() < 30 * n and near_dedup._cells(tokens).count() == 0
     # members of one component under one shingle meet the few others only: rows in proportion, not squared
-    family = tokens.select(F.lit(1).alias("token"), "rep", F.when(F.col("rep") > 3, F.lit(10**9)).otherwise(F.col("rep")).alias("comp"), "n_shingles", F.lit(True).alias("indexed")).dropDuplicates(["rep"])
+    family = tokens.select(F.lit(1).alias("token"), "rep", F.when(F.col("rep") > 3, F.lit(10**9)).otherwise(F.col("rep")).alias("comp"), "n_shingles", "place", F.lit(True).alias("indexed")).dropDuplicates(["rep"])
     assert near_dedup._cells(family).count() <= 3 * n
 
 
