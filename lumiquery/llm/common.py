@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,6 +59,31 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = TEXTS_PER_SLICE) -> It
             yield batch.slice(first, rows)
 
 
+def field_of(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of a batch, or a field of a struct in it (``struct.field``)."""
+    first, _, rest = name.partition(".")
+    column = batch.column(first)
+    return pc.struct_field(column, rest) if rest else column
+
+
+@contextmanager
+def few_rows_a_batch(spark: SparkSession, rows: int = TEXTS_PER_SLICE) -> Iterator[None]:
+    """While steps run here, Spark puts at most so many rows into an Arrow batch; then the session is as it was.
+
+    It bounds what the JVM and Arrow hold of texts in a task; frames that are evaluated later go by the session.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    if 0 < before <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     """The Arrow type in which Spark takes a column back."""
     return to_arrow_type(kind)

@@ -247,7 +247,7 @@ class Index:
         return [(j, *v) for j, v in sorted(best.items())]
 
 
-def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType, corpus: tuple[int, int, int, Counter] | None = None) -> DataFrame:
+def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType, corpus: tuple[int, int, int, Counter] | None = None, text: str = "text") -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast(Index(items, corpus))  # at most about MAX_ITEMS items
     kind = pa.list_(pa.struct([("item_id", common.arrow_type(item_type)), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
@@ -256,7 +256,7 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
         stride, get = x.longest, x.terms.get
         for batch in common.slices(batches):
             out: list[list[dict]] = []
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = common.field_of(batch, text).to_pylist()
             for first in range(0, len(texts), 256):
                 part = [words_of(t) for t in texts[first : first + 256]]
                 ids = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in part]
@@ -270,15 +270,18 @@ def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[st
                     mine = search[begin[i] : begin[i + 1] - 1]
                     hits = (x.matches(ws, ids[i], mine, stride) if mine.any() else []) + x.short_matches(ws)
                     out.append([{"item_id": x.ids[j], "score": s, "question": q, "answer": a} for j, s, q, a in hits])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], names=[*keep, "matches"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, kind)], names=[*keep, "matches"])
 
     match = T.StructType([T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("matches", T.ArrayType(match))])
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*keep, text.split(".")[0]))).mapInArrow(run, schema)
 
 
-def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS) -> DataFrame:
-    """Each document with the columns to keep and ``matches``, the test items that it holds."""
+def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS, text: str = "text") -> DataFrame:
+    """Each document with the columns to keep and ``matches``, the test items that it holds.
+
+    ``text`` may be a field of a kept struct, as ``row.text``.
+    """
     item_type = benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("id"), "text").filter("text is not null")
     n, postings = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", "\\W+"))), F.lit(0))).first()
@@ -293,7 +296,8 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...]
     total = None
     for k in range(shards):
         shard = sorted(((r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        out = _match_shard(out, shard, [*cols, *(["text"] if shards > 1 and "text" not in cols and k < shards - 1 else []), *(["_found"] if total else [])], item_type, corpus)
+        source = text.split(".")[0]
+        out = _match_shard(out, shard, [*cols, *([source] if source not in cols and k < shards - 1 else []), *(["_found"] if total else [])], item_type, corpus, text)
         if shards > 1:
             out = out.withColumn("_found", F.concat("_found", "matches") if total else F.col("matches")).drop("matches")
             total = True

@@ -195,7 +195,8 @@ def licence_idf(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, f
                     df[w] += 1
         yield pa.RecordBatch.from_pydict({"word": [*df, ""], "df": pa.array([*df.values(), n], pa.int64())})
 
-    rows = docs.select("text").mapInArrow(count, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
+    with common.few_rows_a_batch(docs.sparkSession):
+        rows = docs.select("text").mapInArrow(count, "word string, df long").groupBy("word").agg(F.sum("df").alias("df")).collect()
     df = {r["word"]: r["df"] for r in rows}
     n = df.get("", 0)
     return {w: math.log(1 + (n - (k := df.get(w, 0)) + 0.5) / (k + 0.5)) for w in vocabulary}

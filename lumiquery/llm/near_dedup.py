@@ -379,6 +379,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketch rows of all documents, their representatives, and the verified links of representatives."""
+    with common.few_rows_a_batch(docs.sparkSession):  # every step here is eager
+        return _similar_pairs(docs, id_col, percent)
+
+
+def _similar_pairs(docs: DataFrame, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = common.cut(sketches(docs, id_col))
     reps = rows.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = common.cut(reps)

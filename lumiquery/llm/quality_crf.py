@@ -221,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     texts = docs.select(F.col(id_col).alias("_id"), "text").join(F.broadcast(ids), "_id").select("_place", "text", "_y")
     features = texts.mapInArrow(run, "place int, lines int, x binary, n binary, y int")
     # one row an id, then documents in hash order as long as their lines are few enough for the driver
-    one = common.cut(features.groupBy("place").agg(F.min(F.struct("lines", "x", "n", "y")).alias("r")).select("place", "r.*"))
+    with common.few_rows_a_batch(spark):
+        one = common.cut(features.groupBy("place").agg(F.min(F.struct("lines", "x", "n", "y")).alias("r")).select("place", "r.*"))
     last, lines = -1, 0
     for r in one.select("place", "lines").orderBy("place").collect():
         lines += r["lines"]
@@ -232,26 +233,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str
     return fit([(np.frombuffer(bytes(r["x"]), np.float32).reshape(-1, FEATURES), np.frombuffer(bytes(r["n"]), np.int64), r["y"]) for r in rows])
 
 
-def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, the columns to keep, and ``score``."""
+def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """Per document: id, the columns to keep, and ``score``. ``text`` may be a field of a kept struct, as ``row.text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             scores, part, lines = [], [], 0
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for i, text in enumerate(texts):
-                part.append(line_features(text))
+            texts = common.field_of(batch, text).to_pylist()
+            for i, t in enumerate(texts):
+                part.append(line_features(t))
                 lines += len(part[-1][1])
                 if lines > 200_000 or i == len(texts) - 1:
                     starts = np.concatenate([[0], np.cumsum([len(d[1]) for d in part])])
                     x = with_neighbours(np.vstack([d[0] for d in part]), starts)
                     scores.append(field.score(field.quality(x, starts, np.concatenate([d[1] for d in part]))))
                     part, lines = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "score"])
+            out = [batch.column(c) for c in cols]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*cols, "score"])
 
     cols = list(dict.fromkeys((id_col, *keep)))
     schema = T.StructType([*[docs.schema[c] for c in cols], T.StructField("score", T.DoubleType())])
-    return docs.select(*cols, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys((*cols, text.split(".")[0]))).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -141,9 +141,14 @@ def _write_ids(docs: DataFrame, path: str, id_col: str) -> None:
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary: str = VOCABULARY, length: int = LENGTH, key: int = KEY) -> int:
     """Write all shards below ``path``; returns the number of sequences."""
-    spark = docs.sparkSession
     if docs.isEmpty():
         return 0
+    with common.few_rows_a_batch(docs.sparkSession):  # both passes run here
+        return _write_tokens(docs, path, id_col, vocabulary, length, key)
+
+
+def _write_tokens(docs: DataFrame, path: str, id_col: str, vocabulary: str, length: int, key: int) -> int:
+    spark = docs.sparkSession
     ranks = _vocabulary(spark, vocabulary)
     row_id = F.col(id_col).cast("long") if _plain_ids(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     rows = common.pin(docs.select(row_id.alias("id"), "text"))
