@@ -24,15 +24,15 @@ ORACLE_SQL = None
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
-    """Id, text and the whole row as one column, so that no column of the input can clash."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """The id, and the whole row as one column, so that no column of the input can clash and the text goes along once."""
+    return docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier takes for good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = quality_crf.train(docs, labels)
-    return quality_crf.score_documents(_with_row(docs), field, "_row").filter("score >= 0.5").select("_row.*")
+    return quality_crf.score_documents(_with_row(docs), field, "_row", text="_row.text").filter("score >= 0.5").select("_row.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a test item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.match_documents(_with_row(docs), items, ("_row",)).filter(F.size("matches") == 0).select("_row.*")
+    return decontaminate.match_documents(_with_row(docs), items, ("_row",), text="_row.text").filter(F.size("matches") == 0).select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +73,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each result but the last is a table in the shared folder until the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         path = common.scratch_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before:
+            common.remove_path(spark, before)
+        docs, before = spark.read.parquet(path), path
+    out = STAGES[-1][1](spark, docs, sf_dir)  # it writes its shards at once
+    common.remove_path(spark, before)
+    return out
