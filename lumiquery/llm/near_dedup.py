@@ -59,7 +59,7 @@ SLACK = 5.0
 #: Members of a block; two blocks meet in a cell of round two.
 BLOCK = 256
 #: Hashed counters of shingle frequencies.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 16
 #: Rarest shingles that go with a text to its cells, so that most pairs go on from one cell only.
 HEAD = 64
 WORD_CACHE = 200_000
@@ -364,11 +364,10 @@ def components(links: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = common.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.filter("v > u").join(common.lookup(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = common.cut(large)
-        low = common.cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(common.lookup(low), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = common.cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = common.cut(small.filter("u != v").distinct())
         if (now := mark(edges)) == seen:
             break
@@ -377,13 +376,13 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct())
 
 
-def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketch rows of all documents, their representatives, and the verified links of representatives."""
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sketch rows of all documents, their representatives, the verified links of representatives, and their components."""
     with common.few_rows_a_batch(docs.sparkSession):  # every step here is eager
         return _similar_pairs(docs, id_col, percent)
 
 
-def _similar_pairs(docs: DataFrame, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _similar_pairs(docs: DataFrame, id_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = common.cut(sketches(docs, id_col))
     reps = rows.filter("n_shingles > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     reps = common.cut(reps)
@@ -395,17 +394,22 @@ def _similar_pairs(docs: DataFrame, id_col: str, percent: int) -> tuple[DataFram
     ids = lambda pairs: common.lookup(common.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
     text = lambda pairs: common.cut(docs.select(F.col(id_col).alias("id"), "text").join(ids(pairs), "id"))
     links = common.cut(_verify(first, text(first), percent))
-    rest = _residual_pairs(docs, id_col, members, components(links), percent)
+    comps = common.cut(components(links))
+    rest = _residual_pairs(docs, id_col, members, comps, percent)
     if rest is not None:
         second = common.cut(rest.join(first, ["a", "b"], "left_anti"))
-        links = links.unionByName(common.cut(_verify(second, text(second), percent)))
-    return rows, reps, links
+        more = common.cut(_verify(second, text(second), percent))
+        links = links.unionByName(more)
+        if more.take(1):
+            # components of components: what the first links join is one star each
+            comps = common.cut(components(more.select("a", "b").unionByName(comps.select(F.col("rep").alias("a"), F.col("comp").alias("b")))))
+    return rows, reps, links, comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """Per document: n_shingles, component_id (smallest id it is linked to, step by step) and kept (it is that one)."""
-    rows, reps, links = similar_pairs(docs, id_col, percent)
-    named = reps.select("digest", "rep").join(components(links), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("_comp"))
+    rows, reps, _, comps = similar_pairs(docs, id_col, percent)
+    named = reps.select("digest", "rep").join(comps, "rep", "left").select("digest", F.coalesce("comp", "rep").alias("_comp"))
     out = rows.select("id", "digest", "n_shingles").join(named, "digest", "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("_comp", "id")).otherwise(F.col("id"))
     comp = F.when(F.col("id").isNotNull(), comp)
