@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources from most to least preferred; unknown ones come last.
-SOURCE_PREFERENCE = ("chemfluor", "deep4chem", "fluodb-lite")
+#: Sources from most to least preferred, a parameter of whoever names the sources; unknown ones come last.
+SOURCE_PREFERENCE = ("handbook", "literature", "aggregate")
 
 
 def source_rank(source: Column, preference: tuple[str, ...] = SOURCE_PREFERENCE) -> Column:
@@ -35,23 +37,57 @@ def keep_source_preferred(df: DataFrame, keys: list[str], order: list[Column], s
 
 
 def duplicate_flags(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the number of rows that share the key, and whether there are several."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("group_rows", n).withColumn("is_duplicate", F.col("group_rows") > 1)
+    """Add the number of rows that share the key, and whether there are several.
+
+    Keys are counted and joined back, so a hot key is summed in parts and its rows can be split.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).filter("group_rows > 1")
+    counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "group_rows")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    out = df.join(counts, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    return out.withColumn("group_rows", F.coalesce("group_rows", F.lit(1))).withColumn("is_duplicate", F.col("group_rows") > 1)
+
+
+def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key is shared, and rows whose key is not, without touching the rows again."""
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy((F.col("_n") > 1).alias("is_duplicate")).agg(F.sum("_n").alias("n_rows"))
 
 
 def replicates(df: DataFrame, pair: list[str], measurement: Column, values: list[str], source: str = "source_dataset") -> DataFrame:
     """Pairs that were measured several times with different results."""
-    aggregates = [F.count(F.lit(1)).alias("n_rows"), F.countDistinct(measurement).alias("n_distinct"), F.array_join(F.array_sort(F.collect_set(source)), ",").alias("sources")]
-    for v in values:
-        aggregates += [F.min(v).alias(f"min_{v}"), F.max(v).alias(f"max_{v}")]
-    return df.groupBy(*pair).agg(*aggregates).filter("n_rows > 1 AND n_distinct > 1")
+    marks, names = source_marks(df, source)
+    bounds = [f(c).alias(f"{n}_{v}") for v in values for n, f, c in (("min", F.min, v), ("max", F.max, v))]
+    per = df.groupBy(*pair, measurement.alias("_m")).agg(F.count(F.lit(1)).alias("_n"), F.bit_or(marks).alias("_s"), *bounds)
+    again = [f(c).alias(c) for v in values for f, c in ((F.min, f"min_{v}"), (F.max, f"max_{v}"))]
+    # a measurement without any value is a row, but no distinct measurement
+    out = per.groupBy(*pair).agg(F.sum("_n").alias("n_rows"), F.count("_m").alias("n_distinct"), F.bit_or("_s").alias("_s"), *again)
+    out = out.filter("n_rows > 1 AND n_distinct > 1").withColumn("sources", names("_s", ","))
+    return out.select(*pair, "n_rows", "n_distinct", "sources", *[f"{n}_{v}" for v in values for n in ("min", "max")])
+
+
+#: More sources than bits of a long are no set of marks.
+MAX_SOURCES = 60
+
+
+def source_marks(df: DataFrame, source: str) -> tuple[Column, Callable[[str, str], Column]]:
+    """A bit for each source, so that sets of sources are sums of a hash aggregate; and the names of a set, in order."""
+    found = sorted(r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().limit(MAX_SOURCES + 1).collect())
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    mark = F.lit(0).cast("long")
+    for k, name in enumerate(found):
+        mark = F.when(F.col(source) == name, F.lit(1 << k).cast("long")).otherwise(mark)
+    # byte order, as sorting an array of texts has it
+    in_order = sorted(range(len(found)), key=lambda k: found[k].encode())
+    return mark, lambda c, sep: F.concat_ws(sep, *[F.when(F.col(c).bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(found[k])) for k in in_order])
 
 
 def overlap_by_sources(df: DataFrame, keys: list[str], source: str = "source_dataset") -> DataFrame:
     """Number of keys for each combination of sources that hold them."""
-    per = df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(source)), "+").alias("sources"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("sources").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"))
+    marks, names = source_marks(df, source)
+    per = df.groupBy(*keys).agg(F.bit_or(marks).alias("_s"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("_s").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows")).select(names("_s", "+").alias("sources"), "n_keys", "n_rows")
 
 
 def key_intersections(df: DataFrame, keys: list[str], sources: list[str], source: str = "source_dataset") -> DataFrame:

@@ -67,12 +67,12 @@ def failure_mode(df: DataFrame) -> DataFrame:
 
 
 def confidence(df: DataFrame) -> DataFrame:
-    """Add the overall confidence score and its label; the score is rounded so that sums of weights meet the cut points exactly."""
+    """Add the overall confidence score and its label; for the cut points it is rounded, so that sums of weights meet them exactly."""
     flag = lambda c: F.col(c).cast("double")
     sim = clip(F.coalesce("similarity", F.lit(0.0)))
     agree = threshold_score(F.col("predicted_std"), 10.0, DISAGREEMENT)
     label = threshold_score(F.coalesce("std_pair", "std_molecule"), 10.0, 60.0)
     score = 0.20 * flag("molecule_seen") + 0.15 * flag("solvent_seen") + 0.20 * flag("pair_seen") + 0.20 * sim + 0.15 * label + 0.10 * agree
-    out = df.withColumns({"confidence_score": F.round(score, 9), "_sim": sim, "_agree": agree})
-    name = F.when(F.col("confidence_score") < 0.50, "low").when((F.col("confidence_score") >= 0.75) & (F.col("_sim") >= 0.85) & (F.col("_agree") >= 0.6), "high").otherwise("medium")
-    return out.withColumn("confidence_label", name).drop("_sim", "_agree")
+    out = df.withColumns({"confidence_score": score, "_cut": F.round(score, 9), "_sim": sim, "_agree": agree})
+    name = F.when(F.col("_cut") < 0.50, "low").when((F.col("_cut") >= 0.75) & (F.col("_sim") >= 0.85) & (F.col("_agree") >= 0.6), "high").otherwise("medium")
+    return out.withColumn("confidence_label", name).drop("_cut", "_sim", "_agree")

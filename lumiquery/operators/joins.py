@@ -54,10 +54,10 @@ def alias_join(df: DataFrame, label: str, aliases: dict[str, str], out: str) ->
 
 
 def first_alias(df: DataFrame, table: DataFrame, key: str, aliases: list[str], table_key: str, value: str) -> DataFrame:
-    """Value of the first listed alias that the table holds."""
-    order = F.create_map(*[x for k, a in enumerate(aliases) for x in (F.lit(a), F.lit(k))])
-    hits = table.withColumn("_rank", F.element_at(order, F.col(table_key))).filter("_rank IS NOT NULL")
-    return df.crossJoin(F.broadcast(hits.orderBy("_rank").limit(1).select(F.col(value).alias(key))))
+    """Value of the first listed alias that the table holds; null without any. Of equal aliases the smallest value."""
+    rank = F.element_at(F.create_map(*[x for k, a in enumerate(aliases) for x in (F.lit(a), F.lit(k))]), F.col(table_key))
+    hit = table.filter(F.col(table_key).isin(aliases)).agg(F.min(F.struct(rank.alias("rank"), F.col(value).alias("value"))).alias("_hit"))  # one row, also without a hit
+    return df.crossJoin(F.broadcast(hit)).withColumn(key, F.col("_hit.value")).drop("_hit")
 
 
 def seen_flags(benchmark: DataFrame, training: DataFrame, molecule: str, solvent: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running_sum_by, with_group
+
 
 def regression(y: Column, p: Column) -> dict[str, Column]:
     """MAE, RMSE and R2; R2 of a single row, or of constant values, is null."""
@@ -49,12 +51,11 @@ def classification(df: DataFrame) -> DataFrame:
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Add ranks from 1 within each key, ties averaged.
 
-    Rows are first counted by value, so the window runs over distinct values.
+    Rows are first counted by value, and the counts are summed in order over many tasks.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(out, upto - (F.col("_n") - 1) / 2).drop("_n")
-    return df.join(ranks, [*keys, value])
+    ranks = running_sum_by(counts, keys, [F.col(value)], F.col("_n"), "_before").withColumn(out, F.col("_before") + (F.col("_n") + 1) / 2).drop("_n", "_before")
+    return with_group(df, ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
@@ -67,40 +68,60 @@ def spearman(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 def roc_auc(df: DataFrame, keys: list[str], actual: Column, score: str) -> DataFrame:
     """Area under the ROC curve by rank sums, from counts by score; null with one class only."""
     counts = df.groupBy(*keys, score).agg(F.count_if(actual).alias("_p"), F.count_if(~actual).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("_w", F.col("_p") * (below + F.col("_n") / 2))
+    counts = running_sum_by(counts, keys, [F.col(score)], F.col("_n"), "_below")
+    wins = counts.withColumn("_w", F.col("_p") * (F.col("_below") + F.col("_n") / 2))
     return wins.groupBy(*keys).agg(F.try_divide(F.sum("_w"), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
+#: The largest prime under 2**31: products of two residues fit into a long.
+PRIME = 2_147_483_647
+#: Counts up to this are drawn from their own Poisson distribution, larger ones from a rounded normal one.
+SMALL_COUNT = 8
+#: Values are told apart at so many digits after the point when rows are numbered.
+SCALE = 1_000_000
+
+
+def poisson_steps(mean: int) -> list[float]:
+    """P(X <= k) for k = 0, 1, ... while it is under 1 - 1e-9: a uniform number's draw is how many of these it reaches."""
+    steps, term, total, k = [], math.exp(-mean), 0.0, 0
+    while total + term < 1 - 1e-9:
+        total += term
+        steps.append(total)
+        k += 1
+        term *= mean / k
+    return steps
+
+
+def uniform(y: Column, p: Column, round_no: Column, salt: int) -> Column:
+    """A number between 0 and 1 that only the row's values, the round and the salt decide."""
+    h = (F.pmod(y, F.lit(PRIME)) * 48_271 + F.pmod(p, F.lit(PRIME)) * 69_621 + round_no * 40_692 + salt) % PRIME
+    h = (h * h + 16_807) % PRIME
+    h = (h * 630_360_016 + 12_345) % PRIME
+    return ((h * h + salt) % PRIME + 0.5) / PRIME
+
+
 def bootstrap(df: DataFrame, keys: list[str], y: str, p: str, rounds: int = 500, seed: int = 0) -> DataFrame:
     """95 % intervals of MAE, RMSE and R2 by resampling rows.
 
-    Poisson weights make each row's part in each round a number of its own, so rounds
-    are sums that partitions add up; no group is ever gathered in one task.
+    Each row counts in each round by a Poisson weight. Equal rows are counted first, and
+    a count has one weight of its sum's distribution (normal and rounded where it is
+    large), so rounds are sums that partitions add up. A weight is a function of the
+    row's values, the round and the seed: neither partitions nor batches change it.
     """
-    cols = [*keys, "_round", "n", "sy", "syy", "sa", "se"]
-
-    def part(frames):  # noqa: ANN001, ANN202
-        for f in frames:
-            if f.empty:
-                continue
-            hashes = pd.util.hash_pandas_object(f[[y, p]], index=False).to_numpy()
-            rng = np.random.default_rng([seed, int(hashes.sum() % 2**63), len(f)])
-            groups = f.groupby(keys, sort=False).indices if keys else {(): np.arange(len(f))}
-            for key, at in groups.items():
-                yy, pp = f[y].to_numpy(float)[at], f[p].to_numpy(float)[at]
-                e = yy - pp
-                w = rng.poisson(1.0, (rounds, len(at)))
-                sums = w @ np.stack([np.ones(len(at)), yy, yy * yy, np.abs(e), e * e], axis=1)
-                out = pd.DataFrame(sums, columns=cols[-5:])
-                out.insert(0, "_round", np.arange(rounds))
-                for k, v in reversed(list(zip(keys, key if isinstance(key, tuple) else (key,), strict=True))):
-                    out.insert(0, k, v)
-                yield out
-
-    schema = ", ".join([*(f"{k} {dict(df.dtypes)[k]}" for k in keys), "_round int", *(f"{c} double" for c in cols[-5:])])
-    sums = df.select(*keys, y, p).na.drop().mapInPandas(part, schema).groupBy(*keys, "_round").agg(*[F.sum(c).alias(c) for c in cols[-5:]])
+    c, r, yy, pp = F.col("_c"), F.col("_round"), F.col("_y"), F.col("_p")
+    rows = df.select(*keys, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p")).na.drop()
+    same = rows.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    whole = lambda x: F.round(x * SCALE, 0).cast("long")
+    each = same.withColumn("_round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
+    u1, u2 = (uniform(whole(yy), whole(pp), r, 7_919 * seed + salt) for salt in (101, 202))
+    normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
+    weight = F.greatest(F.lit(0.0), F.floor(c + F.sqrt(c.cast("double")) * normal + 0.5).cast("double"))
+    for n in range(1, SMALL_COUNT + 1):
+        weight = F.when(c == n, sum(((u1 >= t).cast("double") for t in poisson_steps(n)), F.lit(0.0))).otherwise(weight)
+    w, e = F.col("_w"), yy - pp
+    sums = each.withColumn("_w", weight).filter("_w > 0").groupBy(*keys, "_round").agg(F.sum(w).alias("n"), F.sum(w * yy).alias("sy"), F.sum(w * yy * yy).alias("syy"), F.sum(w * F.abs(e)).alias("sa"), F.sum(w * e * e).alias("se"))
     n, spread = F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    each = sums.filter("n > 0").select(*keys, (F.col("sa") / n).alias("mae"), F.sqrt(F.col("se") / n).alias("rmse"), F.when(spread > 0, 1 - F.col("se") / spread).alias("r2"))
+    one = sums.select(*keys, (F.col("sa") / n).alias("mae"), F.sqrt(F.col("se") / n).alias("rmse"), F.when(spread > 0, 1 - F.col("se") / spread).alias("r2"))
+    # as many values a key as there are rounds
     bounds = [F.percentile(m, F.lit(q)).alias(f"{m}_{name}") for m in ("mae", "rmse", "r2") for q, name in ((0.025, "low"), (0.975, "high"))]
-    return each.groupBy(*keys).agg(*bounds)
+    return one.groupBy(*keys).agg(*bounds)

@@ -1,7 +1,9 @@
-"""Running sums in a total order without one task for all rows."""
+"""Running sums, ranks and exact quantiles in a total order without one task for all rows."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +44,47 @@ def running_sum(df: DataFrame, order: list[Column], value: Column, out: str = "b
 def place(df: DataFrame, order: list[Column], out: str = "place", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Number all rows from 1 in the order, which must be total."""
     return running_sum(df, order, F.lit(1), "_earlier", one_task_rows).withColumn(out, F.col("_earlier") + 1).drop("_earlier")
+
+
+def same_keys(df: DataFrame, other: DataFrame, keys: list[str], prefix: str = "_k_") -> tuple[DataFrame, Column | None]:
+    """The other frame with its keys renamed, and the null-safe condition that joins the two by them."""
+    renamed = other.select(*[F.col(k).alias(f"{prefix}{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    tests = [df[k].eqNullSafe(F.col(f"{prefix}{k}")) for k in keys]
+    return renamed, reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def with_group(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row with the one row of its key in the other frame."""
+    renamed, same = same_keys(df, other, keys)
+    joined = df.crossJoin(F.broadcast(renamed)) if same is None else df.join(renamed, same)
+    return joined.drop(*[f"_k_{k}" for k in keys])
+
+
+def running_sum_by(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str = "before", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """The same within each key: one running sum over all rows by key and order, less what it is where the key begins.
+
+    So a key with a third of all rows is dealt over many tasks.
+    """
+    rows = running_sum(df, [*[F.col(k) for k in keys], *order], value, "_all", one_task_rows)
+    if not keys:
+        return rows.withColumnRenamed("_all", out)
+    starts = rows.groupBy(*keys).agg(F.min("_all").alias("_start"))
+    return with_group(rows, starts, keys).withColumn(out, F.col("_all") - F.col("_start")).drop("_all", "_start")
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], names: tuple[str, ...], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Exact quantiles of each key, interpolated between neighbours: one row a key.
+
+    Rows are counted by value, the counts are summed in order over many tasks, and the
+    values at the wanted places are picked; no task holds all values of a key.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sum_by(counts, keys, [F.col("_v")], F.col("_n"), "_before", one_task_rows)
+    placed = with_group(placed, counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_v")))
+    picks = []
+    for share, name in zip(shares, names, strict=True):
+        place = F.lit(share) * (F.col("_total") - 1)
+        picks += [at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = placed.groupBy(*keys).agg(*picks)
+    return found.select(*keys, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n) for n in names])

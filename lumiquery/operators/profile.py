@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordering
+
 
 def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls of each column, in number and percent: one aggregation, then one row a column."""
@@ -15,12 +17,11 @@ def missing_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, deviation and exact quartiles of each column."""
-    parts = []
-    for c in columns:
-        q = F.percentile(c, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
-        parts.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(c).alias("max")).alias(f"_{c}"))
-    one = df.agg(*parts)
-    return one.select(F.inline(F.array(*[F.col(f"_{c}") for c in columns])))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    v = F.col("value")
+    stats = cells.groupBy("column_name").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    quarters = ordering.quantiles(cells, ["column_name"], "value", (0.25, 0.5, 0.75), ("q25", "q50", "q75"))
+    return stats.join(quarters, "column_name", "left").select("column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -31,11 +32,11 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def noise_statistics(df: DataFrame, keys: list[str], value: str, source: str, least: int = 2) -> DataFrame:
     """Spread of repeated measurements in range; the interquartile range needs four of them."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))  # one map of values serves all three
     out = df.filter(F.col(value).between(0, 1)).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("n_distinct"), F.avg(value).alias("mean"), F.median(value).alias("median"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct(value).alias("n_distinct"), F.avg(value).alias("mean"), q[1].alias("median"),
         F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), (F.max(value) - F.min(value)).alias("range"),
-        F.when(F.count(F.lit(1)) >= 4, q[1] - q[0]).alias("iqr"), F.array_join(F.array_sort(F.collect_set(source)), "; ").alias("sources"),
+        F.when(F.count(F.lit(1)) >= 4, q[2] - q[0]).alias("iqr"), F.array_join(F.array_sort(F.collect_set(source)), "; ").alias("sources"),
     )
     return out.filter(F.col("n") >= least)
 
@@ -47,9 +48,15 @@ def noise_report(stats: DataFrame) -> DataFrame:
 
 
 def grouped_errors(df: DataFrame, group: Column, name: str) -> DataFrame:
-    """Rows, MAE, median absolute error, RMSE and mean residual of each category."""
-    r = F.col("y_true") - F.col("y_pred")
-    return df.groupBy(group.alias(name)).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.abs(r)).alias("mae"), F.median(F.abs(r)).alias("median_ae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(r).alias("mean_residual"))
+    """Rows, MAE, median absolute error, RMSE and mean residual of each category.
+
+    Categories may be few and large, so medians come from ordered counts.
+    """
+    r = F.col("_r")
+    rows = df.select(group.alias(name), (F.col("y_true") - F.col("y_pred")).alias("_r")).withColumn("_e", F.abs("_r"))
+    means = rows.groupBy(name).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("_e").alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(r).alias("mean_residual"))
+    medians, same = ordering.same_keys(means, ordering.quantiles(rows, [name], "_e", (0.5,), ("median_ae",)), [name])
+    return means.join(medians, same, "left").select(name, "n_rows", "mae", "median_ae", "rmse", "mean_residual")
 
 
 def modal_value(df: DataFrame, keys: list[str], predicted: str, error: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import running_sum
+from .ordering import quantiles, running_sum
 
 
 def hash_unit(key: Column, seed: int) -> Column:
@@ -13,6 +13,11 @@ def hash_unit(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
 
 
+def hash_order(key: Column, seed: int) -> Column:
+    """A key's place in an order that only it and the seed decide; SQL engines with MD5 give the same."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
+
+
 def random_split(df: DataFrame, key: Column, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Row split by hash."""
     return df.withColumn("split", F.when(hash_unit(key, seed) < test, "test").otherwise("train"))
@@ -23,7 +28,7 @@ def group_split(df: DataFrame, group: str, test: float = 0.2, seed: int = 42) ->
     df = df.drop("split")
     groups = df.select(group).distinct()
     total = F.broadcast(groups.agg(F.count(F.lit(1)).alias("_total")))  # one row
-    ranked = running_sum(groups, [F.xxhash64(F.col(group), F.lit(seed)), F.col(group)], F.lit(1), "_before")
+    ranked = running_sum(groups, [hash_order(F.col(group), seed), F.col(group)], F.lit(1), "_before")
     side = ranked.crossJoin(total).select(group, F.when(F.col("_before") < F.ceil(F.col("_total") * test), "test").otherwise("train").alias("split"))
     return df.join(side, df[group].eqNullSafe(side[group])).drop(side[group])
 
@@ -53,8 +58,10 @@ def split_counts(df: DataFrame, molecule: str, scaffold: str) -> DataFrame:
 
 
 def train_medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact medians of the training rows, in one row."""
-    return df.filter("split = 'train'").agg(*[F.median(c).alias(c) for c in columns])
+    """Exact medians of the training rows, in one row; null for a column without values."""
+    train = df.filter("split = 'train'").select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])))
+    found = quantiles(train, ["name"], "value", (0.5,), ("median",))
+    return found.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -13,29 +13,29 @@ from . import chemistry, dedup
 #: The standard schema, the provenance columns, and each source's names.
 TARGETS = ("absorption_nm", "emission_nm", "lifetime_ns", "quantum_yield", "log_extinction")
 STANDARD = ("chromophore_smiles", "solvent_original", "canonical_chromophore_smiles", "canonical_solvent_smiles", *TARGETS, "source_dataset")
-PROVENANCE = ("fluodb_source", "fluodb_tag", "fluodb_tag_name", "fluodb_solvent_num", "fluodb_split", "reference_doi")
-DEEP4CHEM = {
+PROVENANCE = ("provenance_source", "provenance_tag", "provenance_tag_name", "provenance_solvent_num", "provenance_split", "reference_doi")
+LITERATURE = {
     "chromophore_smiles": ["Chromophore"], "solvent_original": ["Solvent"], "absorption_nm": ["Absorption max (nm)"], "emission_nm": ["Emission max (nm)"],
     "lifetime_ns": ["Lifetime (ns)"], "quantum_yield": ["Quantum yield"], "log_extinction": ["log(e/mol-1 dm3 cm-1)"],
 }
-CHEMFLUOR = {
+HANDBOOK = {
     "chromophore_smiles": ["SMILES", "smiles", "chromophore_smiles", "Chromophore"], "solvent_original": ["solvent", "Solvent", "solvent_original"],
     "absorption_nm": ["Absorption/nm", "absorption_nm", "Absorption max (nm)"], "emission_nm": ["Emission/nm", "emission_nm", "Emission max (nm)"],
     "quantum_yield": ["PLQY", "Quantum yield", "quantum_yield"],
 }
-FLUODB = {
+AGGREGATE = {
     "chromophore_smiles": ["smiles"], "solvent_original": ["solvent"], "absorption_nm": ["absorption/nm"], "emission_nm": ["emission/nm"], "quantum_yield": ["plqy"], "extinction": ["e/m-1cm-1"],
-    "reference_doi": ["reference(doi)"], "fluodb_source": ["source"], "fluodb_tag": ["tag"], "fluodb_tag_name": ["tag_name"], "fluodb_solvent_num": ["solvent_num"], "fluodb_split": ["split"],
+    "reference_doi": ["reference(doi)"], "provenance_source": ["source"], "provenance_tag": ["tag"], "provenance_tag_name": ["tag_name"], "provenance_solvent_num": ["solvent_num"], "provenance_split": ["split"],
 }
-#: Keyword by which a column is found when no listed name is there.
-KEYWORDS = {"absorption_nm": "absorption", "emission_nm": "emission", "quantum_yield": "plqy"}
+#: Keywords by which a column is found when no listed name is there.
+KEYWORDS = {"chromophore_smiles": ("smiles", "chromophore"), "solvent_original": ("solvent",), "absorption_nm": ("absorption",), "emission_nm": ("emission",), "quantum_yield": ("plqy", "quantum")}
 
 SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in TARGETS else T.StringType()) for c in (*STANDARD, *PROVENANCE)])
 
 
 def project(raw: DataFrame, names: dict[str, list[str]], infer: bool = False) -> DataFrame:
     """The columns that a vocabulary names; the molecule is required, others may be absent."""
-    found = {out: resolve_column(raw.columns, options, keyword=KEYWORDS.get(out) if infer else None, required=out == "chromophore_smiles") for out, options in names.items()}
+    found = {out: resolve_column(raw.columns, options, keyword=KEYWORDS.get(out, ()) if infer else (), required=out == "chromophore_smiles") for out, options in names.items()}
     return raw.select(*[(F.col(f"`{c}`") if c else F.lit(None)).cast("string").alias(out) for out, c in found.items()])
 
 
@@ -64,7 +64,7 @@ def prepare(frames: list[DataFrame]) -> dict[str, DataFrame]:
     """Combined and deduplicated tables, and what the reports need of them."""
     union = dedup.union_sources(frames, [f.name for f in SCHEMA.fields], list(TARGETS), ["canonical_chromophore_smiles"])
     combined = measurement_key(union).cache()  # five consumers read it
-    kept = dedup.keep_source_preferred(combined, ["measurement_key"], [F.col(c) for c in ("chromophore_smiles", "solvent_original", "lifetime_ns", "fluodb_tag", "reference_doi")])
+    kept = dedup.keep_source_preferred(combined, ["measurement_key"], [F.col(c) for c in ("chromophore_smiles", "solvent_original", "lifetime_ns", "provenance_tag", "reference_doi")])
     thresholds = [550, 580, 600, 650, 700, 750]
     return {
         "combined": combined,

@@ -16,15 +16,15 @@ R6 = lambda c: F.round(c, 6)
 
 @query("standardize_union", """
 SELECT DISTINCT molecule, solvent, source_dataset, absorption_nm, emission_nm, lifetime_ns, log_extinction FROM (
-  SELECT molecule, solvent, source_dataset, absorption_nm, emission_nm, lifetime_ns, CAST(NULL AS DOUBLE) AS log_extinction FROM meas WHERE source_dataset = 'deep4chem'
-  UNION ALL SELECT molecule, solvent, source_dataset, absorption_nm, emission_nm, NULL, NULL FROM meas WHERE source_dataset = 'chemfluor'
-  UNION ALL SELECT molecule, solvent, source_dataset, NULL, emission_nm, lifetime_ns, log_extinction FROM meas WHERE source_dataset = 'FluoDB-Lite')
+  SELECT molecule, solvent, source_dataset, absorption_nm, emission_nm, lifetime_ns, CAST(NULL AS DOUBLE) AS log_extinction FROM meas WHERE source_dataset = 'literature'
+  UNION ALL SELECT molecule, solvent, source_dataset, absorption_nm, emission_nm, NULL, NULL FROM meas WHERE source_dataset = 'handbook'
+  UNION ALL SELECT molecule, solvent, source_dataset, NULL, emission_nm, lifetime_ns, log_extinction FROM meas WHERE source_dataset = 'Aggregate')
 WHERE molecule IS NOT NULL AND solvent IS NOT NULL
   AND NOT (absorption_nm IS NULL AND emission_nm IS NULL AND lifetime_ns IS NULL AND log_extinction IS NULL)""", MEAS)
 def standardize_union(spark: SparkSession, d: str) -> DataFrame:
     """Union by name of sources with different columns, filters, distinct."""
     m = views.meas(spark, d)
-    parts = [m.filter(F.col("source_dataset") == s).drop(*gone) for s, gone in (("FluoDB-Lite", ("absorption_nm",)), ("deep4chem", ("log_extinction",)), ("chemfluor", ("lifetime_ns", "log_extinction")))]
+    parts = [m.filter(F.col("source_dataset") == s).drop(*gone) for s, gone in (("Aggregate", ("absorption_nm",)), ("literature", ("log_extinction",)), ("handbook", ("lifetime_ns", "log_extinction")))]
     targets = ["absorption_nm", "emission_nm", "lifetime_ns", "log_extinction"]
     return dedup.union_sources(parts, ["molecule", "solvent", "source_dataset", *targets], targets, ["molecule", "solvent"])
 
@@ -42,7 +42,7 @@ def coerce_numeric(spark: SparkSession, d: str) -> DataFrame:
 @query("dedup_source_pref", """
 SELECT molecule, solvent, absorption_nm, emission_nm, quantum_yield, log_extinction, source_dataset FROM (
   SELECT *, row_number() OVER (PARTITION BY molecule, solvent, absorption_nm, emission_nm, quantum_yield, log_extinction
-    ORDER BY CASE lower(source_dataset) WHEN 'chemfluor' THEN 0 WHEN 'deep4chem' THEN 1 WHEN 'fluodb-lite' THEN 2 ELSE 3 END, ord, line) AS rn FROM meas) WHERE rn = 1""", MEAS)
+    ORDER BY CASE lower(source_dataset) WHEN 'handbook' THEN 0 WHEN 'literature' THEN 1 WHEN 'aggregate' THEN 2 ELSE 3 END, ord, line) AS rn FROM meas) WHERE rn = 1""", MEAS)
 def dedup_source_pref(spark: SparkSession, d: str) -> DataFrame:
     """Source-preferred, keep-first deduplication on the measurement key."""
     kept = dedup.keep_source_preferred(views.meas(spark, d), views.KEY, [F.col("ord"), F.col("line")])
@@ -54,7 +54,7 @@ SELECT is_duplicate, count(*) AS n_rows FROM (
   SELECT count(*) OVER (PARTITION BY molecule, solvent, absorption_nm, emission_nm, quantum_yield, log_extinction) > 1 AS is_duplicate FROM meas) GROUP BY 1""", MEAS)
 def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
     """Rows that share their measurement key."""
-    return dedup.duplicate_flags(views.meas(spark, d).select(*views.KEY), views.KEY).groupBy("is_duplicate").agg(F.count(F.lit(1)).alias("n_rows"))
+    return dedup.duplicate_counts(views.meas(spark, d), views.KEY)
 
 
 @query("overlap_summary", """
@@ -67,14 +67,14 @@ def overlap_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("key_intersections", """
-, per AS (SELECT bool_or(source_dataset = 'chemfluor') a, bool_or(source_dataset = 'deep4chem') b, bool_or(source_dataset = 'FluoDB-Lite') c
+, per AS (SELECT bool_or(source_dataset = 'handbook') a, bool_or(source_dataset = 'literature') b, bool_or(source_dataset = 'Aggregate') c
   FROM meas GROUP BY molecule, solvent, absorption_nm, emission_nm, quantum_yield, log_extinction)
-SELECT 'chemfluor' AS source_a, 'deep4chem' AS source_b, count(*) FILTER (a AND b) AS n_shared FROM per
-UNION ALL SELECT 'chemfluor', 'FluoDB-Lite', count(*) FILTER (a AND c) FROM per
-UNION ALL SELECT 'deep4chem', 'FluoDB-Lite', count(*) FILTER (b AND c) FROM per""", MEAS)
+SELECT 'handbook' AS source_a, 'literature' AS source_b, count(*) FILTER (a AND b) AS n_shared FROM per
+UNION ALL SELECT 'handbook', 'Aggregate', count(*) FILTER (a AND c) FROM per
+UNION ALL SELECT 'literature', 'Aggregate', count(*) FILTER (b AND c) FROM per""", MEAS)
 def key_intersections(spark: SparkSession, d: str) -> DataFrame:
     """Keys that each pair of sources shares."""
-    return dedup.key_intersections(views.meas(spark, d), views.KEY, ["chemfluor", "deep4chem", "FluoDB-Lite"])
+    return dedup.key_intersections(views.meas(spark, d), views.KEY, ["handbook", "literature", "Aggregate"])
 
 
 @query("replicates", """
@@ -242,26 +242,26 @@ def membership_pair_flag(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("semi_seen_flags", """
-, t AS (SELECT * FROM meas WHERE source_dataset = 'chemfluor' AND line <= 2), q AS (SELECT DISTINCT molecule, solvent FROM meas WHERE source_dataset = 'FluoDB-Lite')
+, t AS (SELECT * FROM meas WHERE source_dataset = 'handbook' AND emission_nm > 780), q AS (SELECT DISTINCT molecule, solvent FROM meas WHERE source_dataset = 'Aggregate')
 SELECT molecule, solvent, EXISTS (SELECT 1 FROM t WHERE t.molecule = q.molecule) AS molecule_seen, EXISTS (SELECT 1 FROM t WHERE t.solvent = q.solvent) AS solvent_seen,
   EXISTS (SELECT 1 FROM t WHERE t.molecule = q.molecule AND t.solvent = q.solvent) AS pair_seen FROM q""", MEAS)
 def semi_seen_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Whether molecule, solvent and pair are in the training rows."""
+    """Whether molecule, solvent and pair are in the training rows: here, those that emit beyond 780 nm."""
     m = views.meas(spark, d)
-    train = m.filter((F.col("source_dataset") == "chemfluor") & (F.col("line") <= 2)).select("molecule", "solvent")
-    bench = m.filter(F.col("source_dataset") == "FluoDB-Lite").select("molecule", "solvent").distinct()
+    train = m.filter((F.col("source_dataset") == "handbook") & (F.col("emission_nm") > 780)).select("molecule", "solvent")
+    bench = m.filter(F.col("source_dataset") == "Aggregate").select("molecule", "solvent").distinct()
     return joins.seen_flags(bench, train, "molecule", "solvent")
 
 
 @query("set_operations", """
-, a AS (SELECT DISTINCT molecule FROM meas WHERE source_dataset = 'chemfluor' AND line = 1), b AS (SELECT DISTINCT molecule FROM meas WHERE source_dataset = 'deep4chem' AND line = 2)
+, a AS (SELECT DISTINCT molecule FROM meas WHERE source_dataset = 'handbook' AND emission_nm > 780), b AS (SELECT DISTINCT molecule FROM meas WHERE source_dataset = 'literature' AND quantum_yield > 0.95)
 SELECT 'intersect' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)
 UNION ALL SELECT 'difference', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""", MEAS)
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Intersection, union and difference of key sets."""
+    """Intersection, union and difference of key sets: far-red emitters of one source, bright molecules of another."""
     m = views.meas(spark, d)
-    a = m.filter((F.col("source_dataset") == "chemfluor") & (F.col("line") == 1)).select("molecule").distinct()
-    b = m.filter((F.col("source_dataset") == "deep4chem") & (F.col("line") == 2)).select("molecule").distinct()
+    a = m.filter((F.col("source_dataset") == "handbook") & (F.col("emission_nm") > 780)).select("molecule").distinct()
+    b = m.filter((F.col("source_dataset") == "literature") & (F.col("quantum_yield") > 0.95)).select("molecule").distinct()
     n = lambda op, x: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "n")
     return n("intersect", a.intersect(b)).unionByName(n("union", a.union(b).distinct())).unionByName(n("difference", a.subtract(b)))
 

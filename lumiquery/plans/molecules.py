@@ -197,17 +197,19 @@ def json_explode_results(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("k").agg(_n().alias("n"), F.sum("pos").alias("sum_pos"))
 
 
-EDGES = """edges AS (SELECT DISTINCT o_custkey % 100 AS src, o_orderkey % 100 AS dst FROM orders WHERE o_custkey % 100 <> o_orderkey % 100)"""
+#: Customers and orders are nodes; orders' ids come after all customers'.
+ORDER_IDS = 10_000_000_000
+EDGES = f"""edges AS (SELECT DISTINCT o_custkey AS src, o_orderkey + {ORDER_IDS} AS dst FROM orders)"""
 
 
 @query("graph_message_pass", """
-, x AS (SELECT n AS node, n * 0.5::DOUBLE AS v FROM (SELECT DISTINCT src AS n FROM edges UNION SELECT dst FROM edges)), e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
+, x AS (SELECT n AS node, (n % 1000) * 0.5::DOUBLE AS v FROM (SELECT DISTINCT src AS n FROM edges UNION SELECT dst FROM edges)), e2 AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)
 SELECT x.node, round(coalesce(sum(y.v), 0), 6) AS sum_in, round(coalesce(avg(y.v), 0), 6) AS mean_in FROM x LEFT JOIN e2 ON e2.dst = x.node LEFT JOIN x y ON y.node = e2.src GROUP BY 1""", EDGES)
 def graph_message_pass(spark: SparkSession, d: str) -> DataFrame:
     """One step of message passing: sums and means over incoming edges."""
     o = views._t(spark, d, "orders")
-    e = o.select((F.col("o_custkey") % 100).alias("src"), (F.col("o_orderkey") % 100).alias("dst")).filter("src <> dst").distinct()
-    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("v", F.col("node") * 0.5)
+    e = o.select(F.col("o_custkey").alias("src"), (F.col("o_orderkey") + ORDER_IDS).alias("dst")).distinct()
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("v", (F.col("node") % 1000) * 0.5)
     return graph.message_pass(nodes, graph.both_ways(e), "v").select("node", R6("sum_in").alias("sum_in"), R6("mean_in").alias("mean_in"))
 
 
@@ -235,13 +237,13 @@ def ranked(mol: DataFrame, one_task_rows: int = ordering.ONE_TASK_ROWS) -> DataF
 
 
 @query("rank_in_order", """
-SELECT molecule_id, scaffold, row_number() OVER (ORDER BY CASE substituent WHEN 'PROMO' THEN 0 ELSE 1 END, similarity DESC NULLS LAST, molecule_id) AS place FROM mol WHERE size <= 10""", MOL)
+SELECT molecule_id, scaffold, row_number() OVER (ORDER BY CASE substituent WHEN 'PROMO' THEN 0 ELSE 1 END, similarity DESC NULLS LAST, molecule_id) AS place FROM mol""", MOL)
 def rank_in_order(spark: SparkSession, d: str) -> DataFrame:
     """Custom rank first, then mixed directions with missing values last."""
-    return ranked(views.mol(spark, d).filter("size <= 10")).select("molecule_id", "scaffold", "place")
+    return ranked(views.mol(spark, d)).select("molecule_id", "scaffold", "place")
 
 
-@query("stream_available_now")
+@query("stream_available_now", "SELECT CASE WHEN value IS NULL THEN 'failed' ELSE 'completed' END AS status, count(*) AS n, count(DISTINCT event_id) AS n_jobs FROM events WHERE event_type IN ('click', 'view') GROUP BY 1")
 def stream_available_now(spark: SparkSession, d: str) -> DataFrame:
     """The job queue as a stream: every event file read once, jobs completed idempotently."""
     return job_queue.drain(spark, d)

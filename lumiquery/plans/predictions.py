@@ -130,7 +130,7 @@ def molecule_summary_best(spark: SparkSession, d: str) -> DataFrame:
 LADDER = """case_in AS (SELECT molecule, solvent, max(expected_emission_nm) AS expected_emission_nm, avg(predicted_emission_nm) AS predicted_mean, stddev_samp(predicted_emission_nm) / 4 AS predicted_std,
     avg(predicted_emission_nm) AS predicted_min, avg(predicted_emission_nm) AS predicted_max, avg(emission_abs_error) AS mean_emission_error, avg(qy_abs_error) / 2 AS mean_qy_error, max(nearest_similarity) AS similarity
   FROM bench GROUP BY 1, 2),
-train AS (SELECT molecule, solvent, emission_nm FROM meas WHERE source_dataset = 'chemfluor' AND ord % 4 = 0),
+train AS (SELECT molecule, solvent, emission_nm FROM meas WHERE source_dataset = 'handbook'),
 tm AS (SELECT molecule, median(emission_nm) AS med_m, stddev_samp(emission_nm) AS std_m FROM train GROUP BY 1),
 tp AS (SELECT molecule, solvent, median(emission_nm) AS med_p, stddev_samp(emission_nm) AS std_p FROM train WHERE solvent IS NOT NULL GROUP BY 1, 2),
 ts AS (SELECT DISTINCT solvent FROM train WHERE solvent IS NOT NULL),
@@ -146,7 +146,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
         F.avg("predicted_emission_nm").alias("predicted_min"), F.avg("predicted_emission_nm").alias("predicted_max"), F.avg("emission_abs_error").alias("mean_emission_error"),
         (F.avg("qy_abs_error") / 2).alias("mean_qy_error"), F.max("nearest_similarity").alias("similarity"),
     )
-    train = views.meas(spark, d).filter((F.col("source_dataset") == "chemfluor") & (F.col("ord") % 4 == 0)).select("molecule", "solvent", "emission_nm")
+    train = views.meas(spark, d).filter("source_dataset = 'handbook'").select("molecule", "solvent", "emission_nm")
     return diagnose.confidence(diagnose.failure_mode(diagnose.training_overlap(b, train)))
 
 
@@ -171,11 +171,11 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query("train_label_statistics", """
 SELECT molecule, min(emission_nm) AS min_molecule, round(median(emission_nm), 6) AS median_molecule, round(avg(emission_nm), 6) AS mean_molecule, max(emission_nm) AS max_molecule,
-  round(stddev_samp(emission_nm), 6) AS std_molecule FROM meas WHERE source_dataset = 'chemfluor' GROUP BY 1""", MEAS)
+  round(stddev_samp(emission_nm), 6) AS std_molecule FROM meas WHERE source_dataset = 'handbook' GROUP BY 1""", MEAS)
 def train_label_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Training labels of each molecule."""
     e = F.col("emission_nm")
-    g = views.meas(spark, d).filter("source_dataset = 'chemfluor'").groupBy("molecule")
+    g = views.meas(spark, d).filter("source_dataset = 'handbook'").groupBy("molecule")
     return g.agg(F.min(e).alias("min_molecule"), R6(F.median(e)).alias("median_molecule"), R6(F.avg(e)).alias("mean_molecule"), F.max(e).alias("max_molecule"), R6(F.stddev_samp(e)).alias("std_molecule"))
 
 
@@ -344,10 +344,33 @@ def ensemble_mean_std(spark: SparkSession, d: str) -> DataFrame:
     return views.pred(spark, d).filter("target = 'emission_nm'").groupBy("molecule").agg(_n().alias("n"), R6(F.avg(_p())).alias("mean"), R6(std).alias("std"), scalars.uncertainty_caution(std, F.lit(None).cast("double")).alias("caution"))
 
 
-@query("bootstrap_ci")
+def _bootstrap_sql(rounds: int = 500, seed: int = 0) -> str:
+    prime = metrics.PRIME
+
+    def unit(salt: int) -> str:
+        salt += 7_919 * seed
+        h = f"((((((ky % {prime}) + {prime}) % {prime}) * 48271 + (((kp % {prime}) + {prime}) % {prime}) * 69621 + r * 40692 + {salt}) % {prime})"
+        return h
+
+    steps = " ".join(f"WHEN {n} THEN " + " + ".join(f"(u1 >= {t!r}::DOUBLE)::INT" for t in metrics.poisson_steps(n)) for n in range(1, metrics.SMALL_COUNT + 1))
+    stages = ", ".join(f"""
+h{k}a AS (SELECT *, {unit(salt)}) AS h{k} FROM {'x' if k == 1 else 'h1d'}),
+h{k}b AS (SELECT * REPLACE ((h{k} * h{k} + 16807) % {prime} AS h{k}) FROM h{k}a), h{k}c AS (SELECT * REPLACE ((h{k} * 630360016 + 12345) % {prime} AS h{k}) FROM h{k}b),
+h{k}d AS (SELECT *, ((h{k} * h{k} + {salt + 7_919 * seed}) % {prime} + 0.5::DOUBLE) / {prime} AS u{k} FROM h{k}c)""" for k, salt in ((1, 101), (2, 202)))
+    return f"""
+, g AS (SELECT model, y_true AS y, y_pred AS p, count(*) AS c FROM pred WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2, 3),
+x AS (SELECT *, CAST(round(y * {metrics.SCALE}) AS BIGINT) AS ky, CAST(round(p * {metrics.SCALE}) AS BIGINT) AS kp, unnest(range(0, {rounds})) AS r FROM g), {stages},
+w AS (SELECT *, CASE c {steps} ELSE greatest(0, floor(c + sqrt(c::DOUBLE) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) + 0.5)) END::DOUBLE AS w FROM h2d),
+s AS (SELECT model, r, sum(w) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy, sum(w * abs(y - p)) AS sa, sum(w * (y - p) * (y - p)) AS se FROM w WHERE w > 0 GROUP BY 1, 2),
+m AS (SELECT model, sa / n AS mae, sqrt(se / n) AS rmse, CASE WHEN syy - sy * sy / n > 0 THEN 1 - se / (syy - sy * sy / n) END AS r2 FROM s)
+SELECT model, """ + ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_{n}" for m in ("mae", "rmse", "r2") for q, n in ((0.025, "low"), (0.975, "high"))) + " FROM m GROUP BY 1"
+
+
+@query("bootstrap_ci", _bootstrap_sql(), PRED)
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap intervals of each model's metrics."""
-    return metrics.bootstrap(views.pred(spark, d), ["model"], "y_true", "y_pred")
+    b = metrics.bootstrap(views.pred(spark, d), ["model"], "y_true", "y_pred")
+    return b.select("model", *[R6(c).alias(c) for c in b.columns[1:]])
 
 
 @query("greedy_scaffold_split", """
@@ -367,15 +390,23 @@ def anti_leakage(spark: SparkSession, d: str) -> DataFrame:
     return joins.leakage(views.pred(spark, d).withColumn("split", side), "molecule")
 
 
-@query("group_hash_split", "SELECT 'disjoint' AS invariant, count(DISTINCT scaffold) AS n_groups, CAST(ceil(count(DISTINCT scaffold) * 0.2) AS BIGINT) AS n_test, CAST(0 AS BIGINT) AS n_shared FROM mol", MOL)
+def _group_split_sql(test: str, seed: int, groups: str) -> str:
+    return f"SELECT scaffold, row_number() OVER (ORDER BY md5(coalesce(scaffold, '') || '|{seed}'), scaffold) - 1 < ceil(count(*) OVER () * {test}) AS picked FROM (SELECT DISTINCT scaffold FROM {groups})"
+
+
+@query("group_hash_split", f"""
+, s AS ({_group_split_sql("0.2::DOUBLE", 42, "mol")})
+SELECT m.molecule_id, m.scaffold, CASE WHEN picked THEN 'test' ELSE 'train' END AS split FROM mol m JOIN s ON m.scaffold IS NOT DISTINCT FROM s.scaffold""", MOL)
 def group_hash_split(spark: SparkSession, d: str) -> DataFrame:
-    """Group split by hash: its invariants (the hash itself differs between engines)."""
-    s = splits.group_split(views.mol(spark, d), "scaffold")
-    per = s.groupBy("scaffold").agg(F.countDistinct("split").alias("sides"), F.min("split").alias("side"))
-    return per.agg(F.lit("disjoint").alias("invariant"), _n().alias("n_groups"), F.count_if(F.col("side") == "test").alias("n_test"), F.count_if(F.col("sides") > 1).alias("n_shared"))
+    """Groups ordered by hash; the first fifth of them is the test side."""
+    return splits.group_split(views.mol(spark, d), "scaffold").select("molecule_id", "scaffold", "split")
 
 
-@query("split_dataset_counts")
+@query("split_dataset_counts", f"""
+, s AS ({_group_split_sql("0.2::DOUBLE", 42, "mol")}), a AS (SELECT m.*, picked FROM mol m JOIN s ON m.scaffold IS NOT DISTINCT FROM s.scaffold), r AS (SELECT * FROM a WHERE NOT picked),
+v AS ({_group_split_sql(f"{min(0.5, max(0.05, 0.1 / 0.8))!r}::DOUBLE", 43, "r")}),
+t AS (SELECT 'test' AS split, molecule_id, scaffold FROM a WHERE picked UNION ALL SELECT CASE WHEN v.picked THEN 'val' ELSE 'train' END, r.molecule_id, r.scaffold FROM r JOIN v ON r.scaffold IS NOT DISTINCT FROM v.scaffold)
+SELECT split, count(*) AS n_rows, count(DISTINCT molecule_id) AS n_molecules, count(DISTINCT scaffold) AS n_scaffolds FROM t GROUP BY 1""", MOL)
 def split_dataset_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows, molecules and scaffolds of a three-way split by group."""
     return splits.split_counts(splits.group_split_three(views.mol(spark, d), "scaffold"), "molecule_id", "scaffold")

@@ -14,7 +14,7 @@ KEY = ["molecule", "solvent", "absorption_nm", "emission_nm", "quantum_yield", "
 MEAS = """meas AS (
   SELECT 'M' || (l_partkey % 200) AS molecule,
          CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE 'S' || (l_suppkey % 10) END AS solvent,
-         CASE l_returnflag WHEN 'A' THEN 'deep4chem' WHEN 'N' THEN 'chemfluor' ELSE 'FluoDB-Lite' END AS source_dataset,
+         CASE l_returnflag WHEN 'A' THEN 'literature' WHEN 'N' THEN 'handbook' ELSE 'Aggregate' END AS source_dataset,
          CASE WHEN l_linenumber = 7 THEN NULL ELSE 250 + 9 * l_quantity END AS absorption_nm,
          CASE WHEN l_quantity > 45 THEN NULL ELSE 300 + 10 * l_quantity END AS emission_nm,
          CAST(l_linenumber AS DOUBLE) / 2 AS lifetime_ns,
@@ -62,7 +62,7 @@ def meas(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "lineitem").select(
         F.concat(F.lit("M"), (c("l_partkey") % 200).cast("string")).alias("molecule"),
         F.when(c("l_suppkey") % 13 != 0, F.concat(F.lit("S"), (c("l_suppkey") % 10).cast("string"))).alias("solvent"),
-        F.when(c("l_returnflag") == "A", "deep4chem").when(c("l_returnflag") == "N", "chemfluor").otherwise("FluoDB-Lite").alias("source_dataset"),
+        F.when(c("l_returnflag") == "A", "literature").when(c("l_returnflag") == "N", "handbook").otherwise("Aggregate").alias("source_dataset"),
         F.when(c("l_linenumber") != 7, 250 + 9 * c("l_quantity")).alias("absorption_nm"),
         F.when(c("l_quantity") <= 45, 300 + 10 * c("l_quantity")).alias("emission_nm"),
         (c("l_linenumber").cast("double") / 2).alias("lifetime_ns"),

@@ -145,7 +145,7 @@ def first_existing(*paths: str | None) -> str:
     raise FileNotFoundError(", ".join(p for p in paths if p))
 
 
-def resolve_column(columns: list[str], candidates: list[str], mode: str = "exact", override: str | None = None, keyword: str | None = None, required: bool = False) -> str | None:
+def resolve_column(columns: list[str], candidates: list[str], mode: str = "exact", override: str | None = None, keyword: str | tuple[str, ...] | None = None, required: bool = False) -> str | None:
     """Find a column by priority: exactly, without regard to case, by letters and digits, or else by a keyword in its name."""
     keys = {"exact": lambda x: x, "casefold": str.casefold, "alnum": lambda x: re.sub(r"[^a-z0-9]", "", x.lower())}
     key = keys[mode]
@@ -159,9 +159,9 @@ def resolve_column(columns: list[str], candidates: list[str], mode: str = "exact
     for c in candidates:
         if key(c) in by_key:
             return by_key[key(c)]
-    if keyword:
+    for k in (keyword,) if isinstance(keyword, str) else keyword or ():
         for c in columns:
-            if keyword.lower() in c.lower():
+            if k.lower() in c.lower():
                 return c
     if required:
         raise KeyError(f"none of {', '.join(candidates)} is among {', '.join(columns)}")

@@ -15,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(x):
     if isinstance(x, float):
-        return "nan" if math.isnan(x) else round(x, 5) + 0.0
+        return "nan" if math.isnan(x) else round(x, 6) + 0.0
     return float(x) if hasattr(x, "as_tuple") else x
 
 

@@ -70,10 +70,10 @@ def test_writers(spark, tmp_path):
 
 
 def test_dedup(spark):
-    rows = [("m", "s", 500.0, "FluoDB-Lite", 1), ("m", "s", 500.0, "ChemFluor", 2), ("m", "s", 510.0, "deep4chem", 3), (None, "s", 1.0, "other", 4)]
+    rows = [("m", "s", 500.0, "Aggregate", 1), ("m", "s", 500.0, "Handbook", 2), ("m", "s", 510.0, "literature", 3), (None, "s", 1.0, "other", 4)]
     df = spark.createDataFrame(rows, "molecule string, solvent string, emission double, source_dataset string, ord int")
     kept = dedup.keep_source_preferred(df, ["molecule", "solvent", "emission"], [F.col("ord")])
-    assert {(r["molecule"], r["emission"], r["source_dataset"]) for r in kept.collect()} == {("m", 500.0, "ChemFluor"), ("m", 510.0, "deep4chem"), (None, 1.0, "other")}
+    assert {(r["molecule"], r["emission"], r["source_dataset"]) for r in kept.collect()} == {("m", 500.0, "Handbook"), ("m", 510.0, "literature"), (None, 1.0, "other")}
     again = dedup.keep_source_preferred(kept, ["molecule", "solvent", "emission"], [F.col("ord")])
     assert again.count() == kept.count()
     r = dedup.replicates(df, ["molecule", "solvent"], F.col("emission"), ["emission"]).collect()

@@ -18,9 +18,9 @@ def frames(spark):
     chem = spark.createDataFrame([("CCO", "O", "350", "450.0", "0.5"), ("c1ccccc1", "CCO", None, "610", None)], "SMILES string, solvent string, `Absorption/nm` string, `Emission/nm` string, PLQY string")
     fluo = spark.createDataFrame([("C(C)O", "bad(", "350", "455", "0.4", "10000", "10.1/x", "s", "1", "t", "2", "train")], FLUO)
     return (
-        standardize.standardize(deep, standardize.DEEP4CHEM, "deep4chem"),
-        standardize.standardize(chem, standardize.CHEMFLUOR, "chemfluor", infer=True),
-        standardize.standardize(fluo, standardize.FLUODB, "FluoDB-Lite"),
+        standardize.standardize(deep, standardize.LITERATURE, "literature"),
+        standardize.standardize(chem, standardize.HANDBOOK, "handbook", infer=True),
+        standardize.standardize(fluo, standardize.AGGREGATE, "Aggregate"),
     )
 
 
@@ -38,7 +38,7 @@ def test_prepare(spark):
     out = standardize.prepare(list(frames(spark)))
     assert out["combined"].count() == 4 and out["deduplicated"].count() == 4
     r = out["replicates"].collect()
-    assert len(r) == 1 and r[0]["sources"] == "chemfluor,deep4chem"
+    assert len(r) == 1 and r[0]["sources"] == "handbook,literature"
     assert {x["source_dataset"]: x["ge_600"] for x in out["coverage_after"].collect()}["ALL"] == 1
 
 
