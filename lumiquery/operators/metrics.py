@@ -92,12 +92,18 @@ def poisson_steps(mean: int) -> list[float]:
     return steps
 
 
-def uniform(y: Column, p: Column, round_no: Column, salt: int) -> Column:
-    """A number between 0 and 1 that only the row's values, the round and the salt decide."""
-    h = (F.pmod(y, F.lit(PRIME)) * 48_271 + F.pmod(p, F.lit(PRIME)) * 69_621 + round_no * 40_692 + salt) % PRIME
-    h = (h * h + 16_807) % PRIME
-    h = (h * 630_360_016 + 12_345) % PRIME
-    return ((h * h + salt) % PRIME + 0.5) / PRIME
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions read and don't repeat (the optimizer would merge plain projections)."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_uniforms(df: DataFrame, y: Column, p: Column, round_no: Column, salts: dict[str, int]) -> DataFrame:
+    """Add numbers between 0 and 1 that only the row's values, the round and the salts decide."""
+    first = {n: (F.pmod(y, F.lit(PRIME)) * 48_271 + F.pmod(p, F.lit(PRIME)) * 69_621 + round_no * 40_692 + salt) % PRIME for n, salt in salts.items()}
+    out = computed(df, **first)
+    out = computed(out, **{n: ((F.col(n) * F.col(n) + 16_807) % PRIME * 630_360_016 + 12_345) % PRIME for n in salts})
+    return computed(out, **{n: ((F.col(n) * F.col(n) + salt) % PRIME + 0.5) / PRIME for n, salt in salts.items()})
 
 
 def bootstrap(df: DataFrame, keys: list[str], y: str, p: str, rounds: int = 500, seed: int = 0) -> DataFrame:
@@ -113,13 +119,14 @@ def bootstrap(df: DataFrame, keys: list[str], y: str, p: str, rounds: int = 500,
     same = rows.groupBy(*keys, "_y", "_p").agg(F.count(F.lit(1)).alias("_c"))
     whole = lambda x: F.round(x * SCALE, 0).cast("long")
     each = same.withColumn("_round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
-    u1, u2 = (uniform(whole(yy), whole(pp), r, 7_919 * seed + salt) for salt in (101, 202))
+    each = with_uniforms(each, whole(yy), whole(pp), r, {"_u1": 7_919 * seed + 101, "_u2": 7_919 * seed + 202})
+    u1, u2 = F.col("_u1"), F.col("_u2")
     normal = F.sqrt(-2 * F.ln(u1)) * F.cos(2 * math.pi * u2)
     weight = F.greatest(F.lit(0.0), F.floor(c + F.sqrt(c.cast("double")) * normal + 0.5).cast("double"))
     for n in range(1, SMALL_COUNT + 1):
         weight = F.when(c == n, sum(((u1 >= t).cast("double") for t in poisson_steps(n)), F.lit(0.0))).otherwise(weight)
     w, e = F.col("_w"), yy - pp
-    sums = each.withColumn("_w", weight).filter("_w > 0").groupBy(*keys, "_round").agg(F.sum(w).alias("n"), F.sum(w * yy).alias("sy"), F.sum(w * yy * yy).alias("syy"), F.sum(w * F.abs(e)).alias("sa"), F.sum(w * e * e).alias("se"))
+    sums = computed(each, _w=weight).filter("_w > 0").groupBy(*keys, "_round").agg(F.sum(w).alias("n"), F.sum(w * yy).alias("sy"), F.sum(w * yy * yy).alias("syy"), F.sum(w * F.abs(e)).alias("sa"), F.sum(w * e * e).alias("se"))
     n, spread = F.col("n"), F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
     one = sums.select(*keys, (F.col("sa") / n).alias("mae"), F.sqrt(F.col("se") / n).alias("rmse"), F.when(spread > 0, 1 - F.col("se") / spread).alias("r2"))
     # as many values a key as there are rounds
