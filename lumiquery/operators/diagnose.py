@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def model_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 def molecule_summary(df: DataFrame) -> DataFrame:
     """One row a molecule: its best model, expected values and the spread of the predictions."""
     best = F.min_by("model", F.struct("emission_abs_error", "model"))
+    # the first expected value that isn't missing, in the order of errors and models
+    expected = F.min(F.when(F.col("expected_emission_nm").isNotNull(), F.struct("emission_abs_error", "model", "expected_emission_nm")))["expected_emission_nm"]
     return df.groupBy("molecule").agg(
         F.count(F.lit(1)).alias("n_predictions"), best.alias("best_model"), F.min("emission_abs_error").alias("best_error"),
-        F.max("expected_emission_nm").alias("expected_emission_nm"), F.avg("predicted_emission_nm").alias("predicted_mean"), F.stddev_samp("predicted_emission_nm").alias("predicted_std"),
+        expected.alias("expected_emission_nm"), F.avg("predicted_emission_nm").alias("predicted_mean"), F.stddev_samp("predicted_emission_nm").alias("predicted_std"),
         F.min("predicted_emission_nm").alias("predicted_min"), F.max("predicted_emission_nm").alias("predicted_max"),
         F.avg("emission_abs_error").alias("mean_emission_error"), F.avg("qy_abs_error").alias("mean_qy_error"), F.max("nearest_similarity").alias("similarity"),
     )
@@ -76,3 +80,16 @@ def confidence(df: DataFrame) -> DataFrame:
     out = df.withColumns({"confidence_score": score, "_cut": F.round(score, 9), "_sim": sim, "_agree": agree})
     name = F.when(F.col("_cut") < 0.50, "low").when((F.col("_cut") >= 0.75) & (F.col("_sim") >= 0.85) & (F.col("_agree") >= 0.6), "high").otherwise("medium")
     return out.withColumn("confidence_label", name).drop("_cut", "_sim", "_agree")
+
+
+#: What a molecule's diagnosis adds to its predictions.
+ATTACHED = ("confidence_score", "confidence_label", "failure_mode", "training_delta", "molecule_seen", "solvent_seen", "pair_seen", "predicted_mean", "predicted_std", "similarity")
+
+
+def attach_confidence(predictions: DataFrame, diagnosed: DataFrame, keys: list[str]) -> DataFrame:
+    """Each prediction with the diagnosis of its molecule; predictions without one stay."""
+    add = [c for c in ATTACHED if c in diagnosed.columns]
+    right = diagnosed.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"_d_{c}") for c in add])
+    same = reduce(lambda a, b: a & b, [predictions[k] == F.col(f"_k{i}") for i, k in enumerate(keys)])
+    kept = [F.col(c) for c in predictions.columns if c not in add]
+    return predictions.join(right, same, "left").select(*kept, *[F.col(f"_d_{c}").alias(c) for c in add])

@@ -1,27 +1,28 @@
-"""Models of MLlib on leakage-safe splits, ensembles, grid search and feature importance.
+"""Models of MLlib on leakage-safe splits, ensembles, searches, stacking and feature importance.
 
-Extra trees, support vector regression and graph networks have no counterpart in MLlib
-and are not offered; nothing else is passed off as them. A small multilayer perceptron
-regressor is trained in NumPy on a bounded sample.
+What MLlib lacks is in ``learners``: extra trees, support vector regression and a
+multilayer perceptron, trained on a bounded sample of rows.
 """
 
 from __future__ import annotations
 
+import importlib.util
+import random
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .learners import fit_mlp  # noqa: F401  offered here too
 from .metrics import regression
-from .splits import group_split
+from .splits import group_split, hash_unit
 
 #: Regressors by name. Tree counts and depths are the caller's choice: the reference's are sized for one machine.
 REGRESSORS: dict[str, Callable[..., object]] = {
@@ -35,9 +36,11 @@ MIN_ROWS, MIN_GROUPS = 100, 2
 
 
 def build(features: list[str], label: str, model: str = "rf", categories: tuple[str, ...] = (), kinds: dict = REGRESSORS, **options) -> Pipeline:  # noqa: ANN003
-    """Indexing of categories (unknown ones kept apart), assembly and model as one pipeline."""
+    """One-hot categories by the training vocabulary (an unseen one is zero in all columns), assembly and model as one pipeline."""
     stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categories]
-    inputs = [*features, *[f"_{c}" for c in categories]]
+    if categories:
+        stages.append(OneHotEncoder(inputCols=[f"_{c}" for c in categories], outputCols=[f"_hot_{c}" for c in categories], dropLast=True, handleInvalid="keep"))
+    inputs = [*features, *[f"_hot_{c}" for c in categories]]
     est = kinds[model](featuresCol="_features", labelCol=label, **options)
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="skip"), est])
 
@@ -88,29 +91,66 @@ def bright_probability(fitted: PipelineModel, df: DataFrame) -> DataFrame:
     return fitted.transform(df).withColumn("bright_probability", vector_to_array("probability")[1])
 
 
-def fit_mlp(x: np.ndarray, y: np.ndarray, hidden: tuple[int, ...] = (32, 16), steps: int = 300, rate: float = 0.01, seed: int = 0) -> Callable[[np.ndarray], np.ndarray]:
-    """A multilayer perceptron regressor on standardized inputs, trained by Adam."""
-    rng = np.random.default_rng(seed)
-    mean, std, ym, ys = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1), y.mean(), y.std() or 1.0
-    sizes = [x.shape[1], *hidden, 1]
-    params = [p for a, b in zip(sizes, sizes[1:], strict=False) for p in (rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b))]
-    moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-
-    def forward(z: np.ndarray) -> list[np.ndarray]:
-        out = [z]
-        for k in range(0, len(params), 2):
-            z = out[-1] @ params[k] + params[k + 1]
-            out.append(np.maximum(z, 0) if k + 2 < len(params) else z)
-        return out
-
-    z, t = (x - mean) / std, ((y - ym) / ys)[:, None]
-    for step in range(1, steps + 1):
-        acts = forward(z)
-        grad, grads = 2 * (acts[-1] - t) / len(t), [None] * len(params)
-        for k in range(len(params) - 2, -1, -2):
-            grads[k], grads[k + 1] = acts[k // 2].T @ grad, grad.sum(0)
-            grad = (grad @ params[k].T) * (acts[k // 2] > 0)
-        for p, g, m in zip(params, grads, moments, strict=True):
-            m[0], m[1] = 0.9 * m[0] + 0.1 * g, 0.999 * m[1] + 0.001 * g * g
-            p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-    return lambda v: forward((v - mean) / std)[-1][:, 0] * ys + ym
+def random_search(df: DataFrame, features: list[str], label: str, tries: int = 4, folds: int = 3, seed: int = 42) -> PipelineModel:
+    """Best forest of randomly drawn settings by cross-validated MAE."""
+    rnd = random.Random(seed)
+    p = build(features, label, "rf", seed=seed)
+    forest = p.getStages()[-1]
+    drawn = {(rnd.choice((5, 10, 20)), rnd.choice((3, 5, 8)), rnd.choice((1, 2, 5))) for _ in range(tries)}
+    grid = [{forest.numTrees: t, forest.maxDepth: d, forest.minInstancesPerNode: m} for t, d, m in sorted(drawn)]
+    return CrossValidator(estimator=p, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="mae"), numFolds=folds, seed=seed).fit(df).bestModel
+
+
+def perceptron_classifier(features: list[str], label: str, hidden: tuple[int, ...] = (32, 16), **options) -> Pipeline:  # noqa: ANN003
+    """A scaled multilayer perceptron for two classes."""
+    return Pipeline(stages=[
+        VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="skip"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True),
+        MultilayerPerceptronClassifier(featuresCol="_features", labelCol=label, layers=[len(features), *hidden, 2], seed=42, **options),
+    ])
+
+
+def stack(df: DataFrame, features: list[str], label: str, key: str, models: tuple[str, ...] = ("rf", "gbdt"), folds: int = 3, options: dict[str, dict] | None = None) -> tuple[dict[str, PipelineModel], PipelineModel]:
+    """Linear stacking: a line over out-of-fold predictions of the base models, which are then fitted on all rows.
+
+    Folds are decided by the hash of a key, so rows of one group stay together.
+    """
+    folded = df.withColumn("_fold", F.floor(hash_unit(F.col(key), 7) * folds))
+    out = None
+    for k in range(folds):
+        part = folded.filter(F.col("_fold") == k)
+        for m in models:
+            fitted = build(features, label, m, **(options or {}).get(m, {})).fit(folded.filter(F.col("_fold") != k))
+            part = fitted.transform(part).withColumnRenamed("prediction", f"p_{m}").drop("_features")
+        out = part if out is None else out.unionByName(part)
+    line = build([f"p_{m}" for m in models], label, "linear").fit(out)
+    return {m: build(features, label, m, **(options or {}).get(m, {})).fit(df) for m in models}, line
+
+
+def predict_stack(base: dict[str, PipelineModel], line: PipelineModel, df: DataFrame) -> DataFrame:
+    """Predictions of a stack."""
+    for m, fitted in base.items():
+        df = fitted.transform(df).withColumnRenamed("prediction", f"p_{m}").drop("_features")
+    return line.transform(df).drop("_features", *[f"p_{m}" for m in base])
+
+
+#: Optional boosting libraries: the module, and the class that fits a DataFrame.
+OPTIONAL = {"xgboost": ("xgboost.spark", "SparkXGBRegressor"), "lightgbm": ("synapse.ml.lightgbm", "LightGBMRegressor"), "catboost": ("catboost_spark", "CatBoostRegressor")}
+
+
+def optional_backend(name: str) -> tuple[type | None, str]:
+    """The class of an optional library, or None and why it is skipped."""
+    module, cls = OPTIONAL[name]
+    if importlib.util.find_spec(module.split(".")[0]) is None:
+        return None, f"{name} is not installed; skipped"
+    try:
+        return getattr(importlib.import_module(module), cls), ""
+    except (ImportError, AttributeError) as e:
+        return None, f"{name} can't be loaded: {e}; skipped"
+
+
+def compare(results: list[DataFrame], metric: str = "mae") -> DataFrame:
+    """Metrics of several models as one table, the best first; missing metrics last."""
+    out = results[0]
+    for r in results[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.orderBy(F.col(metric).asc_nulls_last(), "model")

@@ -115,16 +115,16 @@ def model_error_summary(spark: SparkSession, d: str) -> DataFrame:
     return s.select("family", "model", "n_rows", "n_molecules", *[R6(c).alias(c) for c in s.columns[4:]])
 
 
-SUMMARY = """summary AS (SELECT molecule, count(*) AS n_predictions, (min(struct_pack(e := emission_abs_error, m := model))).m AS best_model, min(emission_abs_error) AS best_error, max(expected_emission_nm) AS expected_emission_nm,
+SUMMARY = """summary AS (SELECT molecule, count(*) AS n_predictions, (min(struct_pack(e := emission_abs_error, m := model))).m AS best_model, min(emission_abs_error) AS best_error, (min(struct_pack(e := emission_abs_error, m := model, x := expected_emission_nm)) FILTER (expected_emission_nm IS NOT NULL)).x AS expected_emission_nm,
   avg(predicted_emission_nm) AS predicted_mean, stddev_samp(predicted_emission_nm) AS predicted_std, min(predicted_emission_nm) AS predicted_min, max(predicted_emission_nm) AS predicted_max,
   avg(emission_abs_error) AS mean_emission_error, avg(qy_abs_error) AS mean_qy_error, max(nearest_similarity) AS similarity FROM bench GROUP BY 1)"""
 
 
-@query("molecule_summary_best", "SELECT molecule, n_predictions, best_model, round(best_error, 6) AS best_error, round(predicted_mean, 6) AS predicted_mean, round(predicted_std, 6) AS predicted_std, round(mean_qy_error, 6) AS mean_qy_error FROM summary", PRED, BENCH, SUMMARY)
+@query("molecule_summary_best", "SELECT molecule, n_predictions, best_model, round(expected_emission_nm, 6) AS expected_emission_nm, round(best_error, 6) AS best_error, round(predicted_mean, 6) AS predicted_mean, round(predicted_std, 6) AS predicted_std, round(mean_qy_error, 6) AS mean_qy_error FROM summary", PRED, BENCH, SUMMARY)
 def molecule_summary_best(spark: SparkSession, d: str) -> DataFrame:
     """Best model and spread of each molecule."""
     s = diagnose.molecule_summary(_bench(spark, d))
-    return s.select("molecule", "n_predictions", "best_model", *[R6(c).alias(c) for c in ("best_error", "predicted_mean", "predicted_std", "mean_qy_error")])
+    return s.select("molecule", "n_predictions", "best_model", *[R6(c).alias(c) for c in ("expected_emission_nm", "best_error", "predicted_mean", "predicted_std", "mean_qy_error")])
 
 
 LADDER = """case_in AS (SELECT molecule, solvent, max(expected_emission_nm) AS expected_emission_nm, avg(predicted_emission_nm) AS predicted_mean, stddev_samp(predicted_emission_nm) / 4 AS predicted_std,

@@ -7,10 +7,12 @@ import re
 from fnmatch import fnmatch
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import files
+
 #: Encodings in the order in which they are tried, and what Spark calls them.
 ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
 HEAD_BYTES = 1 << 20
@@ -116,9 +118,15 @@ def read_csv_optional(spark: SparkSession, path: str, schema: T.StructType) -> D
     return fit_schema(read_csv(spark, path), schema)
 
 
-def discover(folder: str, pattern: str, exclude: tuple[str, ...] = ()) -> list[str]:
-    """Files below a folder by pattern, in order, without those excluded; an error if there are none."""
-    found = sorted(str(p) for p in Path(folder).rglob(pattern) if not any(fnmatch(p.name, x) for x in exclude))
+def discover(folder: str, pattern: str, exclude: tuple[str, ...] = (), spark: SparkSession | None = None) -> list[str]:
+    """Files below a folder by pattern, in order, without those excluded; an error if there are none.
+
+    With a session, of any file system that it reaches; without, of the driver's disk.
+    """
+    if spark is not None:
+        found = files.find(spark, folder, pattern, exclude)
+    else:
+        found = sorted(str(p) for p in Path(folder).rglob(pattern) if not any(fnmatch(p.name, x) for x in exclude))
     if not found:
         raise FileNotFoundError(f"no {pattern} below {folder}")
     return found
@@ -137,10 +145,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def first_existing(*paths: str | None) -> str:
-    """The first path that exists."""
+def first_existing(*paths: str | None, spark: SparkSession | None = None) -> str:
+    """The first path that exists, of any file system with a session."""
     for p in paths:
-        if p and Path(p).exists():
+        if p and (files.exists(spark, p) if spark is not None else Path(p).exists()):
             return p
     raise FileNotFoundError(", ".join(p for p in paths if p))
 
@@ -184,3 +192,52 @@ def sanitize_names(columns: list[str]) -> list[str]:
             name, k = f"{base}_{k}", k + 1
         out.append(name)
     return out
+
+
+def split_list(text: str | None) -> list[str]:
+    """Entries of a comma-separated argument, without blanks."""
+    return [x for x in (p.strip() for p in (text or "").split(",")) if x]
+
+
+def strip_affixes(name: str, prefix: str = "", suffix: str = "") -> str:
+    """A name without its prefix and suffix, where it has them."""
+    return name.removeprefix(prefix).removesuffix(suffix)
+
+
+def target_of(c: Column, prefix: str, suffix: str) -> Column:
+    """The same for a column."""
+    return F.regexp_replace(F.regexp_replace(c, "^" + re.escape(prefix), ""), re.escape(suffix) + "$", "")
+
+
+def reorder(columns: list[str], preferred: list[str], core: list[str], internal: tuple[str, ...] = ()) -> list[str]:
+    """Preferred columns, then the others, then the core ones; internal ones and those with a leading underscore go."""
+    rest = [c for c in columns if c not in preferred and c not in core and c not in internal and not c.startswith("_")]
+    return list(dict.fromkeys([*(c for c in preferred if c in columns), *rest, *(c for c in core if c in columns)]))
+
+
+def insert_first(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns put before all others (one of the same name is replaced)."""
+    return df.select(*[c.alias(n) for n, c in columns.items()], *[F.col(f"`{c}`") for c in df.columns if c not in columns])
+
+
+#: Terms by which a column shows a property.
+PROPERTY_TERMS = ("absorption", "emission", "quantum", "yield", "plqy", "lifetime", "extinction", "reference", "source")
+
+
+def property_columns(columns: list[str], first: tuple[str, ...] = (), terms: tuple[str, ...] = PROPERTY_TERMS) -> list[str]:
+    """The columns that come first, and then those whose name has one of the terms."""
+    return list(dict.fromkeys([*(c for c in first if c in columns), *(c for c in columns if any(t in c.casefold() for t in terms))]))
+
+
+def with_ordinal(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """Number the rows from 0 in the order in which they are read.
+
+    Spark numbers the rows of each partition; the partitions' counts, one row each, are summed in order and joined.
+    """
+    rows = df.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    out = rows.join(F.broadcast(starts), part == F.col("_part"))  # one row a partition
+    return out.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")

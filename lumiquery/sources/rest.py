@@ -1,13 +1,19 @@
-"""A table behind a REST endpoint as a Spark data source: select, equality filter, order and limit go into the request."""
+"""A table behind a REST endpoint as a Spark data source.
+
+Reading: select, equality filter, order and limit go into the request; with ``rows`` and
+``page`` the table is read in pages, one partition each. Writing: rows are inserted, or
+patched by id, in batches; a refused batch is sent again without the optional columns.
+"""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from urllib.parse import urlencode
+from urllib.error import HTTPError
+from urllib.parse import quote, urlencode
 from urllib.request import Request, urlopen
 
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 
@@ -24,9 +30,13 @@ class RestTable(DataSource):
         raise ValueError("give a schema")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        """One request, one partition: the endpoint pages by limit."""
+        """One request a page, one partition each."""
         return RestReader(schema, dict(self.options))
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        """Inserts, or patches by ``id``."""
+        return RestWriter(schema, dict(self.options))
+
 
 class RestReader(DataSourceReader):
     """Reads the rows of one request."""
@@ -34,19 +44,75 @@ class RestReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict[str, str]) -> None:
         self.columns, self.options = [f.name for f in schema.fields], options
 
-    def request(self) -> str:
-        """Address of the request."""
+    def partitions(self) -> list[InputPartition]:
+        """Offsets of the pages; one without ``page``."""
         o = self.options
+        if not o.get("page"):
+            return [InputPartition(None)]
+        return [InputPartition(k) for k in range(0, int(o["rows"]), int(o["page"]))]
+
+    def request(self, offset: int | None = None) -> str:
+        """Address of the request."""
+        o = dict(self.options)
+        if offset is not None:
+            o["limit"] = o["page"]
         query = {"select": ",".join(self.columns)}
         if o.get("filter"):
             column, _, value = o["filter"].partition("=")
             query[column] = f"eq.{value}"
-        query |= {k: o[k] for k in ("order", "limit") if o.get(k)}
+        query |= {k: o[k] for k in ("order", "limit") if o.get(k)} | ({"offset": offset} if offset is not None else {})
         return f"{o['url'].rstrip('/')}/{o['table']}?{urlencode(query)}"
 
     def read(self, partition: object) -> Iterator[tuple]:
         """Rows in the order of the schema."""
         headers = {"Accept": "application/json"} | ({"Authorization": f"Bearer {self.options['key']}"} if self.options.get("key") else {})
-        with urlopen(Request(self.request(), headers=headers), timeout=30) as answer:  # noqa: S310
+        offset = getattr(partition, "value", None)
+        with urlopen(Request(self.request(offset), headers=headers), timeout=30) as answer:  # noqa: S310
             for row in json.loads(answer.read()):
                 yield tuple(row.get(c) for c in self.columns)
+
+
+class RestWriter(DataSourceWriter):
+    """Sends the rows of a partition in batches."""
+
+    def __init__(self, schema: StructType, options: dict[str, str]) -> None:
+        self.columns, self.options = [f.name for f in schema.fields], options
+
+    def _send(self, method: str, query: str, rows: object) -> None:
+        o = self.options
+        headers = {"Content-Type": "application/json", "Prefer": "return=minimal"} | ({"Authorization": f"Bearer {o['key']}"} if o.get("key") else {})
+        body = json.dumps(rows, default=str, allow_nan=False).encode()
+        urlopen(Request(f"{o['url'].rstrip('/')}/{o['table']}{query}", data=body, headers=headers, method=method), timeout=30).close()  # noqa: S310
+
+    def _try(self, method: str, query: str, rows: list[dict]) -> None:
+        optional = [c for c in (self.options.get("optional") or "").split(",") if c]
+        shape = (lambda rs: rs[0]) if method == "PATCH" else (lambda rs: rs)
+        try:
+            self._send(method, query, shape(rows))
+        except HTTPError:
+            if not optional:
+                raise
+            self._send(method, query, shape([{k: v for k, v in r.items() if k not in optional} for r in rows]))
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        """Insert in batches, or patch row by row."""
+        key, size = self.options.get("id"), int(self.options.get("batch", 100))
+        batch: list[dict] = []
+        for row in iterator:
+            r = row.asDict(recursive=True)
+            if key:
+                self._try("PATCH", f"?{key}=eq.{quote(str(r.pop(key)))}", [r])
+                continue
+            batch.append(r)
+            if len(batch) >= size:
+                self._try("POST", "", batch)
+                batch = []
+        if batch:
+            self._try("POST", "", batch)
+        return WriterCommitMessage()
+
+    def commit(self, messages: list) -> None:
+        """Nothing is left to do: each request is final. Patches can be repeated; inserts need a key that the table checks."""
+
+    def abort(self, messages: list) -> None:
+        """Rows that were sent stay."""

@@ -43,15 +43,36 @@ def write_json(value: Any, path: str) -> None:
     Path(path).write_text(stable_json(value) + "\n", encoding="utf-8")
 
 
-def markdown_table(df: DataFrame, digits: int = 4, rows: int = PREVIEW_ROWS) -> str:
-    """A report table of a small result: at most ``rows`` rows reach the driver."""
-
-    def show(x: Any) -> str:
-        if x is None or (isinstance(x, float) and math.isnan(x)):
-            return ""
-        if isinstance(x, float):
-            return f"{x:.{digits}f}".rstrip("0").rstrip(".")
+def number(x: Any, style: str = ".4f", missing: str = "") -> str:
+    """A number in a report: ``.4f`` (with ``0`` trailing zeros go), ``.4g`` or ``.3g``; missing and infinite ones by name."""
+    if x is None or (isinstance(x, float) and not math.isfinite(x)):
+        return missing
+    if isinstance(x, bool) or not isinstance(x, (int, float)):
         return str(x).replace("|", "\\|").replace("\n", " ")
+    if isinstance(x, int):
+        return str(x)
+    trim = style.endswith("0")
+    text = format(x, style.rstrip("0") if trim else style)
+    return text.rstrip("0").rstrip(".") if trim and "." in text else text
 
+
+def markdown_table(df: DataFrame, digits: int = 4, rows: int = PREVIEW_ROWS, styles: dict[str, str] | None = None, missing: str = "") -> str:
+    """A report table of a small result. At most ``rows`` rows reach the driver; a last line says how many were left out.
+
+    ``styles`` gives a column another number format than ``digits`` places without trailing zeros.
+    """
+    found = df.limit(rows + 1).collect()
+    style = [(styles or {}).get(c, f".{digits}f0") for c in df.columns]
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in df.limit(rows).collect())])
+    lines += ["| " + " | ".join(number(x, s, missing) for x, s in zip(r, style, strict=True)) + " |" for r in found[:rows]]
+    if len(found) > rows:
+        lines += ["", f"{df.count() - rows} more rows are not shown."]
+    return "\n".join(lines)
+
+
+def report(title: str, sections: list[tuple[str, str | DataFrame]]) -> str:
+    """A Markdown report: a title, then headed paragraphs and tables."""
+    parts = [f"# {title}"]
+    for head, body in sections:
+        parts += [f"## {head}", body if isinstance(body, str) else markdown_table(body)]
+    return "\n\n".join(parts) + "\n"

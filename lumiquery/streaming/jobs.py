@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import keep_first
+
 #: States of a job in order; later ones win when a job is seen again.
 STATES = ("queued", "running", "completed", "failed")
 
@@ -42,14 +44,20 @@ def parse_requests(lines: DataFrame, value: str = "value") -> DataFrame:
     return parsed.select("r.*", F.col(value).alias("raw"), F.when(F.col("r").isNull() | F.col("r.job_id").isNull(), F.lit("INVALID_INPUT")).alias("parse_error"))
 
 
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    """Write a batch of a stream whose repeated keys its state has dropped: a replay is overwritten by itself, and no history is read."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
 def upsert(spark: SparkSession, batch: DataFrame, path: str, batch_id: int, key: str = "id") -> None:
-    """Add the batch's rows whose key isn't there yet: a replay of the batch is overwritten by itself."""
+    """Add the batch's rows whose key isn't there yet, for batches outside a stream: it reads the keys of all batches."""
     target = f"{path}/batch={batch_id}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     done = spark.read.parquet(path).filter(F.col("batch") != batch_id).select(key) if fs.exists(p) else None
-    fresh = batch.dropDuplicates([key])
+    # of rows with one key the first by their content, so a replay keeps the same
+    fresh = keep_first(batch, [key], [F.xxhash64(*[F.col(c) for c in batch.columns if c != key])])
     fresh = fresh.join(done, key, "left_anti") if done is not None else fresh
     fresh.write.mode("overwrite").parquet(target)
 
@@ -74,9 +82,10 @@ def drain(spark: SparkSession, sf_dir: str) -> DataFrame:
         queued = batch.filter("event_type IN ('click', 'view')").select(F.col("event_id").alias("id"), "user_id", "value")
         code = F.when(F.col("value").isNull(), "INVALID_INPUT")
         done = queued.withColumn("status", F.when(code.isNull(), "completed").otherwise("failed"))
-        upsert(spark, done.withColumn("document", response(F.col("id").cast("string"), code, F.array(F.col("value")))), f"{base}/out", batch_id)
+        write_batch(done.withColumn("document", response(F.col("id").cast("string"), code, F.array(F.col("value")))), f"{base}/out", batch_id)
 
-    query = stream.writeStream.foreachBatch(answer).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    # the stream's own state, by job id, drops jobs that were seen before
+    query = stream.dropDuplicates(["event_id"]).writeStream.foreachBatch(answer).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{base}/out").groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("n_jobs"))
 
