@@ -32,7 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier takes for good."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = quality_crf.train(docs, labels)
-    return quality_crf.score_documents(_with_row(docs), field, "_row", text="_row.text").filter("score >= 0.5").select("_row.*")
+    with common.few_rows_a_batch(spark):
+        scored = common.pin(quality_crf.score_documents(_with_row(docs), field, "_row", text="_row.text"))
+    return scored.filter("score >= 0.5").select("_row.*")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +52,9 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a test item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.match_documents(_with_row(docs), items, ("_row",), text="_row.text").filter(F.size("matches") == 0).select("_row.*")
+    with common.few_rows_a_batch(spark):
+        matched = common.pin(decontaminate.match_documents(_with_row(docs), items, ("_row",), text="_row.text"))
+    return matched.filter(F.size("matches") == 0).select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
