@@ -32,6 +32,7 @@ are ignored; an empty table writes no shard and gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import math
 import sys
@@ -50,7 +51,7 @@ from . import common
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50_256
 #: Fixed value: how the vocabulary's texts are cut before byte pairs are merged.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 LENGTH = 256
 KEY = 0x5EED_0F_0DD5
 ROUNDS = 6
@@ -88,6 +89,18 @@ class Tokenizer:
         return self.encoding.decode([int(i) for i in ids if i != END])
 
 
+_made: dict[bytes, Tokenizer] = {}
+
+
+def tokenizer_of(ranks: bytes) -> Tokenizer:
+    """The tokenizer of a vocabulary, made once a Python worker."""
+    digest = hashlib.sha256(ranks).digest()
+    if digest not in _made:
+        _made.clear()
+        _made[digest] = Tokenizer(ranks)
+    return _made[digest]
+
+
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     """A keyed permutation of 0..n-1: Feistel rounds on an even number of bits, cycle-walking until below n."""
     half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
@@ -139,6 +152,11 @@ def _write_ids(docs: DataFrame, path: str, id_col: str) -> None:
     ids.select("hash", clash.alias("id")).write.mode("overwrite").parquet(f"{path}/_ids")
 
 
+def _marked(mark: int, hashes: pa.Array) -> int:
+    """A running mark of the rows and their order, from their hashes."""
+    return zlib.crc32(hashes.to_numpy(zero_copy_only=False).tobytes(), mark)
+
+
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", vocabulary: str = VOCABULARY, length: int = LENGTH, key: int = KEY) -> int:
     """Write all shards below ``path``; returns the number of sequences."""
     if docs.isEmpty():
@@ -151,17 +169,17 @@ def _write_tokens(docs: DataFrame, path: str, id_col: str, vocabulary: str, leng
     spark = docs.sparkSession
     ranks = _vocabulary(spark, vocabulary)
     row_id = F.col(id_col).cast("long") if _plain_ids(docs, id_col) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
-    rows = common.pin(docs.select(row_id.alias("id"), "text"))
+    rows = common.pin(docs.select(row_id.alias("id"), "text", F.xxhash64(row_id, "text").alias("mark")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, n, crc = Tokenizer(ranks.value), 0, 0
+        tokenizer, n, mark = tokenizer_of(ranks.value), 0, 0
         for batch in common.slices(batches):
             for text in batch.column(1).to_pylist():
                 n += -(-tokenizer.count(text) // length)
-                crc = zlib.crc32((text or "").encode(), crc)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "crc": pa.array([crc], pa.int64())})
+            mark = _marked(mark, batch.column(2))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "mark": pa.array([mark], pa.int64())})
 
-    counts = {r["part"]: (r["n"], r["crc"]) for r in rows.mapInArrow(count, "part int, n long, crc long").collect()}
+    counts = {r["part"]: (r["n"], r["mark"]) for r in rows.mapInArrow(count, "part int, n long, mark long").collect()}
     total = sum(n for n, _ in counts.values())
     if not total:
         return 0
@@ -172,7 +190,7 @@ def _write_tokens(docs: DataFrame, path: str, id_col: str, vocabulary: str, leng
     fill = np.full(length, END, "<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part, crc = Tokenizer(ranks.value), TaskContext.get().partitionId(), 0
+        tokenizer, part, mark = tokenizer_of(ranks.value), TaskContext.get().partitionId(), 0
         at = offsets[part]
         heads: list[tuple[int, int, int, int]] = []
         bodies: list[bytes] = []
@@ -186,8 +204,8 @@ def _write_tokens(docs: DataFrame, path: str, id_col: str, vocabulary: str, leng
             return pa.RecordBatch.from_arrays([pa.array((head["slot"] // slots).astype(np.int32)), pa.array(head["slot"]), pa.array(records, pa.binary())], names=["shard", "slot", "record"])
 
         for batch in common.slices(batches):
+            mark = _marked(mark, batch.column(2))
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                crc = zlib.crc32((text or "").encode(), crc)
                 ids = tokenizer.encode(text)
                 for k in range(0, len(ids), wide):
                     body = ids[k : k + wide]
@@ -200,7 +218,7 @@ def _write_tokens(docs: DataFrame, path: str, id_col: str, vocabulary: str, leng
         if heads:
             yield emit()
             at += len(heads)
-        if (at - offsets[part], crc) != counts[part]:
+        if (at - offsets[part], mark) != counts[part]:
             raise RuntimeError(f"partition {part} changed between the passes")
 
     sequences = rows.mapInArrow(cut, "shard int, slot long, record binary")
@@ -219,8 +237,8 @@ def read_layout(spark: SparkSession, path: str) -> dict[str, int]:
     return json.loads(spark.read.text(f"{path}/_layout").first()["value"])
 
 
-def read_tokens(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
-    """One row for each record from slot ``start`` on: where it is, what it holds, its ids and their CRC-32.
+def read_tokens(spark: SparkSession, path: str, start: int = 0, tokens: bool = True) -> DataFrame:
+    """One row for each record from slot ``start`` on: where it is, what it holds, its ids (unless not wanted) and their CRC-32.
 
     Shards before that slot are not opened.
     """
@@ -231,7 +249,7 @@ def read_tokens(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_buffer()
+                data = memoryview(content.as_buffer())
                 if len(data) % wide:
                     raise ValueError(f"shard {shard} is cut off")
                 first = max(0, start - shard * slots)
@@ -240,14 +258,15 @@ def read_tokens(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
                     if (r["end"] != 10).any():
                         raise ValueError(f"shard {shard} has a broken record")
                     n, none = len(r), r["seq_no"] < 0
-                    ids = [t[:k].tobytes() for t, k in zip(r["tokens"], r["n_tokens"], strict=True)]
+                    ids = [data[k : k + 2 * m] for k, m in zip(((at + np.arange(n)) * wide + HEADER.itemsize).tolist(), r["n_tokens"].tolist(), strict=True)]
+                    more = [pa.array([bytes(t) for t in ids], pa.binary())] if tokens else []
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(r["slot"].copy()), pa.array(np.full(n, shard, np.int64)), pa.array((at + np.arange(n)) * wide), pa.array(r["doc_id"].copy(), mask=none), pa.array(np.where(none, ~r["seq_no"], r["seq_no"])), pa.array(r["n_tokens"].copy()), pa.array([zlib.crc32(t) for t in ids], pa.int64()), pa.array(ids, pa.binary())],
-                        names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", "tokens"],
+                        [pa.array(r["slot"].copy()), pa.array(np.full(n, shard, np.int64)), pa.array((at + np.arange(n)) * wide), pa.array(r["doc_id"].copy(), mask=none), pa.array(np.where(none, ~r["seq_no"], r["seq_no"])), pa.array(r["n_tokens"].copy()), pa.array([zlib.crc32(t) for t in ids], pa.int64()), *more],
+                        names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", *(["tokens"] if tokens else [])],
                     )
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
-    out = files.filter(F.col("shard") >= start // slots).select("shard", "content").mapInArrow(run, RECORD)
+    out = files.filter(F.col("shard") >= start // slots).select("shard", "content").mapInArrow(run, RECORD if tokens else RECORD.removesuffix(", tokens binary"))
     if not common.path_exists(spark, f"{path}/_ids"):
         return out
     ids = spark.read.parquet(f"{path}/_ids")
@@ -284,4 +303,4 @@ def materialise(docs: DataFrame, path: str, **options) -> DataFrame:  # noqa: AN
     spark = docs.sparkSession
     if not write_tokens(docs, path, **options):
         return spark.createDataFrame([], RECORD).drop("tokens")
-    return read_tokens(spark, path).drop("tokens")
+    return read_tokens(spark, path, tokens=False)
