@@ -62,7 +62,7 @@ BLOCK = 256
 COUNTERS = 1 << 16
 #: Rarest shingles that go with a text to its cells, so that most pairs go on from one cell only.
 HEAD = 64
-WORD_CACHE = 200_000
+WORD_CACHE = 50_000
 
 _rng = np.random.default_rng(20_240_501)
 _FACTOR = (_rng.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -378,7 +378,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Sketch rows of all documents, their representatives, the verified links of representatives, and their components."""
-    with common.few_rows_a_batch(docs.sparkSession):  # every step here is eager
+    with common.few_rows_a_batch(docs.sparkSession, 500):  # every step here is eager
         return _similar_pairs(docs, id_col, percent)
 
 
