@@ -7,6 +7,8 @@ references are joined block by block.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,26 @@ def pack_bits(df: DataFrame, vector: str, out: str = "fp") -> DataFrame:
     return df.withColumn(out, F.expr(f"aggregate(transform({vector}, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)"))
 
 
-def top_k(candidates: DataFrame, references: DataFrame, k: int, candidate_id: str = "candidate_id", reference_id: str = "reference_id", exclude_self: bool = False) -> DataFrame:
+def top_k(candidates: DataFrame, references: DataFrame, k: int, candidate_id: str = "candidate_id", reference_id: str = "reference_id", exclude_self: bool = False, block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The k most similar references of each candidate; ties go to the smallest reference id.
 
-    Candidates meet every reference (a search over a stated set of references); of each
-    task's rows only k a candidate go on to the shuffle.
+    Candidates meet every reference (a search over a stated set of references), one
+    block of at most about ``block_rows`` of them after the other: each block is
+    broadcast, of each task's rows only k a candidate go on, and the blocks' bests are ranked.
     """
     refs = references.select(F.col(reference_id), F.col("fp").alias("_fp"))
-    refs = F.broadcast(refs) if refs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else refs
-    pairs = candidates.join(refs, F.col(candidate_id) != F.col(reference_id)) if exclude_self else candidates.crossJoin(refs)
-    scored = pairs.withColumn("similarity", tanimoto_packed(F.col("fp"), F.col("_fp"))).drop("_fp")
+    blocks = 1 if refs.limit(block_rows + 1).count() <= block_rows else -(-refs.count() // block_rows)
     order = Window.partitionBy(candidate_id).orderBy(F.col("similarity").desc(), F.col(reference_id))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    parts = []
+    for b in range(blocks):
+        block = F.broadcast(refs if blocks == 1 else refs.filter(F.pmod(F.xxhash64(reference_id), F.lit(blocks)) == b))
+        pairs = candidates.join(block, F.col(candidate_id) != F.col(reference_id)) if exclude_self else candidates.crossJoin(block)
+        parts.append(best(pairs.withColumn("similarity", tanimoto_packed(F.col("fp"), F.col("_fp"))).drop("_fp")))
+    return parts[0] if blocks == 1 else best(reduce(DataFrame.unionByName, [p.drop("rank") for p in parts]))
 
 
 def neighbour_summary(neighbours: DataFrame, candidate_id: str = "candidate_id", reference_id: str = "reference_id") -> DataFrame:

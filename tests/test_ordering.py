@@ -15,3 +15,27 @@ def test_ranked_places_every_molecule(spark):
     for one_task_rows in (10, 1_000_000):  # by range partitions, and by one window
         got = molecules.ranked(mol, one_task_rows).collect()
         assert len(got) == len(rows) and {r["molecule_id"]: r["place"] for r in got} == want
+
+
+def test_neighbours_in_blocks(spark):
+    from lumiquery.operators import neighbours
+
+    rows = spark.range(200).selectExpr("id AS reference_id", "pmod(xxhash64(id), 65536) AS fp")
+    queries = rows.filter("reference_id % 50 = 0").withColumnRenamed("reference_id", "candidate_id")
+    one = neighbours.top_k(queries, rows, 4, exclude_self=True)
+    many = neighbours.top_k(queries, rows, 4, exclude_self=True, block_rows=30)
+    key = lambda df: sorted((r["candidate_id"], r["rank"], r["reference_id"], round(r["similarity"], 9)) for r in df.collect())
+    assert key(one) == key(many) and len(key(one)) == 16
+
+
+def test_quantiles_and_sums_by_key(spark):
+    from pyspark.sql import functions as F
+
+    from lumiquery.operators import ordering
+
+    rows = [("a" if k % 3 else None, float(k * 7 % 101) if k % 11 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for most in (ordering.ONE_TASK_ROWS, 5):
+        got = {r["g"]: (r["low"], r["mid"]) for r in ordering.quantiles(df, ["g"], "v", (0.1, 0.5), ("low", "mid"), most).collect()}
+        want = {r["g"]: (r["a"], r["b"]) for r in df.groupBy("g").agg(F.percentile("v", F.lit(0.1)).alias("a"), F.percentile("v", F.lit(0.5)).alias("b")).collect()}
+        assert got.keys() == want.keys() and all(abs(x - y) < 1e-9 for g in want for x, y in zip(got[g], want[g], strict=True))
