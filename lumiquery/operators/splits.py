@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from .ordering import quantiles, running_sum
 
 
-def hash_unit(key: Column, seed: int) -> Column:
-    """A number from 0 to 1 that only key and seed decide (``randomSplit`` depends on partitioning)."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-
-
 def hash_order(key: Column, seed: int) -> Column:
     """A key's place in an order that only it and the seed decide; SQL engines with MD5 give the same."""
     return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f"|{seed}")).cast("binary"))
 
 
+def hash_unit(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that only key and seed decide (``randomSplit`` depends on partitioning)."""
+    return F.conv(F.substring(hash_order(key, seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def random_split(df: DataFrame, key: Column, test: float = 0.2, seed: int = 42) -> DataFrame:
     """Row split by hash."""
     return df.withColumn("split", F.when(hash_unit(key, seed) < test, "test").otherwise("train"))
@@ -81,4 +81,4 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def seeded_sample(df: DataFrame, key: list[Column], n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows, the same for the same seed."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(hash_order(F.concat_ws("|", *key), seed), *key).limit(n)

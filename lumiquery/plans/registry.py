@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import features, measurements, molecules, predictions, reports  # noqa: F401  they register their queries
+from . import features, files, measurements, molecules, predictions, reports  # noqa: F401  they register their queries
 from .catalog import ORACLES, QUERIES, Query
 from .predictions import flagship
 

@@ -13,8 +13,8 @@ PREVIEW_ROWS = 1_000
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV part files with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV part files with a header; quotes are doubled, as ``read_csv`` and other readers expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
