@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import joins, splits
-from ..sources import readers, writers
+from ..operators import joins, splits, standardize
+from ..sources import files, readers, writers
 from ..streaming import jobs as job_queue
 from . import views
 from .catalog import query
-from .views import JOBS, MOL, PRED, SOLV
+from .views import JOBS, MEAS, MOL, PRED, SOLV
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -109,3 +109,38 @@ def random_hash_split(spark: SparkSession, d: str) -> DataFrame:
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """A hundred molecules, the same for the same seed."""
     return splits.seeded_sample(views.mol(spark, d), [F.col("molecule_id")], 100).select("molecule_id", "scaffold")
+
+
+@query("labelled_files", """
+SELECT replace(r_name, '_', ' ') AS run_label, n_nationkey, n_name, (SELECT count(*) FROM region) AS n_files FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def labelled_files(spark: SparkSession, d: str) -> DataFrame:
+    """One small file for each region, found by pattern without the one excluded, read as one table with the file's label."""
+    path = _folder(spark, "labelled")
+    regions = spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name")
+    rows = spark.read.parquet(f"{d}/nation.parquet").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = rows.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "n_nationkey", "n_name"))), "\n").alias("body"))
+    for r in lines.collect():  # a file a region, five by definition
+        files.write_text(spark, f"{path}/runs/{r['r_name']}.csv", f"n_nationkey,n_name\n{r['body']}\n")
+    files.write_text(spark, f"{path}/runs/summary.csv", "n_nationkey,n_name\n-1,none\n")
+    folder = readers.first_existing(f"{path}/absent", f"{path}/runs", spark=spark)
+    found = readers.discover(folder, "*.csv", ("summary*",), spark=spark)
+    out = readers.read_labelled(spark, found)
+    return out.select("run_label", F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name", F.lit(len(found)).cast("long").alias("n_files"))
+
+
+@query("markdown_lines", """
+, t AS (SELECT coalesce(solvent, '') AS solvent, count(*) AS n FROM meas GROUP BY 1)
+SELECT 0::BIGINT AS line, '| solvent | n |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY solvent), '| ' || solvent || ' | ' || n || ' |' FROM t""", MEAS)
+def markdown_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each solvent as a report table, one row for each line of it."""
+    table = views.meas(spark, d).groupBy("solvent").agg(F.count(F.lit(1)).alias("n")).orderBy("solvent")
+    text = writers.markdown_table(table).split("\n")
+    return spark.createDataFrame(list(enumerate(text)), "line long, text string")
+
+
+@query("measurement_keys", """
+SELECT ord, line, concat_ws('|', molecule, coalesce(solvent, '<NA>'), coalesce((absorption_nm::DOUBLE)::VARCHAR, '<NA>'), coalesce((emission_nm::DOUBLE)::VARCHAR, '<NA>'), coalesce(quantum_yield::DOUBLE::VARCHAR, '<NA>'), coalesce(log_extinction::DOUBLE::VARCHAR, '<NA>')) AS measurement_key FROM meas""", MEAS)
+def measurement_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key of equal measurements of every row."""
+    m = views.meas(spark, d).withColumnsRenamed({"molecule": "canonical_chromophore_smiles", "solvent": "canonical_solvent_smiles"})
+    return standardize.measurement_key(m).select("ord", "line", "measurement_key")

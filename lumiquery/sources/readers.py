@@ -135,7 +135,9 @@ def discover(folder: str, pattern: str, exclude: tuple[str, ...] = (), spark: Sp
 def read_labelled(spark: SparkSession, paths: list[str], name: str = "run_label") -> DataFrame:
     """Several CSV files as one table, with the label of the file each row came from."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(paths)
-    label = F.replace(F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    file = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))  # Spark gives the name as in a URI: blanks and other letters are encoded
+    label = F.replace(F.regexp_replace(file, r"\.[^.]*$", ""), F.lit("_"), F.lit(" "))
     return df.withColumn(name, label)
 
 
