@@ -1,14 +1,15 @@
 """SQL that gives the same results as the queries, where SQL can.
 
 Licence scan (weights from corpus statistics over template alignments), classifier,
-decontamination and token output have none: they are tested against brute force, a
-held-out part and an exact round trip.
+decontamination, token output and token counts have none: they are tested against brute
+force, a held-out part and an exact round trip.
 """
 
 from __future__ import annotations
 
+from . import filter_audit as audit
 from . import quality_rules as rules
-from . import secret_scan
+from . import secret_scan, spelling
 from .queries import URL_RULES
 from .warc import ALPHABET
 
@@ -129,6 +130,55 @@ q AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_byte
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM q"""
 
 
+#: CRC-32 bit by bit makes the table of its 256 bytes; a run's bytes are folded over it.
+SPELLING = f"""
+WITH RECURSIVE bit(b, k, c) AS (SELECT b, 0, b FROM (SELECT unnest(range(256)) AS b)
+  UNION ALL SELECT b, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bit WHERE k < 8),
+crc AS (SELECT list(c ORDER BY b) AS t FROM bit WHERE k = 8),
+d AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{{spelling.MIN_LENGTH},}}')) AS raw FROM documents),
+o AS (SELECT doc, run, hex(encode(doc || ':' || run)) AS x FROM (SELECT DISTINCT doc, translate(raw, {LOWER}) AS run FROM d)),
+h AS (SELECT doc, run, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[CAST(xor(a, b) % 256 + 1 AS BIGINT)])), 4294967295) AS h FROM o, crc),
+w AS (SELECT doc, run, CASE WHEN h % {spelling.DELETE_IN} = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word FROM h),
+p AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{{{spelling.MIN_LENGTH},}}')), {LOWER}) AS run FROM documents),
+v AS (SELECT word, count(*) AS n FROM p JOIN w USING (doc, run) WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY 1 HAVING count(*) >= {spelling.MIN_PLACES}),
+cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (SELECT DISTINCT word, near FROM (
+  SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION ALL SELECT c.word, v.word FROM cut c JOIN v ON c.less = v.word UNION ALL SELECT v.word, c.word FROM cut c JOIN v ON c.less = v.word)),
+best AS (SELECT near.word, near, v.n AS near_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY v.n DESC, near) AS k FROM near JOIN v ON v.word = near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.RATIO} * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+chain(word, root, form) AS (SELECT word, word, form FROM f UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.form)
+SELECT f.word, f.form, root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.form IS NULL"""
+
+
+def _filter_audit() -> str:
+    n, names = len(audit.FILTERS), audit.FILTERS
+    bits = " + ".join(f"(CASE WHEN {c} THEN {1 << i} ELSE 0 END)" for i, c in enumerate((
+        f"len(ws) < {audit.MIN_WORDS}", f"100 * len(list_distinct(ws)) < {audit.DISTINCT_PERCENT} * len(ws)", f"100 * len(regexp_extract_all(text, '[A-Z]')) > {audit.CAPITAL_PERCENT} * length(text)",
+        f"regexp_matches(text, '{audit.MARKS}')", "coalesce(doc_id > first_id, false)")))
+    letters = ", ".join(f"({i}, '{c}')" for i, c in enumerate(names))
+    steps = range(1, n + 1)
+    differ = " AND ".join(f"l{a}.f <> l{b}.f" for a in steps for b in steps if a < b)
+    before = " + ".join(f"(CASE WHEN step > {a} THEN 1 << l{a}.i ELSE 0 END)" for a in steps)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(source AS VARCHAR), '') AS part, coalesce(text, '') AS text FROM documents),
+e AS (SELECT *, list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+m AS (SELECT doc_id, part, {bits} AS mask FROM e),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+letter(i, f) AS (VALUES {letters}),
+o AS (SELECT {" || ".join(f"l{a}.f" for a in steps)} AS filter_order, step, CASE step {" ".join(f"WHEN {a} THEN 1 << l{a}.i" for a in steps)} END AS own, {before} AS before
+  FROM {", ".join(f"letter l{a}" for a in steps)}, (SELECT unnest(range(1, {n + 1})) AS step) WHERE {differ}),
+r AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN mask & before > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, o GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
     found = {
@@ -138,5 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_secret_scan": _secret_scan(),
         "op8_mixing": MIXING,
         "op9_warc": WARC,
+        "op12_spelling_variants": SPELLING,
+        "op13_filter_audit": _filter_audit(),
     }
     return {k: v.strip() for k, v in found.items()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, license_scan, mixing, near_dedup, quality_crf, quality_rules, secret_scan, token_output, url_filter, warc
+from . import common, decontaminate, filter_audit, license_scan, mixing, near_dedup, quality_crf, quality_rules, secret_scan, spelling, token_counts, token_output, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,23 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, with its near words' number, its form and its root."""
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter keeps and removes, by source, order and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query for each operator of this subpackage."""
     return {
@@ -116,4 +133,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_warc": op9_warc,
         "op10_token_output": op10_token_output,
+        "op11_token_counts": op11_token_counts,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_filter_audit": op13_filter_audit,
     }
