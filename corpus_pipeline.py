@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumiquery.llm import common, decontaminate, mixing, near_dedup, quality_crf, token_output
 
@@ -37,16 +38,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("score >= 0.5").select("_row.*")
 
 
+def _text_key(docs: DataFrame) -> Column:
+    """One text for each pair of an id and a text, in the order of the ids; rows without an id come last."""
+    own = F.col("doc_id")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("0"), own.cast("string")), F.lit("1")), F.lit("/"), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, and one row of each id that repeats."""
-    found = near_dedup.near_duplicates(docs, percent=NEAR_PERCENT)
-    gone = common.cut(found.filter("not kept").select("doc_id").distinct())
-    kept = docs.join(common.lookup(gone), "doc_id", "left_anti")
-    again = common.cut(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    """Keep one document of each group of near copies.
+
+    Documents are told apart by id and text: of rows that agree in both one stays, rows
+    that share an id or have none but differ in their texts are documents of their own.
+    """
+    key = _text_key(docs)
+    found = near_dedup.near_duplicates(docs.select(key.alias("_key"), "text"), "_key", NEAR_PERCENT)
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    gone = common.cut(found.filter("not kept").select("_key").distinct())
+    kept = rows.join(common.lookup(gone), "_key", "left_anti")
+    again = common.cut(found.filter("kept").groupBy("_key").count().filter("count > 1").select("_key"))
     if not again.take(1):
-        return kept.select(*docs.columns)
-    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select("_row.*")
+    once = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return kept.join(again, "_key", "left_anti").unionByName(once).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
