@@ -8,7 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumiquery.llm import mixing, near_dedup
+from lumiquery.llm import decontaminate, mixing, near_dedup, quality_crf
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -85,3 +85,49 @@ def test_stages_keep_columns_with_internal_names(spark, tmp_path):
         d = spark.read.parquet(path)
         assert d.count() and all(d.select(n).distinct().collect() == [(k,)] for k, n in enumerate(names)), name
     assert corpus_pipeline.STAGES[-1][1](spark, d, sf).count()
+
+
+def words(rnd, n=60):
+    return " ".join(f"w{rnd.randint(0, 9999)}" for _ in range(n))
+
+
+def test_dedup_stage_tells_texts_of_one_id_apart(spark):
+    rnd = random.Random(4)
+    one, two, other = words(rnd), words(rnd), words(rnd)
+    near = two.replace(two.split()[30], "changed")
+    rows = [(7, one), (7, two), (8, other), (9, near), (7, one), (None, one), (None, words(rnd)), (None, None), (None, None), (5, ""), (-3, other + "  ")]
+    d = spark.createDataFrame([(i, t, "s", {"k": "v"}) for i, t in rows], "doc_id long, text string, source string, extra map<string,string>")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.dedup(spark, d, "").collect())
+    # 7 holds two texts; 9 is a near copy of the second; rows without ids go if a row with one has their text
+    assert got == Counter([(7, one), (7, two), (-3, other + "  "), rows[6], (None, None), (5, "")])
+    texts = spark.createDataFrame([(str(i), t) for i, t in rows[:4]], "doc_id string, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup(spark, texts, "").collect()) == ["7", "7", "8"]
+
+
+def test_rows_that_stages_lose_have_a_reason(spark):
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    # every third id is that of another document too, and every seventh row has none
+    ids = F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
+    d = spark.createDataFrame(d.withColumn("row", F.col("doc_id")).withColumn("doc_id", ids).collect(), d.withColumn("row", F.col("doc_id")).schema)
+    seen = lambda x: Counter(r["row"] for r in x.select("row").collect())
+    before = seen(d)
+    scores = {r["row"]: r["score"] for r in plain_scores(spark, d, sf)}
+    good = seen(out := corpus_pipeline.quality(spark, d, sf))
+    assert good == Counter(r for r in before if scores[r] >= 0.5)
+    texts = {r["row"]: r["text"] for r in out.collect()}
+    once = seen(out := corpus_pipeline.dedup(spark, out, sf))
+    short = {tuple(near_dedup.words_of(t)) for t in texts.values() if len(near_dedup.words_of(t)) < near_dedup.SHINGLE}
+    long_ = {i: t for i, t in texts.items() if len(near_dedup.words_of(t)) >= near_dedup.SHINGLE}
+    assert () not in short and len(once) == sum(once.values()) == len(survivors(long_, corpus_pipeline.NEAR_PERCENT)) + len(short)
+    clean = corpus_pipeline.decontamination(spark, out, sf)
+    held = decontaminate.match_documents(out.select("row", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"), ("row",))
+    assert seen(clean) == Counter(r["row"] for r in held.collect() if not r["matches"])
+    mixed, size = seen(corpus_pipeline.mix(spark, clean, sf)), seen(clean)
+    assert set(mixed) <= set(size) and all(n <= 2 for n in mixed.values())
+
+
+def plain_scores(spark, d, sf):
+    """Scores of the same classifier, row by row."""
+    field = quality_crf.train(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    return quality_crf.score_documents(d.select("doc_id", "row", "text"), field, "row").collect()
