@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bins, smiles
-from .operators import artifacts, chemistry, dedup, diagnose, duplicate_check, experiments, features, joins, learners, metrics, models, profile, reports, screening, solvents, standardize
+from .operators import artifacts, chemistry, dedup, diagnose, duplicate_check, experiments, features, joins, learners, metrics, models, neighbours, profile, reports, screening, solvents, standardize
 from .session import get_session
 from .sources import files, readers, writers
 
@@ -246,12 +246,9 @@ def screen(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def nearest_by_bits(candidates: DataFrame, references: DataFrame) -> DataFrame:
-    """Largest similarity of each candidate to the references, over shared fingerprint bits: only pairs that share a bit meet."""
-    bits = lambda df, c: chemistry.on_distinct(df, c, chemistry.bits_udf(), "_bits").filter("_bits IS NOT NULL")
-    c = bits(candidates, "canonical_smiles").select("canonical_smiles", F.size("_bits").alias("_n"), F.explode("_bits").alias("bit"))
-    r = bits(references, "reference").select("reference", F.size("_bits").alias("_m"), F.explode("_bits").alias("bit"))
-    both = c.join(r, "bit").groupBy("canonical_smiles", "reference", "_n", "_m").agg(F.count(F.lit(1)).alias("_both"))
-    return both.groupBy("canonical_smiles").agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("similarity"))
+    """Largest similarity of each candidate to the references, by fingerprint bits; null without any reference."""
+    bits = lambda df, c: chemistry.on_distinct(df, c, chemistry.bits_udf(), "bits").filter("bits IS NOT NULL").select(c, "bits")
+    return neighbours.top_k_sets(bits(candidates, "canonical_smiles"), bits(references, "reference"), 1, "canonical_smiles", "reference").select("canonical_smiles", "similarity")
 
 
 @command("summarize-screening", opt("--inputs", required=True, many=True), opt("--targets", required=True), opt("--out", required=True), opt("--markdown"), opt("--top-n", 10, int))

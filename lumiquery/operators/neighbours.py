@@ -2,18 +2,20 @@
 
 Fingerprints of up to 64 bits are packed into a long and compared with two bit counts.
 References are a bounded set, broadcast after a count; beyond the bound, candidates and
-references are joined block by block.
+references are joined block by block. Wider fingerprints are sets of bits, and meet over
+an inverted index of rare bits (``top_k_sets``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tanimoto_packed
-from .joins import BROADCAST_ROWS
+from .joins import BROADCAST_ROWS, checked_broadcast
+from .ordering import cut
 
 
 def pack_bits(df: DataFrame, vector: str, out: str = "fp") -> DataFrame:
@@ -47,3 +49,105 @@ def neighbour_summary(neighbours: DataFrame, candidate_id: str = "candidate_id",
     """Mean and maximum similarity, and the neighbours in order."""
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", reference_id))), lambda x: x[reference_id])
     return neighbours.groupBy(candidate_id).agg(F.avg("similarity").alias("mean_similarity"), F.max("similarity").alias("max_similarity"), F.array_join(listed, ",").alias("neighbours"))
+
+
+#: A bit in more than this share of the references is no join key.
+HOT_SHARE = 0.05
+#: The first round looks up a candidate's rarest bits until they have given so many references, and compares those met most often, so many for each neighbour that is wanted.
+PROBE, SHORT_LIST = 1_024, 4
+#: Bits by which the second round's prefixes are longer than they must be: a pair then has to share so many more.
+LONGER = 4
+#: Rounding of similarities: bounds give way by so much.
+SLACK = 1e-9
+
+
+def _tanimoto(both: Column, a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(both.cast("double"), F.col(a) + F.col(b) - both), F.lit(0.0))
+
+
+def _by_rarity(df: DataFrame, name: str, frequency: DataFrame, most: float) -> DataFrame:
+    """Each row's bits, rarest first: ``bits``, their frequencies ``_f``, their number, and how many of them are keys."""
+    single = df.select(name, F.explode_outer(F.array_distinct("bits")).alias("_bit")).join(checked_broadcast(frequency), "_bit", "left")
+    item = F.when(F.col("_bit").isNotNull(), F.struct(F.coalesce("_f", F.lit(0)).alias("_f"), F.col("_bit").alias("_bit")))
+    rows = single.groupBy(name).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    keys = F.size(F.filter("_items", lambda x: x["_f"] <= most))
+    return cut(rows.select(name, F.col("_items._bit").alias("bits"), F.col("_items._f").alias("_f"), F.size("_items").alias("_n"), keys.alias("_keys")))
+
+
+def _verified(pairs: DataFrame, queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """Similarity of pairs from their whole sets."""
+    q = queries.select("_q", F.col("bits").alias("_qb"), F.col("_n").alias("_a"))
+    r = refs.select("_r", F.col("bits").alias("_rb"), F.col("_n").alias("_b"))
+    both = pairs.select("_q", "_r").join(r, "_r").join(q, "_q")
+    return both.select("_q", "_r", _tanimoto(F.size(F.array_intersect("_qb", "_rb")), "_a", "_b").alias("similarity"))
+
+
+def compared_pairs(candidates: DataFrame, references: DataFrame, k: int, exclude_self: bool = False, hot_share: float = HOT_SHARE) -> DataFrame:
+    """``_q``, ``_r`` and ``similarity`` of pairs that hold the k most similar references of every candidate.
+
+    Frames have ``_q`` or ``_r`` and ``bits``. Bits are ordered from rare to frequent, in one
+    order for all. The first round compares the references that share the most of a candidate's rarest bits; the k-th best similarity that
+    it finds is a threshold t. In the second, a reference at t or above shares a bit with
+    the first ``a - ceil(t * a) + 1`` of a candidate's a bits and the first
+    ``b - ceil(t * b) + 1`` of its own: only those meet, only if their sizes allow t, and
+    they go on if the bits that they share so far and those that remain can reach t.
+    Bits in more than ``hot_share`` of the references are no keys. References that share
+    such bits alone with a candidate are met through groups of equal hot bits and size, in
+    which the k smallest ids stand for all, and only in groups whose bound reaches t.
+    References without a shared bit count 0, and again the smallest ids stand for them.
+    """
+    n_refs = references.count()
+    frequency = cut(references.select(F.explode(F.array_distinct("bits")).alias("_bit")).groupBy("_bit").agg(F.count(F.lit(1)).alias("_f")))
+    most = max(1.0, hot_share * n_refs)
+    queries, refs = _by_rarity(candidates, "_q", frequency, most), _by_rarity(references, "_r", frequency, most)
+    other = (lambda df: df.filter("_q != _r")) if exclude_self else (lambda df: df)
+    index = cut(refs.select("_r", F.col("_n").alias("_b"), F.col("_keys").alias("_rk"), F.posexplode(F.slice("bits", F.lit(1), F.col("_keys"))).alias("_j", "_bit")))
+
+    def keys(rows: DataFrame, length: Column, *more: str) -> DataFrame:
+        return rows.select("_q", F.col("_n").alias("_a"), *more, F.posexplode(F.slice("bits", F.lit(1), F.least(length, F.col("_keys")))).alias("_i", "_bit"))
+
+    met = F.aggregate("_f", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n")), lambda s, f: F.when(s["sum"] < PROBE, F.struct((s["sum"] + f).alias("sum"), (s["n"] + 1).alias("n"))).otherwise(s))
+    hits = other(keys(queries, met["n"]).join(index, "_bit")).groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("_c"))
+    often = F.row_number().over(Window.partitionBy("_q").orderBy(F.col("_c").desc(), "_r"))
+    first = cut(_verified(hits.withColumn("_rank", often).filter(F.col("_rank") <= SHORT_LIST * k), queries, refs))
+    order = Window.partitionBy("_q").orderBy(F.col("similarity").desc(), "_r")
+    kth = first.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") == k).select("_q", F.col("similarity").alias("_t"))
+    queries = cut(queries.join(kth, "_q", "left").withColumn("_t", F.coalesce("_t", F.lit(0.0))))
+
+    a, b, t = F.col("_a"), F.col("_b"), F.col("_t")
+    reach = lambda n, keys: F.least(n - F.ceil(t * n - SLACK) + 1 + LONGER, keys).cast("int")
+    allowed = (b >= t * a - SLACK) & (t * b <= a + SLACK) & (F.col("_j") < reach(b, F.col("_rk")))
+    prefixes = keys(queries.withColumn("_p", reach(F.col("_n"), F.col("_keys"))), F.col("_p"), "_t", "_p")
+    second = other(prefixes.join(index, "_bit").filter(allowed))
+    second = second.groupBy("_q", "_r").agg(F.count(F.lit(1)).alias("_c"), F.max("_i").alias("_i"), F.max("_j").alias("_j"), *[F.first(c).alias(c) for c in ("_a", "_b", "_t", "_p", "_rk")])
+    # shared bits that didn't meet lie beyond the prefix of one side, and after the last that met on the other
+    rest = F.greatest(F.least(a - F.col("_p"), b - F.col("_j") - 1), F.least(b - reach(b, F.col("_rk")), a - F.col("_i") - 1))
+    second = second.filter(F.col("_c") + rest >= t / (1 + t) * (a + b) - SLACK).select("_q", "_r").join(first, ["_q", "_r"], "left_anti")
+
+    hot = F.when(F.col("_n") > F.col("_keys"), F.slice("bits", F.col("_keys") + 1, F.greatest(F.col("_n") - F.col("_keys"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    groups = refs.select("_r", F.col("_n").alias("_b"), (F.col("_n") - F.col("_keys")).alias("_h"), hot.alias("_rh")).filter("_h > 0")
+    few = k + int(exclude_self)
+    groups = cut(groups.withColumn("_rank", F.row_number().over(Window.partitionBy("_rh", "_b").orderBy("_r"))).filter(F.col("_rank") <= few).drop("_rank"))
+    classes = checked_broadcast(cut(groups.select("_b", "_h").distinct()))
+    m = F.least("_qn", "_h")
+    asked = queries.select("_q", F.col("_n").alias("_a"), "_t", (F.col("_n") - F.col("_keys")).alias("_qn"), hot.alias("_qh")).filter("_qn > 0")
+    asked = asked.join(classes, m / (a + b - m) >= t - SLACK)
+    by_hot = other(asked.join(groups, ["_b", "_h"])).select("_q", "_r", "_t", _tanimoto(F.size(F.array_intersect("_qh", "_rh")), "_a", "_b").alias("similarity")).filter(F.col("similarity") >= t - SLACK).drop("_t")
+
+    smallest = F.broadcast(refs.select("_r").orderBy("_r").limit(few))  # so many rows
+    zeros = other(queries.filter("_t = 0").select("_q").join(smallest, how="cross")).withColumn("similarity", F.lit(0.0))
+    every = first.unionByName(_verified(second, queries, refs)).unionByName(by_hot).unionByName(zeros)
+    return every.groupBy("_q", "_r").agg(F.max("similarity").alias("similarity"))
+
+
+def top_k_sets(candidates: DataFrame, references: DataFrame, k: int, candidate_id: str = "candidate_id", reference_id: str = "reference_id", bits: str = "bits", exclude_self: bool = False, hot_share: float = HOT_SHARE) -> DataFrame:
+    """The k most similar references of each candidate by Tanimoto similarity of sets of bits; ties go to the smallest reference id.
+
+    Exact for any number of bits. Ids are unique; rows with a null id are left out, a null
+    set is empty, and an empty set has similarity 0 to all.
+    """
+    side = lambda df, name, to: df.filter(F.col(name).isNotNull()).select(F.col(name).alias(to), F.coalesce(F.col(bits).cast("array<int>"), F.array().cast("array<int>")).alias("bits"))
+    pairs = compared_pairs(side(candidates, candidate_id, "_q"), side(references, reference_id, "_r"), k, exclude_self, hot_share)
+    order = Window.partitionBy("_q").orderBy(F.col("similarity").desc(), "_r")
+    ranked = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select(F.col("_q").alias(candidate_id), F.col("_r").alias(reference_id), "similarity", "rank")

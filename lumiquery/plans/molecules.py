@@ -46,6 +46,40 @@ def knn_topk_payload(spark: SparkSession, d: str) -> DataFrame:
     return s.select("candidate_id", R6("mean_similarity").alias("mean_similarity"), R6("max_similarity").alias("max_similarity"), "neighbours")
 
 
+SETS = """b AS (SELECT DISTINCT conv_id * 1000 + turn AS id, CAST('0x' || substr(md5(unnest(regexp_extract_all(text, '[^ .,]+'))), 1, 8) AS BIGINT) % 2048 AS bit FROM conversations),
+i AS (SELECT DISTINCT conv_id * 1000 + turn AS id FROM conversations), n AS (SELECT id, count(bit) AS n FROM i LEFT JOIN b USING (id) GROUP BY 1),
+o AS (SELECT q.id AS candidate_id, r.id AS reference_id, count(*) AS shared FROM b q JOIN b r ON q.bit = r.bit AND q.id <> r.id WHERE q.id // 1000 % 50 = 0 GROUP BY 1, 2),
+p AS (SELECT q.id AS candidate_id, r.id AS reference_id, coalesce(coalesce(shared, 0)::DOUBLE / nullif(q.n + r.n - coalesce(shared, 0), 0), 0) AS similarity
+  FROM n q JOIN n r ON q.id <> r.id LEFT JOIN o ON o.candidate_id = q.id AND o.reference_id = r.id WHERE q.id // 1000 % 50 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, reference_id) AS rank FROM p)"""
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of conversations as fingerprints of 2,048 bits: each word sets the bit of its hash."""
+    bits = F.transform(F.regexp_extract_all("text", F.lit("[^ .,]+"), F.lit(0)), lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % 2048)
+    return views._t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.array_distinct(bits).alias("bits"))
+
+
+def _top_sets(spark: SparkSession, d: str, k: int) -> DataFrame:
+    turns = _turns(spark, d)
+    asked = turns.filter(F.floor(F.col("id") / 1000) % 50 == 0)
+    return neighbours.top_k_sets(asked.withColumnRenamed("id", "candidate_id"), turns.withColumnRenamed("id", "reference_id"), k, exclude_self=True)
+
+
+@query("knn_sets_top1", "SELECT candidate_id, reference_id, round(similarity, 6) AS similarity FROM top WHERE rank = 1", SETS)
+def knn_sets_top1(spark: SparkSession, d: str) -> DataFrame:
+    """Nearest other fingerprint of 2,048 bits."""
+    return _top_sets(spark, d, 1).select("candidate_id", "reference_id", R6("similarity").alias("similarity"))
+
+
+@query("knn_sets_payload", """
+SELECT candidate_id, round(avg(similarity), 6) AS mean_similarity, round(max(similarity), 6) AS max_similarity, string_agg(reference_id, ',' ORDER BY rank) AS neighbours FROM top WHERE rank <= 5 GROUP BY 1""", SETS)
+def knn_sets_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Five nearest fingerprints of 2,048 bits, and their mean similarity."""
+    s = neighbours.neighbour_summary(_top_sets(spark, d, 5))
+    return s.select("candidate_id", R6("mean_similarity").alias("mean_similarity"), R6("max_similarity").alias("max_similarity"), "neighbours")
+
+
 @query("knn_confidence", """
 SELECT CASE WHEN similarity >= 0.7 THEN 'high' WHEN similarity >= 0.5 THEN 'medium' WHEN similarity >= 0.35 THEN 'low-medium' WHEN similarity IS NULL THEN 'unknown' ELSE 'low' END AS confidence, count(*) AS n FROM top WHERE rank = 1 GROUP BY 1""", KNN)
 def knn_confidence(spark: SparkSession, d: str) -> DataFrame:
