@@ -53,23 +53,32 @@ def same_keys(df: DataFrame, other: DataFrame, keys: list[str], prefix: str = "_
     return renamed, reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def with_group(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Each row with the one row of its key in the other frame."""
-    renamed, same = same_keys(df, other, keys)
-    joined = df.crossJoin(F.broadcast(renamed)) if same is None else df.join(renamed, same)
-    return joined.drop(*[f"_k_{k}" for k in keys])
+def running_sum_by(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str = "before", total: str | None = None, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """The same within each key, and the key's ``total`` if one is asked for.
 
-
-def running_sum_by(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str = "before", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
-    """The same within each key: one running sum over all rows by key and order, less what it is where the key begins.
-
-    So a key with a third of all rows is dealt over many tasks.
+    The rows are checkpointed once. Many of them are range-partitioned by key and order,
+    so a key with a third of all rows is dealt over many tasks; what passes between
+    tasks is one row for each key in each of them.
     """
-    rows = running_sum(df, [*[F.col(k) for k in keys], *order], value, "_all", one_task_rows)
-    if not keys:
-        return rows.withColumnRenamed("_all", out)
-    starts = rows.groupBy(*keys).agg(F.min("_all").alias("_start"))
-    return with_group(rows, starts, keys).withColumn(out, F.col("_all") - F.col("_start")).drop("_all", "_start")
+    rows = df.withColumn("_value", value)
+    sums = lambda w: F.coalesce(F.sum("_value").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_key = Window.partitionBy(*keys)
+    held = cut(rows)
+    if held.count() <= one_task_rows:
+        held = held.withColumn(out, sums(by_key.orderBy(*order)))
+        return (held.withColumn(total, F.sum("_value").over(by_key)) if total else held).drop("_value")
+    parts = cut(held.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    totals = parts.groupBy(*keys, "_part").agg(F.sum("_value").alias("_sum"))
+    totals = totals.withColumn("_ahead", F.coalesce(F.sum("_sum").over(by_key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = cut(totals.withColumn("_total", F.sum("_sum").over(by_key)).drop("_sum"))
+    inside = parts.withColumn("_inside", sums(Window.partitionBy("_part", *keys).orderBy(*order)))
+    renamed, same = same_keys(inside, totals, [*keys, "_part"])
+    from .joins import checked_broadcast
+
+    joined = inside.join(checked_broadcast(renamed), same).withColumn(out, F.col("_inside") + F.col("_ahead"))
+    if total:
+        joined = joined.withColumn(total, F.col("_total"))
+    return joined.drop("_value", "_part", "_inside", "_ahead", "_total", *[f"_k_{k}" for k in (*keys, "_part")])
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, ...], names: tuple[str, ...], one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
@@ -79,12 +88,11 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: tuple[float, .
     values at the wanted places are picked; no task holds all values of a key.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_sum_by(counts, keys, [F.col("_v")], F.col("_n"), "_before", one_task_rows)
-    placed = with_group(placed, counts.groupBy(*keys).agg(F.sum("_n").alias("_total")), keys)
+    placed = running_sum_by(counts, keys, [F.col("_v")], F.col("_n"), "_before", "_all", one_task_rows)
     at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_v")))
     picks = []
     for share, name in zip(shares, names, strict=True):
-        place = F.lit(share) * (F.col("_total") - 1)
+        place = F.lit(share) * (F.col("_all") - 1)
         picks += [at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
     found = placed.groupBy(*keys).agg(*picks)
     return found.select(*keys, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n) for n in names])

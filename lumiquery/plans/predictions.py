@@ -344,7 +344,8 @@ def ensemble_mean_std(spark: SparkSession, d: str) -> DataFrame:
     return views.pred(spark, d).filter("target = 'emission_nm'").groupBy("molecule").agg(_n().alias("n"), R6(F.avg(_p())).alias("mean"), R6(std).alias("std"), scalars.uncertainty_caution(std, F.lit(None).cast("double")).alias("caution"))
 
 
-def _bootstrap_sql(rounds: int = 500, seed: int = 0) -> str:
+def _weights_sql(first: int, rounds: int = 500, seed: int = 0) -> str:
+    """Tables down to ``w``, the weight of each model, pair of values and round."""
     prime = metrics.PRIME
 
     def unit(salt: int) -> str:
@@ -359,8 +360,12 @@ h{k}b AS (SELECT * REPLACE ((h{k} * h{k} + 16807) % {prime} AS h{k}) FROM h{k}a)
 h{k}d AS (SELECT *, ((h{k} * h{k} + {salt + 7_919 * seed}) % {prime} + 0.5::DOUBLE) / {prime} AS u{k} FROM h{k}c)""" for k, salt in ((1, 101), (2, 202)))
     return f"""
 , g AS (SELECT model, y_true AS y, y_pred AS p, count(*) AS c FROM pred WHERE y_true IS NOT NULL AND y_pred IS NOT NULL GROUP BY 1, 2, 3),
-x AS (SELECT *, CAST(round(y * {metrics.SCALE}) AS BIGINT) AS ky, CAST(round(p * {metrics.SCALE}) AS BIGINT) AS kp, unnest(range(0, {rounds})) AS r FROM g), {stages},
-w AS (SELECT *, CASE c {steps} ELSE greatest(0, floor(c + sqrt(c::DOUBLE) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) + 0.5)) END::DOUBLE AS w FROM h2d),
+x AS (SELECT *, CAST(round(y * {metrics.SCALE}) AS BIGINT) AS ky, CAST(round(p * {metrics.SCALE}) AS BIGINT) AS kp, unnest(range({first}, {rounds})) AS r FROM g), {stages},
+w AS (SELECT *, CASE WHEN r < 0 THEN c ELSE CASE c {steps} ELSE greatest(0, floor(c + sqrt(c::DOUBLE) * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) + 0.5)) END END::DOUBLE AS w FROM h2d)"""
+
+
+def _bootstrap_sql() -> str:
+    return f"""{_weights_sql(0)},
 s AS (SELECT model, r, sum(w) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy, sum(w * abs(y - p)) AS sa, sum(w * (y - p) * (y - p)) AS se FROM w WHERE w > 0 GROUP BY 1, 2),
 m AS (SELECT model, sa / n AS mae, sqrt(se / n) AS rmse, CASE WHEN syy - sy * sy / n > 0 THEN 1 - se / (syy - sy * sy / n) END AS r2 FROM s)
 SELECT model, """ + ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_{n}" for m in ("mae", "rmse", "r2") for q, n in ((0.025, "low"), (0.975, "high"))) + " FROM m GROUP BY 1"
@@ -373,6 +378,23 @@ def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
     return b.select("model", *[R6(c).alias(c) for c in b.columns[1:]])
 
 
+BOOTSTRAP_METRICS = _weights_sql(-1) + """,
+e AS (SELECT *, abs(y - p) AS e, 1240.0::DOUBLE / y - 1240.0::DOUBLE / p AS v FROM w WHERE w > 0),
+s AS (SELECT model, r, sum(w) AS n, sum(w * y) AS sy, sum(w * y * y) AS syy, sum(w * e) AS sa, sum(w * e * e) AS se, sum(w * abs(v)) AS sv, sum(w * v * v) AS svv, bool_and(y > 0 AND p > 0) AS good FROM e GROUP BY 1, 2),
+o AS (SELECT model, r, e, sum(w) OVER (PARTITION BY model, r) AS n, sum(w) OVER (PARTITION BY model, r ORDER BY e, y, p ROWS UNBOUNDED PRECEDING) AS upto FROM e),
+d AS (SELECT model, r, (min(e) FILTER (upto > floor((n - 1) / 2)) + min(e) FILTER (upto > ceil((n - 1) / 2))) / 2 AS value FROM o GROUP BY 1, 2),
+l AS (SELECT model, r, 'mae' AS metric, sa / n AS value FROM s UNION ALL SELECT model, r, 'rmse', sqrt(se / n) FROM s UNION ALL SELECT model, r, 'r2', CASE WHEN n > 1 AND syy - sy * sy / n > 0 THEN 1 - se / (syy - sy * sy / n) END FROM s
+  UNION ALL SELECT model, r, 'mae_ev', CASE WHEN good THEN sv / n END FROM s UNION ALL SELECT model, r, 'rmse_ev', CASE WHEN good THEN sqrt(svv / n) END FROM s UNION ALL SELECT model, r, 'median_absolute_error', value FROM d)
+SELECT model, metric, round(max(value) FILTER (r < 0), 6) AS estimate, round(quantile_cont(value, 0.025) FILTER (r >= 0), 6) AS ci_lower, round(quantile_cont(value, 0.975) FILTER (r >= 0), 6) AS ci_upper, count(value) FILTER (r >= 0) AS usable FROM l GROUP BY 1, 2"""
+
+
+@query("bootstrap_metrics", BOOTSTRAP_METRICS, PRED)
+def bootstrap_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Estimates and bootstrap intervals of six metrics of each model."""
+    b = metrics.bootstrap_metrics(views.pred(spark, d), ["model"], "y_true", "y_pred")
+    return b.select("model", "metric", *[R6(c).alias(c) for c in ("estimate", "ci_lower", "ci_upper")], "usable")
+
+
 @query("greedy_scaffold_split", """
 , g AS (SELECT scaffold, count(*) AS n FROM mol GROUP BY 1), s AS (SELECT scaffold, n, coalesce(sum(n) OVER (ORDER BY n DESC, scaffold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM g)
 SELECT m.molecule_id, m.scaffold, CASE WHEN before < round(total * 0.2) THEN 'test' ELSE 'train' END AS split FROM mol m JOIN s ON m.scaffold IS NOT DISTINCT FROM s.scaffold""", MOL)
