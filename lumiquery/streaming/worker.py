@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import logging
+import socket
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,6 +18,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..sources import files
 from .jobs import STATES, next_jobs
 
+log = logging.getLogger(__name__)
+
 #: What a worker does in a loop.
 MODES = ("both", "submit", "collect")
 OUTPUT = "job_id string, status string, predictions array<struct<model_name:string,predicted_emission_nm:double,predicted_quantum_yield:double>>, error_code string, error_message string"
@@ -23,8 +30,8 @@ def work(read_queue: Callable[[], DataFrame], submit: Callable[[DataFrame], int]
     """Poll until ``max_loops``, or until so many loops in a row had nothing to do.
 
     Each loop collects before it submits; a poll takes the ``limit`` oldest queued jobs, and
-    none while ``busy`` says that another worker runs. An error is counted, and the next
-    loop goes on. A dry run counts what it would submit.
+    none while ``busy`` says that another worker runs. An error is logged and counted, and the
+    next loop goes on. A dry run counts what it would submit.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
@@ -46,6 +53,7 @@ def work(read_queue: Callable[[], DataFrame], submit: Callable[[DataFrame], int]
                     else:
                         done["submitted"] += submit(jobs)
         except Exception:  # the loop goes on
+            log.exception("loop %d failed", done["loops"])
             done["errors"] += 1
         idle = idle + 1 if before == (done["collected"], done["submitted"], done["planned"], done["skipped"]) else 0
         if idle_exit is not None and idle >= idle_exit:
@@ -101,17 +109,51 @@ def track_states(updates: DataFrame) -> DataFrame:
 
 
 class Lock:
-    """One worker at a time: a file that only one can create."""
+    """One worker at a time: a file that only one can create, with its owner and an expiry.
+
+    A worker renews its lease while it works. A lease that has run out, since its worker is
+    gone, is taken over: of several that try, one renames the file and goes on.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = 3_600, clock: Callable[[], float] = time.time) -> None:
+        self.spark, self.path, self.seconds, self.clock = spark, path, seconds, clock
+        self.owner = f"{socket.gethostname()}-{uuid.uuid4().hex}"
+
+    def holder(self) -> dict | None:
+        """Owner and expiry, as far as the file can be read."""
+        try:
+            return json.loads(files.read_text(self.spark, self.path))
+        except (ValueError, Py4JError):  # just made, or just gone
+            return None
+
+    def renew(self) -> None:
+        """Hold on for another term; an error if another worker has taken over."""
+        if (self.holder() or {}).get("owner") != self.owner:
+            raise RuntimeError(f"{self.path} belongs to another worker")
+        files.write_text(self.spark, self.path, json.dumps({"owner": self.owner, "expires": self.clock() + self.seconds}))
+
+    def _age(self) -> float:
+        fs, p = files._fs(self.spark, self.path)
+        return self.clock() - fs.getFileStatus(p).getModificationTime() / 1000
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def _expired(self) -> bool:
+        held = self.holder()
+        if held is not None:
+            return held["expires"] <= self.clock()
+        return files.exists(self.spark, self.path) and self._age() > self.seconds  # made, but its worker ended before it wrote
 
     def __enter__(self) -> Lock:
         fs, p = files._fs(self.spark, self.path)
+        if files.exists(self.spark, self.path) and self._expired():
+            gone = files._fs(self.spark, f"{self.path}.{self.owner}")[1]
+            if fs.rename(p, gone):
+                fs.delete(gone, False)
         if not fs.createNewFile(p):
             raise RuntimeError(f"another worker holds {self.path}")
+        files.write_text(self.spark, self.path, json.dumps({"owner": self.owner, "expires": self.clock() + self.seconds}))
         return self
 
     def __exit__(self, *_: object) -> None:
         fs, p = files._fs(self.spark, self.path)
-        fs.delete(p, False)
+        if (self.holder() or {}).get("owner") == self.owner:
+            fs.delete(p, False)
