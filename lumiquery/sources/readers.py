@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from fnmatch import fnmatch
 from pathlib import Path
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import files
+from . import records as delimited
 
 #: Encodings in the order in which they are tried, and what Spark calls them.
 ENCODINGS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}
@@ -23,12 +25,6 @@ _LATIN = "".join(map(chr, range(0x80, 0xA0)))
 _CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
 
 
-def _as_cp1252(df: DataFrame) -> DataFrame:
-    """Names and values that were read as Latin-1, in cp1252."""
-    names = str.maketrans(_LATIN, _CP1252)
-    return df.select(*[F.translate(F.col(f"`{c}`"), _LATIN, _CP1252).alias(c.translate(names)) for c in df.columns])
-
-
 def _head(spark: SparkSession, path: str) -> bytes:
     """First bytes of a file of any file system that Spark reaches; FileNotFoundError without it."""
     jvm = spark.sparkContext._jvm
@@ -46,19 +42,6 @@ def _head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def detect_encoding(head: bytes) -> str:
-    """First encoding that decodes the bytes; a character cut off at their end doesn't count."""
-    for name in ENCODINGS:
-        try:
-            head.decode(name)
-        except UnicodeDecodeError as e:
-            if e.start >= len(head) - 4 and len(head) == HEAD_BYTES:
-                return name
-            continue
-        return name
-    raise ValueError("no encoding fits")
-
-
 def detect_delimiter(head: str) -> str:
     """Delimiter by sniffing, a comma if that fails."""
     try:
@@ -67,44 +50,65 @@ def detect_delimiter(head: str) -> str:
         return ","
 
 
-def read_csv(spark: SparkSession, path: str, sniff: bool = False, encoding: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """A CSV file as text columns; encoding and delimiter are found from its first bytes."""
+def _text(value: Column, encoding: str) -> Column:
+    """Bytes as text; what isn't UTF-8 or Latin-1 by Spark's names goes by a character map."""
+    if ENCODINGS.get(encoding, encoding) == "UTF-8":
+        return value.cast("string")
+    found = F.decode(value, ENCODINGS.get(encoding, encoding))
+    return F.translate(found, _LATIN, _CP1252) if encoding == "cp1252" else found
+
+
+def _header(head: bytes, encoding: str, sep: str) -> list[str]:
+    """Names of the first record; an empty one is named by its place, a repeated one gets it as a suffix."""
+    first = next(csv.reader(io.StringIO(head.decode(encoding, "ignore").lstrip("\ufeff"), newline=""), delimiter=sep), [])
+    lower = [n.lower() for n in first]
+    return [f"_c{k}" if not n else f"{n}{k}" if lower.count(n.lower()) > 1 else n for k, n in enumerate(first)]
+
+
+def _body(spark: SparkSession, path: str, sniff: bool, encoding: str | None) -> tuple[DataFrame, list[str], str]:
+    """Records of all files but their headers, as text; the names in the first header; the delimiter."""
     head = _head(spark, path)
-    name = encoding or detect_encoding(head)
+    lines = delimited.lines_of(spark, path)
+    name = encoding or delimited.encoding_of(lines)
     sep = detect_delimiter(head.decode(name, "ignore")) if sniff else ","
-    reader = spark.read.option("header", True).option("encoding", ENCODINGS.get(name, name)).option("sep", sep).option("multiLine", True).option("escape", '"').option("inferSchema", False)
-    df = reader.csv(path)
-    if name == "cp1252":
-        df = _as_cp1252(df)
-    if df.columns and df.columns[0].startswith("\ufeff"):
-        df = df.withColumnRenamed(df.columns[0], df.columns[0].lstrip("\ufeff"))
+    rows = delimited.records(lines, sep).filter(~F.col("header"))
+    value = F.regexp_replace(_text(F.col("record"), name), "\r$", "")
+    return rows.select(value.alias("value")).filter(F.trim("value") != ""), _header(head, name, sep), sep
+
+
+def read_csv(spark: SparkSession, path: str, sniff: bool = False, encoding: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A CSV file, or a folder of them, as text columns.
+
+    The encoding is found from all bytes, the delimiter from the first. A file is read by
+    many tasks, also where quoted fields hold line breaks.
+    """
+    rows, names, sep = _body(spark, path, sniff, encoding)
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    ddl = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    df = rows.select(F.from_csv("value", F.lit(ddl), {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1"}).alias("_row")).select("_row.*")
     return df.select(*columns) if columns else df
 
 
 def read_csv_ragged(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file whose rows may be too long or short: surplus cells are joined into the last column, missing ones are null."""
-    head = _head(spark, path)
-    name = detect_encoding(head)
-    names = next(csv.reader([head.decode(name, "ignore").splitlines()[0].lstrip("\ufeff")]))
+    rows, names, _ = _body(spark, path, False, None)
     n = len(names)
+    if not n:
+        return spark.createDataFrame([], T.StructType([]))
 
     def parse(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
         for b in batches:
-            rows = []
-            for cells in csv.reader(b["value"]):
+            found = []
+            for record in b["value"]:
+                cells = next(csv.reader(io.StringIO(record, newline="")), [])
                 row = [*cells[: n - 1], ",".join(cells[n - 1 :])] if len(cells) >= n else [*cells, *[None] * (n - len(cells))]
-                rows.append([x if x != "" else None for x in row])
-            yield pd.DataFrame(rows, columns=names)
-
-    lines = spark.read.option("encoding", ENCODINGS[name]).text(path)
-    first = F.regexp_replace("value", "^\ufeff", "")
-    header = head.decode(name, "ignore").splitlines()[0].lstrip("\ufeff").rstrip("\r")
-    body = lines.select(F.rtrim(first).alias("value")).filter((F.col("value") != header) & (F.col("value") != ""))
-    if name == "cp1252":
-        body = _as_cp1252(body)
-    return body.mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in names]))
+                found.append([x if x != "" else None for x in row])
+            yield pd.DataFrame(found, columns=names)
+
+    return rows.mapInPandas(parse, T.StructType([T.StructField(c, T.StringType()) for c in names]))
 
 
 def read_csv_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
