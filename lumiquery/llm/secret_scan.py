@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Spans come from ``split`` and ``regexp_extract_all`` over the same pattern: the lengths
-of the pieces between matches and of the matches give each match's place in code points.
+of the pieces between matches and of the matches give each match's place in code points,
+by sums of sums of short blocks.
 The hash of each candidate's secret is then aggregated over the corpus by distinct
 repositories and owners (first by both, so that a secret copied everywhere is summed
 before it is shuffled): one that many owners hold is a copied example, others look live.
@@ -14,6 +15,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,25 +54,62 @@ KINDS = (
 #: A secret that so many owners hold is a widely copied example; so is one that half of all owners hold, two at least.
 MIN_OWNERS, LEAST_OWNERS = 5, 2
 
+#: Steps that are summed one after the other: a match costs so much, not as many as the text has.
+RUN = 128
+
 SPAN = "array<struct<kind:string,rank:int,start:bigint,end:bigint,value:string>>"
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _sums_before(steps: Column, start: Column) -> Column:
+    """For each step the start and all earlier steps; each round copies what it has, so the steps are few."""
+    zero = F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out"))
+    return F.aggregate(steps, zero, lambda a, s: F.struct((a["at"] + s).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+
+def running_sums(steps: Column) -> Column:
+    """For each step the sum of all earlier ones: by blocks of ``RUN`` steps, whose own sums are summed first."""
+    zero = F.lit(0).cast("long")
+
+    def by_blocks(s: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int"))
+        block = lambda k: F.slice(s, k * RUN + 1, F.lit(RUN))
+        totals = F.transform(blocks, lambda k: F.aggregate(block(k), zero, lambda a, x: a + x))
+        inside = lambda bases: F.flatten(F.transform(blocks, lambda k: _sums_before(block(k), F.get(bases, k))))
+        return F.when(F.size(s) > 0, _bound(_sums_before(totals, zero), inside)).otherwise(F.array().cast("array<bigint>"))
+
+    return _bound(steps, by_blocks)
+
+
 def spans(text: Column, kind: Kind, rank: int) -> Column:
-    """All matches of one kind: leftmost, non-overlapping, long enough; places in code points."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
-    gaps = F.transform(F.split(text, kind.pattern), lambda x: F.length(x).cast("long"))
-    lengths = F.transform(matches, lambda x: F.length(x).cast("long"))
-    moves = F.zip_with(F.slice(gaps, 1, F.size(lengths)), lengths, lambda g, n: F.struct(g.alias("gap"), n.alias("n")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(moves, zero, lambda a, m: F.struct((a["at"] + m["gap"] + m["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + m["gap"])).alias("starts")), lambda a: a["starts"])
-    found = F.zip_with(
-        F.arrays_zip(starts.alias("start"), lengths.alias("n")),
-        values,
-        lambda p, v: F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), p["start"].alias("start"), (p["start"] + p["n"]).alias("end"), v.alias("value")),
-    )
-    long_enough = F.filter(found, lambda x: F.length(x["value"]) >= kind.least)
-    return F.when(text.rlike(kind.pattern), long_enough).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    """All matches of one kind: leftmost, non-overlapping, long enough; places in code points.
+
+    The work is in proportion to the text, and to the matches times ``RUN``.
+    """
+    one = F.lit(kind.pattern)
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
+
+    def placed(m: Column) -> Column:
+        # the gap before a match belongs to the match's own step, and is taken back from the sum that comes after it
+        steps = F.zip_with(m["gaps"], m["lengths"], lambda g, n: g + n)
+        ends = F.zip_with(running_sums(steps), steps, lambda before, step: before + step)
+        found = F.zip_with(
+            F.arrays_zip(ends.alias("end"), m["lengths"].alias("n")),
+            m["values"],
+            lambda p, v: F.struct(F.lit(kind.name).alias("kind"), F.lit(rank).alias("rank"), (p["end"] - p["n"]).alias("start"), p["end"].alias("end"), v.alias("value")),
+        )
+        return F.filter(found, lambda x: F.length(x["value"]) >= kind.least)
+
+    matches = F.regexp_extract_all(text, one, F.lit(0))
+    both = _bound(matches, lambda xs: F.struct(
+        lengths(xs).alias("lengths"), F.slice(lengths(F.split(text, kind.pattern)), F.lit(1), F.size(xs)).alias("gaps"),
+        (xs if kind.group == 0 else F.regexp_extract_all(text, one, F.lit(kind.group))).alias("values"),
+    ))
+    return F.when(text.rlike(kind.pattern), _bound(both, placed)).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 
 def in_order(found: Column) -> Column:
