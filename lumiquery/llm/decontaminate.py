@@ -16,8 +16,10 @@ What is retrieved is verified: the word n-grams of the item's question and of it
 must both stand in the passage.
 
 The index is sent to the executors, so its size is bounded: beyond ``MAX_ITEMS`` items it
-is cut into shards, which count with the figures of all items, and the documents are
-read once for each shard. There is no shuffle.
+is cut into shards, which count with the figures of all items. The documents are read
+once, whatever the number of shards: a task takes ``CHUNK_BYTES`` of them at a time, and
+its one Python worker loads the shards one after the other from the executor's copies of
+the broadcasts. The driver builds one shard at a time. Documents are not shuffled.
 
 Items of fewer than ``MIN_WORDS`` words have too few terms for a score. They are found
 exactly, as consecutive words; an item with letters of a script without blanks, as a
@@ -30,7 +32,6 @@ other columns are ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -38,11 +39,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
-from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 #: Letters of scripts that put no blanks between words: Thai, Lao, Myanmar, Khmer, kana, Chinese characters.
@@ -53,6 +55,8 @@ QUESTION_OVERLAP, ANSWER_OVERLAP, GRAM = 0.8, 0.8, 3
 #: An index has at most about so many items and so many postings (some 0.5 KB each while it is built); beyond either there are several.
 MIN_WORDS, MAX_ITEMS, MAX_POSTINGS = 5, 50_000, 500_000
 BLOCK = 4
+#: Bytes of a task's documents that meet the shards together.
+CHUNK_BYTES = 1 << 26
 #: Terms in more than this share of the items are summed as one constant in the bounds.
 FREQUENT = 0.05
 
@@ -247,61 +251,103 @@ class Index:
         return [(j, *v) for j, v in sorted(best.items())]
 
 
-def _match_shard(docs: DataFrame, items: list[tuple[object, str]], keep: list[str], item_type: T.DataType, corpus: tuple[int, int, int, Counter] | None = None, text: str = "text") -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast(Index(items, corpus))  # at most about MAX_ITEMS items
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in groups of so many bytes at least."""
+    held, size = [], 0
+    for batch in common.slices(batches):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _hits(x: Index, texts: list[str | None]) -> list[list[dict]]:
+    """What each text holds of an index's items."""
+    out: list[list[dict]] = []
+    stride, get = x.longest, x.terms.get
+    for first in range(0, len(texts), 256):
+        part = [words_of(t) for t in texts[first : first + 256]]
+        ids = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in part]
+        cells = np.array([-(-len(ws) // stride) + 1 for ws in part])  # one empty cell between documents
+        begin = np.concatenate([[0], np.cumsum(cells)])
+        cell = np.concatenate([begin[i] + np.arange(len(v)) // stride for i, v in enumerate(ids)])
+        flat = np.concatenate(ids)
+        known = flat >= 0
+        search = x.passages_to_search(cell[known], flat[known], int(begin[-1]))
+        for i, ws in enumerate(part):
+            mine = search[begin[i] : begin[i + 1] - 1]
+            hits = (x.matches(ws, ids[i], mine, stride) if mine.any() else []) + x.short_matches(ws)
+            out.append([{"item_id": x.ids[j], "score": s, "question": q, "answer": a} for j, s, q, a in hits])
+    return out
+
+
+def _match(docs: DataFrame, made: list[Broadcast], keep: list[str], item_type: T.DataType, text: str) -> DataFrame:
+    """The documents' matches in all shards."""
     kind = pa.list_(pa.struct([("item_id", common.arrow_type(item_type)), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = index.value
-        stride, get = x.longest, x.terms.get
-        for batch in common.slices(batches):
-            out: list[list[dict]] = []
-            texts = common.field_of(batch, text).to_pylist()
-            for first in range(0, len(texts), 256):
-                part = [words_of(t) for t in texts[first : first + 256]]
-                ids = [np.fromiter((get(w, -1) for w in ws), np.int64, len(ws)) for ws in part]
-                cells = np.array([-(-len(ws) // stride) + 1 for ws in part])  # one empty cell between documents
-                begin = np.concatenate([[0], np.cumsum(cells)])
-                cell = np.concatenate([begin[i] + np.arange(len(v)) // stride for i, v in enumerate(ids)]) if part else np.empty(0, np.int64)
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
-                known = flat >= 0
-                search = x.passages_to_search(cell[known], flat[known], int(begin[-1]))
-                for i, ws in enumerate(part):
-                    mine = search[begin[i] : begin[i + 1] - 1]
-                    hits = (x.matches(ws, ids[i], mine, stride) if mine.any() else []) + x.short_matches(ws)
-                    out.append([{"item_id": x.ids[j], "score": s, "question": q, "answer": a} for j, s, q, a in hits])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(out, kind)], names=[*keep, "matches"])
+        for chunk in _chunks(batches, CHUNK_BYTES if len(made) > 1 else 0):
+            found: list[list[list[dict]]] = [[[] for _ in range(b.num_rows)] for b in chunk]
+            for shard in made:
+                # of several shards none is kept: the next one takes its memory
+                x = shard.value if len(made) == 1 else shard.load_from_path(shard._path)
+                for batch, rows in zip(chunk, found, strict=True):
+                    for row, hits in zip(rows, _hits(x, common.field_of(batch, text).to_pylist()), strict=True):
+                        row += hits
+                del x
+            for batch, rows in zip(chunk, found, strict=True):
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(rows, kind)], names=[*keep, "matches"])
 
     match = T.StructType([T.StructField("item_id", item_type), *[T.StructField(c, T.DoubleType()) for c in ("score", "question", "answer")]])
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("matches", T.ArrayType(match))])
     return docs.select(*dict.fromkeys((*keep, text.split(".")[0]))).mapInArrow(run, schema)
 
 
+def _words_of_items(items: DataFrame) -> DataFrame:
+    """Each item's shard, number of words and distinct words, of the items that are scored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            words = [ws if len(ws) >= MIN_WORDS else [] for ws in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int64()), pa.array([list(dict.fromkeys(ws)) for ws in words], pa.list_(pa.string()))], names=["shard", "n", "words"])
+
+    return items.select("shard", "text").mapInArrow(run, "shard long, n long, words array<string>").filter("n > 0")
+
+
+def _shards(items: DataFrame, shards: int) -> Iterator[Index]:
+    """Indexes of parts of the items, one after the other, each with the figures of all.
+
+    Items by word are counted by a shuffle; the driver sees only the words of the shard that it builds.
+    """
+    items = common.cut(items.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards))))
+    counted = common.cut(_words_of_items(items))
+    n, words, longest = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(MIN_WORDS))).first()
+    pairs = counted.select("shard", F.explode("words").alias("word"))
+    df = common.cut(pairs.distinct().join(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word"))
+    for k in range(shards):
+        own = Counter({r["word"]: r["df"] for r in df.filter(F.col("shard") == k).select("word", "df").collect()})
+        yield Index(_in_order(items.filter(F.col("shard") == k)), (n, words, longest, own))
+
+
+def _in_order(items: DataFrame) -> list[tuple[object, str]]:
+    return sorted(((r["id"], r["text"]) for r in items.select("id", "text").collect()), key=lambda r: (r[0] is None, r[0], r[1]))
+
+
 def match_documents(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), item_col: str = "item_id", max_items: int = MAX_ITEMS, text: str = "text") -> DataFrame:
     """Each document with the columns to keep and ``matches``, the test items that it holds.
 
     ``text`` may be a field of a kept struct, as ``row.text``.
     """
-    item_type = benchmark.schema[item_col].dataType
+    send = docs.sparkSession.sparkContext.broadcast  # each at most about max_items items
     items = benchmark.select(F.col(item_col).alias("id"), "text").filter("text is not null")
     n, postings = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", "\\W+"))), F.lit(0))).first()
     shards = max(1, -(-n // max_items), -(-postings // MAX_POSTINGS))
-    corpus = None
-    if shards > 1:
-        words = (ws for r in items.toLocalIterator() if len(ws := words_of(r["text"])) >= MIN_WORDS)
-        lengths, counts = itertools.tee(words)
-        corpus = corpus_of(map(len, lengths), map(Counter, counts))
-    out = docs
-    cols = list(dict.fromkeys(keep))
-    total = None
-    for k in range(shards):
-        shard = sorted(((r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id"), F.lit(shards)) == k).collect()), key=lambda r: (r[0] is None, r[0], r[1]))
-        source = text.split(".")[0]
-        out = _match_shard(out, shard, [*cols, *([source] if source not in cols and k < shards - 1 else []), *(["_found"] if total else [])], item_type, corpus, text)
-        if shards > 1:
-            out = out.withColumn("_found", F.concat("_found", "matches") if total else F.col("matches")).drop("matches")
-            total = True
-    return out.select(*cols, F.col("_found").alias("matches")) if shards > 1 else out
+    made = [send(Index(_in_order(items)))] if shards == 1 else [send(x) for x in _shards(items, shards)]
+    return _match(docs, made, list(dict.fromkeys(keep)), benchmark.schema[item_col].dataType, text)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -90,3 +90,12 @@ def test_every_passage_against_every_item(spark):
         assert found(decontaminate.match_documents(d, bench, max_items=max_items)).keys() == want, max_items
     # copies with at most one word changed: all but those whose few answer words were hit
     assert len(planted & want) >= 0.9 * len(planted)
+
+
+def test_shards_run_in_one_worker(spark):
+    docs = spark.createDataFrame([(k, f"some words before the item number {k % 40} with words of its own v{k % 40} and w{k % 40} then the end of it") for k in range(120)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, f"the item number {k} with words of its own v{k} and w{k}") for k in range(40)], "item_id long, text string")
+    key = lambda df: sorted((r["doc_id"], [(m["item_id"], round(m["score"], 9)) for m in sorted(r["matches"])]) for r in df.collect())
+    one, many = (decontaminate.match_documents(docs, bench, max_items=m) for m in (1_000, 3))
+    assert many._jdf.queryExecution().toString().count("MapInArrow") == one._jdf.queryExecution().toString().count("MapInArrow")
+    assert key(one) == key(many) and all(k % 40 in [m[0] for m in found] for k, found in key(many))
