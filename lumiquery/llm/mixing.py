@@ -18,9 +18,10 @@ they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import running_sum
 from . import common
 
 WEIGHTS = (5, 2, 1)
@@ -50,19 +51,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Each target is min(most * size, level * weight) for the one level that spends the
     budget. Sources reach their limit in the order of size over weight, so prefix sums
     in that order give the level at each of them, and the first at which no further
-    source is above its limit is it. The windows run over sources, not documents.
+    source is above its limit is it. Ranks and sums are running sums over range parts, so
+    no task holds all sources, however many there are.
     """
-    s = sizes.groupBy("source").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    s = s.withColumn("rank", rank).withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") - 1) % len(weights)))
-    everything = Window.partitionBy()
-    s = s.withColumns({"_budget": F.lit(share) * F.sum("source_size").over(everything), "_ratio": F.col("source_size") / F.col("weight"), "_weights": F.sum("weight").over(everything)})
-    before = Window.orderBy("_ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumns({"_full": F.coalesce(F.sum("source_size").over(before), F.lit(0)), "_gone": F.coalesce(F.sum("weight").over(before), F.lit(0))})
-    s = s.withColumn("_level", (F.col("_budget") - most * F.col("_full")) / (F.col("_weights") - F.col("_gone")))
-    fits = F.col("_level") <= most * F.col("_ratio")
-    level = F.min(F.when(fits, F.struct("_ratio", "rank", "_level"))).over(everything)["_level"]
-    target = F.least((most * F.col("source_size")).cast("double"), F.coalesce(level * F.col("weight"), (most * F.col("source_size")).cast("double")))
+    s = common.cut(sizes.groupBy("source").agg(F.sum("words").alias("source_size"), F.count(F.lit(1)).alias("source_rows")))
+    s = running_sum(s, [F.col("source").asc_nulls_last()], F.lit(1), "_earlier").withColumn("rank", (F.col("_earlier") + 1).cast("int")).drop("_earlier")
+    s = common.cut(s.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("rank") - 1) % len(weights))).withColumn("_ratio", F.col("source_size") / F.col("weight")))
+    total, all_weights = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    order = [F.col("_ratio"), F.col("rank")]
+    before = running_sum(running_sum(s, order, F.col("source_size"), "_full"), order, F.col("weight"), "_gone")
+    level = (F.lit(share * total) - most * F.col("_full")) / (F.lit(all_weights) - F.col("_gone"))
+    best = before.withColumn("_level", level).filter(F.col("_level") <= most * F.col("_ratio")).agg(F.min(F.struct(*order, "_level"))["_level"]).first()[0]
+    most_words = (most * F.col("source_size")).cast("double")
+    target = most_words if best is None else F.least(most_words, F.lit(best) * F.col("weight"))
     return s.select("source", "rank", "source_size", "source_rows", target.alias("target"))
 
 
@@ -91,29 +92,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIG
     return each.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.alias("taken"), "key")
 
 
+def source_cuts(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """One row a source: how often each document is taken, the first key that is not taken once more, and how many rows of that key are."""
+    extra = F.ceil(F.col("rest") / F.col("size"))
+    ends = F.when(extra < F.col("n"), F.struct("key", extra.alias("extra")))
+    # documents without a word are never taken, so they decide nothing
+    shares = _shares(docs, id_col, WEIGHTS, SHARE, MOST).filter("size > 0")
+    found = shares.groupBy("source").agg(F.max("epochs").cast("int").alias("epochs"), F.min(ends).alias("end"))
+    return common.cut(found.select(F.col("source").alias("_src"), "epochs", F.col("end.key").alias("cut"), F.col("end.extra").cast("long").alias("extra")))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: each document as often as it is taken, with the columns of ``docs``.
 
+    Keys of a source below its cut are taken once more than those above it, so a row
+    needs only its source's cut: documents are read and written, and not shuffled.
     Documents stay whole: the one at a source's cut is given once more in full, so a
     source exceeds its budget by less than one document. Rows with equal id, source and
     text take turns; at the cut (one such group a source at most) the first of them by
     their other columns is given as often as words are left.
     """
-    extra = F.when(F.col("size") > 0, F.ceil(F.col("rest") / F.col("size"))).otherwise(F.lit(0))
-    each = F.when(F.col("size") > 0, F.col("epochs")).otherwise(F.lit(0))
-    wanted = _shares(docs, id_col, WEIGHTS, SHARE, MOST).select("key", F.col("source").alias("src"), each.alias("each"), extra.alias("extra"), "n")
-    # all of equal rows are taken once more, or (at the cut) some of them
-    all_again = F.when(F.col("extra") == F.col("n"), 1).otherwise(0)
-    wanted = common.cut(wanted.select("key", "src", (F.col("each") + all_again).cast("int").alias("copies"), F.when(all_again == 0, F.col("extra")).otherwise(F.lit(0)).cast("long").alias("extra")).filter("copies > 0 OR extra > 0"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_col), F.col("text")).alias("key"), F.col("source").cast("string").alias("src"))
-    same = lambda a, b: (a["key"] == b["key"]) & a["src"].eqNullSafe(b["src"])
-    taken = rows.join(wanted, same(rows, wanted)).select("row", wanted["copies"]).filter("copies > 0")
+    cuts = common.lookup(source_cuts(docs, id_col))
+    sized = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(common.WORD_RE)) > 0
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_col), F.col("text")).alias("key"), F.col("source").cast("string").alias("src"), sized.alias("sized"))
+    rows = rows.filter("sized").join(cuts, F.col("src").eqNullSafe(F.col("_src")))
+    again = F.when(F.col("cut").isNull() | (F.col("key") < F.col("cut")), 1).otherwise(0)
+    taken = rows.withColumn("copies", F.col("epochs") + again).filter("copies > 0")
     out = taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row")
-    cut = common.cut(wanted.filter("extra > 0").select("key", "src", "extra"))
-    if cut.take(1):
-        there = rows.join(F.broadcast(cut), same(rows, cut)).select(cut["key"], cut["src"], "extra", "row")  # at most one row a source
-        plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
-        first = there.groupBy("key", "src", "extra").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
-        runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1, F.lit(RUN).cast("long")))).repartition("key", "run")
-        out = out.unionByName(runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("extra"), F.col("run") + RUN) - 1))).select("row"))
+    there = rows.filter("key = cut AND extra > 0")  # rows of one key a source
+    plain = [f"row.`{f.name}`" for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    first = there.groupBy("src", "extra").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    runs = first.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("extra") - 1, F.lit(RUN).cast("long")))).repartition("src", "run")
+    out = out.unionByName(runs.withColumn("copy", F.explode(F.sequence(F.col("run"), F.least(F.col("extra"), F.col("run") + RUN) - 1))).select("row"))
     return out.select("row.*")
