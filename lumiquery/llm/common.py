@@ -114,6 +114,13 @@ def list_names(spark: SparkSession, path: str, prefix: str) -> list[str]:
     return sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(prefix))
 
 
+def bytes_below(spark: SparkSession, path: str) -> int:
+    """Bytes of the data files in a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return sum(f.getLen() for f in found if not f.getPath().getName().startswith(("_", ".")))
+
+
 def lookup(df: DataFrame) -> DataFrame:
     """Mark a checkpointed table for broadcast if it is small, else leave the join to the planner."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

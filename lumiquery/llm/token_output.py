@@ -237,36 +237,52 @@ def read_layout(spark: SparkSession, path: str) -> dict[str, int]:
     return json.loads(spark.read.text(f"{path}/_layout").first()["value"])
 
 
+def _records(spark: SparkSession, path: str, wide: int, first: int) -> DataFrame:
+    """The records of all shards from one on, in one binary column. Spark's own reader seeks to ranges of whole records, so no task holds a shard."""
+    shards = [n for n in common.list_names(spark, path, "shard=") if int(n.partition("=")[2]) >= first]
+    if not shards:
+        return spark.createDataFrame([], "record binary")
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    # more names than fit on a line are given as the folder of all; records before the start are left out later
+    named = ",".join(f"{path}/{n}" for n in shards) if len(shards) <= 1_000 else f"{path}/shard=*"
+    raw = sc._jsc.binaryRecords(named, wide).rdd()
+    rows = spark._jsparkSession.createDataset(raw, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF()
+    return DataFrame(rows, spark).withColumnRenamed("value", "record")
+
+
 def read_tokens(spark: SparkSession, path: str, start: int = 0, tokens: bool = True) -> DataFrame:
     """One row for each record from slot ``start`` on: where it is, what it holds, its ids (unless not wanted) and their CRC-32.
 
-    Shards before that slot are not opened.
+    Shards before that slot are not opened. A shard is read in ranges by several tasks,
+    some thousand records at a time. A shard that is cut off, or holds other than its
+    slots, is an error.
     """
     layout = read_layout(spark, path)
     wide, slots, length = layout["stride"], layout["per_shard"], layout["length"]
     record = np.dtype([*HEADER.descr, ("tokens", "<u2", (length,)), ("end", "u1")])
+    for name in common.list_names(spark, path, "shard="):
+        k = int(name.partition("=")[2])
+        if k >= start // slots and common.bytes_below(spark, f"{path}/{name}") != wide * (min(layout["sequences"], (k + 1) * slots) - k * slots):
+            raise ValueError(f"shard {k} is cut off")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                if len(data) % wide:
-                    raise ValueError(f"shard {shard} is cut off")
-                first = max(0, start - shard * slots)
-                for at in range(first, len(data) // wide, READ_RECORDS):
-                    r = np.frombuffer(data[at * wide : (at + READ_RECORDS) * wide], record)
-                    if (r["end"] != 10).any():
-                        raise ValueError(f"shard {shard} has a broken record")
-                    n, none = len(r), r["seq_no"] < 0
-                    ids = [data[k : k + 2 * m] for k, m in zip(((at + np.arange(n)) * wide + HEADER.itemsize).tolist(), r["n_tokens"].tolist(), strict=True)]
-                    more = [pa.array([bytes(t) for t in ids], pa.binary())] if tokens else []
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r["slot"].copy()), pa.array(np.full(n, shard, np.int64)), pa.array((at + np.arange(n)) * wide), pa.array(r["doc_id"].copy(), mask=none), pa.array(np.where(none, ~r["seq_no"], r["seq_no"])), pa.array(r["n_tokens"].copy()), pa.array([zlib.crc32(t) for t in ids], pa.int64()), *more],
-                        names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", *(["tokens"] if tokens else [])],
-                    )
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, shard long").load(path)
-    out = files.filter(F.col("shard") >= start // slots).select("shard", "content").mapInArrow(run, RECORD if tokens else RECORD.removesuffix(", tokens binary"))
+        for batch in common.slices(batches, READ_RECORDS):
+            if not batch.num_rows:
+                continue
+            data = memoryview(b"".join(batch.column(0).to_pylist()))
+            r = np.frombuffer(data, record)
+            if (r["end"] != 10).any() or (r["slot"] < 0).any() or (r["slot"] >= layout["sequences"]).any():
+                raise ValueError("a shard has a broken record")
+            keep = np.flatnonzero(r["slot"] >= start)
+            r, n, none = r[keep], len(keep), r["seq_no"][keep] < 0
+            ids = [data[k : k + 2 * m] for k, m in zip((keep * wide + HEADER.itemsize).tolist(), r["n_tokens"].tolist(), strict=True)]
+            more = [pa.array([bytes(t) for t in ids], pa.binary())] if tokens else []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r["slot"].copy()), pa.array(r["slot"] // slots), pa.array(r["slot"] % slots * wide), pa.array(r["doc_id"].copy(), mask=none), pa.array(np.where(none, ~r["seq_no"], r["seq_no"])), pa.array(r["n_tokens"].copy()), pa.array([zlib.crc32(t) for t in ids], pa.int64()), *more],
+                names=["slot", "shard", "offset", "doc_id", "seq_no", "n_tokens", "crc32", *(["tokens"] if tokens else [])],
+            )
+
+    out = _records(spark, path, wide, start // slots).mapInArrow(run, RECORD if tokens else RECORD.removesuffix(", tokens binary"))
     if not common.path_exists(spark, f"{path}/_ids"):
         return out
     ids = spark.read.parquet(f"{path}/_ids")
