@@ -41,12 +41,16 @@ class Tree:
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Values of the leaves that the rows reach."""
+        return self.value[self.leaves(x)]
+
+    def leaves(self, x: np.ndarray) -> np.ndarray:
+        """The leaves that the rows reach."""
         at = np.zeros(len(x), np.int64)
         while (inner := self.feature[at] >= 0).any():
             i = np.flatnonzero(inner)
             node = at[i]
             at[i] = np.where(x[i, self.feature[node]] < self.cut[node], self.left[node], self.right[node])
-        return self.value[at]
+        return at
 
 
 def grow(x: np.ndarray, y: np.ndarray, seed: int, min_leaf: int = 2, max_depth: int = 30) -> Tree:

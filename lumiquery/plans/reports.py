@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, diagnose, experiments, graph, learners, metrics, models, reports
+from ..operators import artifacts, diagnose, experiments, forest, graph, learners, metrics, models, reports
 from ..sources import readers
 from . import predictions, views
 from .catalog import query
@@ -164,11 +165,29 @@ def density_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query("extra_trees")
 def extra_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Extra trees grown in tasks on a bounded sample, metrics over all rows."""
-    p = views.pred(spark, d).withColumn("seed", F.col("seed").cast("double"))
-    fitted = learners.fit_extra_trees(p, ["y_pred", "similarity", "seed"], "y_true", ["ord", "line", "price"], trees=8, max_depth=8, rows=5_000)
+    """Extra trees grown on all rows, and their metrics over all rows."""
+    names = ["y_pred", "similarity", "seed"]
+    p = views.pred(spark, d)
+    fitted = forest.fit_extra_trees(p, names, "y_true", trees=8, max_depth=8)
     r = metrics.regression(F.col("y_true"), F.col("prediction"))
-    return learners.predict(p, ["y_pred", "similarity", "seed"], fitted).agg(F.count("prediction").alias("n"), *[v.alias(k) for k, v in r.items()])
+    return learners.predict(p, names, fitted).agg(F.count("prediction").alias("n"), *[v.alias(k) for k, v in r.items()])
+
+
+STUMPS = 9
+
+
+@query("forest_stumps", f"""
+, x AS (SELECT y_true AS y, v, f FROM pred, LATERAL (VALUES (0, y_pred::DOUBLE), (1, similarity::DOUBLE), (2, seed::DOUBLE)) AS u(f, v) WHERE y_true IS NOT NULL AND y_pred IS NOT NULL AND similarity IS NOT NULL AND seed IS NOT NULL),
+r AS (SELECT f, min(v) AS low, max(v) AS high FROM x GROUP BY 1), c AS (SELECT tree, f, low + (high - low) * ((tree + 1)::DOUBLE / {STUMPS + 1}) AS cut FROM r, (SELECT unnest(range({STUMPS})) AS tree)),
+s AS (SELECT tree, f, cut, count(*) FILTER (v < cut) AS nl, sum(y) FILTER (v < cut) AS sl, count(*) AS n, sum(y) AS s FROM c JOIN x USING (f) GROUP BY 1, 2, 3),
+g AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, f) AS k FROM s WHERE nl >= 2 AND n - nl >= 2)
+SELECT tree, f AS feature, round(cut, 6) AS cut, round(sl / nl, 6) AS value_left, round((s - sl) / (n - nl), 6) AS value_right FROM g WHERE k = 1""", PRED)
+def forest_stumps(spark: SparkSession, d: str) -> DataFrame:
+    """A forest of depth one with fixed cuts: each tree's best feature, and the values on both sides."""
+    fixed = lambda tree, nodes, features, attempt: np.full((len(nodes), features), (tree + 1) / (STUMPS + 1))
+    trees = forest.fit_extra_trees(views.pred(spark, d), ["y_pred", "similarity", "seed"], "y_true", trees=STUMPS, max_depth=1, draw=fixed)
+    rows = spark.createDataFrame(forest.node_table(trees), "tree int, node int, feature int, cut double, value_left double, value_right double")
+    return rows.select("tree", "feature", *[F.round(c, 6).alias(c) for c in ("cut", "value_left", "value_right")])
 
 
 @query("stacked_models")
