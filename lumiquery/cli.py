@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bins, smiles
-from .operators import artifacts, chemistry, dedup, diagnose, duplicate_check, experiments, features, joins, learners, metrics, models, neighbours, profile, reports, screening, solvents, standardize
+from .operators import artifacts, chemistry, dedup, diagnose, duplicate_check, experiments, features, joins, learners, metrics, models, neighbours, perceptron, profile, reports, screening, solvents, standardize
 from .session import get_session
 from .sources import files, readers, writers
 
@@ -174,14 +174,14 @@ def _vector_fit(kind: str, options: dict) -> experiments.Fit:
     return fit
 
 
-@command("run-neural", opt("--input", required=True), opt("--features", required=True), opt("--target", "emission_nm"), opt("--key", required=True), opt("--out-dir", required=True), opt("--epochs", 200, int), opt("--patience", 20, int), opt("--max-rows", learners.MAX_ROWS, int), opt("--seed", 0, int))
+@command("run-neural", opt("--input", required=True), opt("--features", required=True), opt("--target", "emission_nm"), opt("--key", required=True), opt("--out-dir", required=True), opt("--epochs", 200, int), opt("--patience", 20, int), opt("--tasks", None, int), opt("--seed", 0, int))
 def run_neural(spark: SparkSession, a: argparse.Namespace) -> int:
-    """A multilayer perceptron with early stopping, fitted on a bounded sample of the training molecules."""
+    """A multilayer perceptron with early stopping, trained by many tasks on all rows of the training molecules; a run that was lost goes on."""
     from .operators.splits import group_split
 
     names = readers.split_list(a.features)
     rows = group_split(numbers(table(spark, a.input), [*names, a.target]).filter(F.col(a.target).isNotNull()), a.key, 0.2, a.seed)
-    f = learners.fit_mlp(*learners.sample_rows(rows.filter("split = 'train'"), names, a.target, [a.key], a.max_rows, a.seed), steps=a.epochs, val=0.1, patience=a.patience, loss="smooth_l1", alpha=1e-4)
+    f = perceptron.fit(rows.filter("split = 'train'"), names, a.target, a.key, epochs=a.epochs, patience=a.patience, seed=a.seed, tasks=a.tasks, folder=f"{a.out_dir}/training")
     out = learners.predict(rows.filter("split = 'test'"), names, f).select(a.key, F.col(a.target).alias("y_true"), F.col("prediction").alias("y_pred"))
     out.write.mode("overwrite").parquet(f"{a.out_dir}/predictions")
     r = metrics.regression(F.col("y_true"), F.col("y_pred"))

@@ -94,3 +94,21 @@ def test_gradients_equal_finite_differences():
         down = loss()
         w[at] += 1e-6
         assert abs((up - down) / 2e-6 - g[at]) < 1e-4
+
+
+def test_support_vector_regression_on_all_rows(spark):
+    from lumiquery.operators import svr
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 3)) * [1, 20, 0.1]
+    y = 2 * x[:, 0] - 0.3 * x[:, 1] + 5 + rng.standard_t(2, 900)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double").repartition(4)
+    model = svr.fit(df, NAMES, "y", steps=80)
+    z, t = (x - x.mean(0)) / x.std(0), (y - y.mean()) / y.std()
+    _, long = svr.descend(lambda w: svr.loss_sums(w, z, t, 0.1), 900, 3, 1.0, 20_000, 0.5)
+    assert long <= model.objective * (1 + 1e-9) and model.objective < 1.01 * long
+    assert abs(model(x).mean() - (2 * x[:, 0] - 0.3 * x[:, 1] + 5).mean()) < 0.3
+    got = learners.predict(df, NAMES, model).agg(F.avg("prediction")).first()[0]
+    assert abs(got - model(x).mean()) < 1e-9
+    with pytest.raises(ValueError):
+        svr.fit(df.limit(0), NAMES, "y")
