@@ -56,37 +56,43 @@ def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def replicates(df: DataFrame, pair: list[str], measurement: Column, values: list[str], source: str = "source_dataset") -> DataFrame:
     """Pairs that were measured several times with different results."""
-    marks, names = source_marks(df, source)
+    marks, merged, names = source_marks(df, source)
     bounds = [f(c).alias(f"{n}_{v}") for v in values for n, f, c in (("min", F.min, v), ("max", F.max, v))]
-    per = df.groupBy(*pair, measurement.alias("_m")).agg(F.count(F.lit(1)).alias("_n"), F.bit_or(marks).alias("_s"), *bounds)
+    per = df.groupBy(*pair, measurement.alias("_m")).agg(F.count(F.lit(1)).alias("_n"), merged(marks).alias("_s"), *bounds)
     again = [f(c).alias(c) for v in values for f, c in ((F.min, f"min_{v}"), (F.max, f"max_{v}"))]
     # a measurement without any value is a row, but no distinct measurement
-    out = per.groupBy(*pair).agg(F.sum("_n").alias("n_rows"), F.count("_m").alias("n_distinct"), F.bit_or("_s").alias("_s"), *again)
+    out = per.groupBy(*pair).agg(F.sum("_n").alias("n_rows"), F.count("_m").alias("n_distinct"), merged(F.col("_s")).alias("_s"), *again)
     out = out.filter("n_rows > 1 AND n_distinct > 1").withColumn("sources", names("_s", ","))
     return out.select(*pair, "n_rows", "n_distinct", "sources", *[f"{n}_{v}" for v in values for n in ("min", "max")])
 
 
-#: More sources than bits of a long are no set of marks.
+#: So many sources are bits of a long; more are sets of names.
 MAX_SOURCES = 60
 
 
-def source_marks(df: DataFrame, source: str) -> tuple[Column, Callable[[str, str], Column]]:
-    """A bit for each source, so that sets of sources are sums of a hash aggregate; and the names of a set, in order."""
+def source_marks(df: DataFrame, source: str) -> tuple[Column, Callable[[Column], Column], Callable[[str, str], Column]]:
+    """A mark of each row's source, an aggregate that merges marks to sets, and the names of a set in order.
+
+    Up to ``MAX_SOURCES`` sources are bits, so that sets are numbers of a hash aggregate.
+    Beyond, a set is a sorted array of names: as long as the sources of one key.
+    """
     found = sorted(r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().limit(MAX_SOURCES + 1).collect())
     if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+        name = F.col(source).cast("string")
+        mark = F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>"))
+        return mark, lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), lambda c, sep: F.array_join(c, sep)
     mark = F.lit(0).cast("long")
     for k, name in enumerate(found):
         mark = F.when(F.col(source) == name, F.lit(1 << k).cast("long")).otherwise(mark)
     # byte order, as sorting an array of texts has it
     in_order = sorted(range(len(found)), key=lambda k: found[k].encode())
-    return mark, lambda c, sep: F.concat_ws(sep, *[F.when(F.col(c).bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(found[k])) for k in in_order])
+    return mark, F.bit_or, lambda c, sep: F.concat_ws(sep, *[F.when(F.col(c).bitwiseAND(F.lit(1 << k).cast("long")) != 0, F.lit(found[k])) for k in in_order])
 
 
 def overlap_by_sources(df: DataFrame, keys: list[str], source: str = "source_dataset") -> DataFrame:
     """Number of keys for each combination of sources that hold them."""
-    marks, names = source_marks(df, source)
-    per = df.groupBy(*keys).agg(F.bit_or(marks).alias("_s"), F.count(F.lit(1)).alias("n"))
+    marks, merged, names = source_marks(df, source)
+    per = df.groupBy(*keys).agg(merged(marks).alias("_s"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("_s").agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows")).select(names("_s", "+").alias("sources"), "n_keys", "n_rows")
 
 

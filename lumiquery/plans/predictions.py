@@ -198,12 +198,12 @@ def spread_across_models(spark: SparkSession, d: str) -> DataFrame:
     return m.select("target", "model", R6("mean").alias("mean"), R6(F.max("mean").over(w) - F.min("mean").over(w)).alias("spread"))
 
 
-MET = "met AS (SELECT target, model, split, seed, count(*) AS n, avg(abs(y_true - y_pred)) AS mae, 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (count(*) * var_pop(y_true)) AS r2 FROM pred GROUP BY 1, 2, 3, 4)"
+MET = "met AS (SELECT target, model, split, seed, count(*) AS n, avg(abs(y_true - y_pred)) AS mae, sqrt(avg((y_true - y_pred) * (y_true - y_pred))) AS rmse, 1 - sum((y_true - y_pred) * (y_true - y_pred)) / (count(*) * var_pop(y_true)) AS r2 FROM pred GROUP BY 1, 2, 3, 4)"
 
 
 def _met(spark: SparkSession, d: str) -> DataFrame:
     r = metrics.regression(_y(), _p())
-    return views.pred(spark, d).groupBy("target", "model", "split", "seed").agg(_n().alias("n"), r["mae"].alias("mae"), r["r2"].alias("r2"))
+    return views.pred(spark, d).groupBy("target", "model", "split", "seed").agg(_n().alias("n"), *[r[c].alias(c) for c in ("mae", "rmse", "r2")])
 
 
 @query("seed_summary", """

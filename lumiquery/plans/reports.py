@@ -18,26 +18,26 @@ R6 = lambda c: F.round(c, 6)
 
 
 @query("emission_paper_table", """
-SELECT split, model, round(avg(mae), 6) AS mae, round(avg(r2), 6) AS r2, CASE split WHEN 'random' THEN 'Rows are split at random, so molecules may be on both sides: interpolation.'
+SELECT split, model, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse, round(avg(r2), 6) AS r2, CASE split WHEN 'random' THEN 'Rows are split at random, so molecules may be on both sides: interpolation.'
   WHEN 'molecule' THEN 'Molecules are held out whole: transfer to new molecules.' ELSE 'Scaffolds are held out whole: the strongest test of extrapolation.' END AS comment FROM met WHERE target = 'emission_nm' GROUP BY 1, 2""", PRED, MET)
 def emission_paper_table(spark: SparkSession, d: str) -> DataFrame:
     """Mean errors of the emission models by split."""
-    t = reports.emission_table(predictions._met(spark, d).withColumn("rmse", F.col("mae")))
-    return t.select("split", "model", R6("mae").alias("mae"), R6("r2").alias("r2"), "comment")
+    t = reports.emission_table(predictions._met(spark, d))
+    return t.select("split", "model", *[R6(c).alias(c) for c in ("mae", "rmse", "r2")], "comment")
 
 
 @query("yield_paper_table", """
 , cl AS (SELECT split, model, seed, count(*) FILTER ((y_true > 550) = (y_pred > 550)) / count(*) AS accuracy, 2.0::DOUBLE * count(*) FILTER (y_true > 550 AND y_pred > 550) / nullif(count(*) FILTER (y_true > 550) + count(*) FILTER (y_pred > 550), 0) AS f1
-  FROM pred WHERE target = 'emission_nm' AND model <> 'F0' GROUP BY 1, 2, 3), c AS (SELECT split, model, avg(accuracy) AS a, avg(f1) AS f FROM cl GROUP BY 1, 2), q AS (SELECT split, model, avg(mae) AS mae, avg(r2) AS r2 FROM met WHERE target = 'quantum_yield' GROUP BY 1, 2)
-SELECT split, model, round(mae, 6) AS mae, round(r2, 6) AS r2, round(a, 6) AS bright_accuracy, round(f, 6) AS bright_f1 FROM q LEFT JOIN c USING (split, model)""", PRED, MET)
+  FROM pred WHERE target = 'emission_nm' AND model <> 'F0' GROUP BY 1, 2, 3), c AS (SELECT split, model, avg(accuracy) AS a, avg(f1) AS f FROM cl GROUP BY 1, 2), q AS (SELECT split, model, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2 FROM met WHERE target = 'quantum_yield' GROUP BY 1, 2)
+SELECT split, model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(r2, 6) AS r2, round(a, 6) AS bright_accuracy, round(f, 6) AS bright_f1 FROM q LEFT JOIN c USING (split, model)""", PRED, MET)
 def yield_paper_table(spark: SparkSession, d: str) -> DataFrame:
     """Errors of the yield models joined with their classifiers' means; a model without a classifier stays."""
     p = views.pred(spark, d).filter("target = 'emission_nm' AND model <> 'F0'")
     c = metrics.confusion(F.col("y_true") > 550, F.col("y_pred") > 550)
     cl = p.groupBy("split", "model", "seed").agg(*[v.alias(k) for k, v in c.items()])
     cl = cl.select("split", "model", "seed", ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("accuracy"), F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
-    t = reports.yield_table(predictions._met(spark, d).withColumn("rmse", F.col("mae")), cl)
-    return t.select("split", "model", *[R6(x).alias(x) for x in ("mae", "r2", "bright_accuracy", "bright_f1")])
+    t = reports.yield_table(predictions._met(spark, d), cl)
+    return t.select("split", "model", *[R6(x).alias(x) for x in ("mae", "rmse", "r2", "bright_accuracy", "bright_f1")])
 
 
 @query("graph_paper_table", """

@@ -188,6 +188,12 @@ def fit_schema(df: DataFrame, schema: T.StructType, fill: Column | None = None)
     return df.select(*[(F.col(f.name) if f.name in df.columns else empty).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def align(df: DataFrame, schema: T.StructType, fill: Column | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """``fit_schema``, with the columns that were added (filled) and those that were dropped, in order."""
+    names = [f.name for f in schema.fields]
+    return fit_schema(df, schema, fill), [n for n in names if n not in df.columns], [c for c in df.columns if c not in names]
+
+
 def sanitize_names(columns: list[str]) -> list[str]:
     """Names of letters, digits and underscores; a number is added where two would be equal."""
     out: list[str] = []

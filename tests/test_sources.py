@@ -152,3 +152,23 @@ def test_running_sum(spark, one_task_rows):
     for _, v, before in reversed(got):
         assert before == at
         at += v
+
+
+def test_more_sources_than_bits(spark):
+    rows = [(f"k{k % 40}", f"src{k % 90:02d}", float(k % 3)) for k in range(720)] + [("k1", None, 1.0)]
+    df = spark.createDataFrame(rows, "key string, source_dataset string, v double")
+    want = {}
+    for key, source, _ in rows:
+        want.setdefault(key, set()).update([source] if source else [])
+    got = {tuple(r) for r in dedup.overlap_by_sources(df, ["key"]).collect()}
+    assert sum(r[1] for r in got) == 40 and {r[0] for r in got} == {"+".join(sorted(s)) for s in want.values()}
+    again = {r["key"]: r["sources"] for r in dedup.replicates(df, ["key"], F.col("v"), ["v"]).collect()}
+    assert again == {k: ",".join(sorted(s)) for k, s in want.items()}
+    few = df.filter("source_dataset < 'src05' OR source_dataset IS NULL")
+    assert {r["sources"] for r in dedup.overlap_by_sources(few, ["key"]).collect()} <= {"+".join(sorted(x for x in s if x < "src05")) for s in want.values()}
+
+
+def test_alignment_tells_what_it_changed(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "b int, x int, y int")
+    out, added, dropped = readers.align(df, T.StructType([T.StructField(c, T.IntegerType()) for c in ("a", "b", "c")]), F.lit(0))
+    assert (out.first().asDict(), added, dropped) == ({"a": 0, "b": 1, "c": 0}, ["a", "c"], ["x", "y"])
