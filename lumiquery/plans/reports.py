@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import artifacts, diagnose, experiments, forest, graph, learners, metrics, models, reports
+from ..operators import artifacts, attribution, diagnose, experiments, forest, graph, learners, metrics, models, reports
 from ..sources import readers
 from . import predictions, views
 from .catalog import query
@@ -190,6 +190,23 @@ def forest_stumps(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("tree", "feature", *[F.round(c, 6).alias(c) for c in ("cut", "value_left", "value_right")])
 
 
+#: A fixed tree: the paths' values, and their tests (feature, threshold, goes left, share of rows).
+FIXED_TREE = ((450.0, ((0, 500.0, True, 0.4), (1, 0.5, True, 0.25))), (480.0, ((0, 500.0, True, 0.4), (1, 0.5, False, 0.75))), (600.0, ((0, 500.0, False, 0.6),)))
+
+
+@query("tree_attribution", """
+, r AS (SELECT y_pred::DOUBLE AS a, similarity::DOUBLE AS b, a <= 500 AS left_a, b <= 0.5 AS left_b FROM pred WHERE y_pred IS NOT NULL AND similarity IS NOT NULL),
+w AS (SELECT a, b, 0.4::DOUBLE * (0.25::DOUBLE * 450 + 0.75::DOUBLE * 480) + 0.6::DOUBLE * 600 AS none, CASE WHEN left_a THEN 0.25::DOUBLE * 450 + 0.75::DOUBLE * 480 ELSE 600 END AS know_a,
+  0.4::DOUBLE * CASE WHEN left_b THEN 450 ELSE 480 END + 0.6::DOUBLE * 600 AS know_b, CASE WHEN NOT left_a THEN 600 WHEN left_b THEN 450 ELSE 480 END::DOUBLE AS know FROM r),
+c AS (SELECT 'y_pred' AS feature, a AS v, (know_a - none + know - know_b) / 2 AS c FROM w UNION ALL SELECT 'similarity', b, (know_b - none + know - know_a) / 2 FROM w)
+SELECT feature, round(avg(abs(c)), 6) AS mean_abs, round(avg(c), 6) AS mean, round(min(c), 6) AS min, round(max(c), 6) AS max, round(corr(v, c), 6) AS direction FROM c GROUP BY 1""", PRED)
+def tree_attribution(spark: SparkSession, d: str) -> DataFrame:
+    """Shapley values of a fixed tree over all predictions: the summary by feature."""
+    paths = [attribution.path_of(value, list(tests)) for value, tests in FIXED_TREE]
+    rows = attribution.attribute(views.pred(spark, d), "ord", ["y_pred", "similarity"], paths)
+    return attribution.summary(rows).select("feature", *[F.round(c, 6).alias(c) for c in ("mean_abs", "mean", "min", "max", "direction")])
+
+
 @query("stacked_models")
 def stacked_models(spark: SparkSession, d: str) -> DataFrame:
     """A line over out-of-fold predictions of two base models."""

@@ -112,3 +112,84 @@ def test_support_vector_regression_on_all_rows(spark):
     assert abs(got - model(x).mean()) < 1e-9
     with pytest.raises(ValueError):
         svr.fit(df.limit(0), NAMES, "y")
+
+
+def forest_of(spark, tmp_path, trees=3, depth=4):
+    from lumiquery.operators import models
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4))
+    y = 3 * x[:, 0] + np.where(x[:, 1] > 0, x[:, 2], -x[:, 2]) * 2 + rng.normal(0, 0.1, 400)
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([(k, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(x, y, strict=True))], "id long, a double, b double, c double, d double, y double")
+    return df, x, names, models.build(names, "y", "rf", numTrees=trees, maxDepth=depth, seed=1).fit(df)
+
+
+def shapley_by_sets(paths, row):
+    """Contributions from the worth of every set of known features."""
+    from itertools import combinations
+    from math import factorial
+
+    n = len(row)
+
+    def worth(known):
+        total = 0.0
+        for p in paths:
+            w = p.value
+            for f, low, high, share in zip(p.features, p.low, p.high, p.share, strict=True):
+                w *= float(low < row[f] <= high) if f in known else share
+            total += w
+        return total
+
+    out = np.zeros(n)
+    for j in range(n):
+        others = [k for k in range(n) if k != j]
+        for size in range(n):
+            for s in combinations(others, size):
+                out[j] += factorial(size) * factorial(n - size - 1) / factorial(n) * (worth({*s, j}) - worth(set(s)))
+    return out
+
+
+def test_shapley_values_of_a_forest(spark, tmp_path):
+    from lumiquery.operators import attribution
+
+    df, x, names, fitted = forest_of(spark, tmp_path)
+    paths = attribution.model_paths(fitted, str(tmp_path / "m"))
+    found = attribution.contributions(paths, x)
+    want = np.array([r["prediction"] for r in fitted.transform(df).orderBy("id").collect()])
+    assert np.abs(found.sum(axis=1) + attribution.base_value(paths) - want).max() < 1e-9
+    for k in range(0, 400, 40):
+        assert np.abs(found[k] - shapley_by_sets(paths, x[k])).max() < 1e-9
+    more = df.unionByName(spark.createDataFrame([(9_999, None, 1.0, 1.0, 1.0, 0.0)], df.schema))
+    rows = attribution.attribute(more, "id", names, paths).collect()
+    assert len(rows) == 1_600 and all(abs(r["contribution"] - found[r["id"], names.index(r["feature"])]) < 1e-9 for r in rows)
+    table = attribution.summary(attribution.attribute(df, "id", names, paths), 2).collect()
+    assert table[0]["feature"] == "a" and table[0]["direction"] > 0.5 and len(table) == 2
+
+
+def test_successive_halving(spark, tmp_path):
+    from lumiquery.operators import tuning
+
+    df, x, _ = table(spark, 900)
+    asked = []
+
+    def fit(setting, train, test):
+        asked.append(setting["c"])
+        if setting["c"] == 7:
+            raise ValueError("no such setting")
+        mean = train.agg(F.avg("y")).first()[0]
+        return test.withColumn("prediction", F.lit(mean) + setting["c"] * F.col("a"))
+
+    settings = [{"c": c} for c in (-3, 7, 0, 9, 2.5, 1, 5, -1, 4)]
+    best, trials = tuning.successive_halving(df, "y", "id", settings, fit, folder=str(tmp_path / "t"))
+    rows = trials.collect()
+    full = {k: r for k, r in ((s["c"], None) for s in settings)}
+    errors = {c: df.filter("id >= 0").agg(F.avg(F.abs(F.col("y") - (F.lit(df.agg(F.avg("y")).first()[0]) + c * F.col("a"))))).first()[0] for c in full if c != 7}
+    assert best["c"] == min(errors, key=errors.get) == 2.5
+    assert [r["rung"] for r in rows].count(0) == 9 and [r["rung"] for r in rows].count(1) == 3 and len(rows) == 13
+    whole = max(r["train_rows"] for r in rows)
+    assert sum(r["train_rows"] for r in rows) < 0.4 * 9 * whole
+    n = len(asked)
+    again, _ = tuning.successive_halving(df, "y", "id", settings, fit, folder=str(tmp_path / "t"))
+    assert again == best and len(asked) == n  # what was finished isn't done again
+    assert tuning.rungs(1) == [(1, 1.0)] and tuning.rungs(9) == [(9, 1 / 9), (3, 1 / 3), (1, 1.0)]
