@@ -39,25 +39,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _text_key(docs: DataFrame) -> Column:
-    """One text for each pair of an id and a text, in the order of the ids; rows without an id come last."""
+    """One key for each pair of an id and a text, in the order of the ids; null without an id."""
     own = F.col("doc_id")
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    return F.concat(F.coalesce(F.concat(F.lit("0"), own.cast("string")), F.lit("1")), F.lit("/"), F.md5(F.coalesce("text", F.lit(""))))
+    return F.concat(own.cast("string"), F.lit("/"), F.md5(F.coalesce("text", F.lit(""))))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies.
 
     Documents are told apart by id and text: of rows that agree in both one stays, rows
-    that share an id or have none but differ in their texts are documents of their own.
+    that share an id but differ in their texts are documents of their own. Rows without
+    an id can't be named as copies, and all stay.
     """
     key = _text_key(docs)
     found = near_dedup.near_duplicates(docs.select(key.alias("_key"), "text"), "_key", NEAR_PERCENT)
     rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     gone = common.cut(found.filter("not kept").select("_key").distinct())
     kept = rows.join(common.lookup(gone), "_key", "left_anti")
-    again = common.cut(found.filter("kept").groupBy("_key").count().filter("count > 1").select("_key"))
+    again = common.cut(found.filter("kept AND _key IS NOT NULL").groupBy("_key").count().filter("count > 1").select("_key"))
     if not again.take(1):
         return kept.select("_row.*")
     once = kept.join(again, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
