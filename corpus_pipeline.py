@@ -39,8 +39,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _text_key(docs: DataFrame) -> Column:
-    """One key for each pair of an id and a text, in the order of the ids; null without an id."""
+    """One key for each pair of an id and a text, in the order of the ids; null without an id.
+
+    Where no id repeats, the id tells its text, and is a key that sketches and pairs carry for less.
+    """
     own = F.col("doc_id")
+    if not docs.filter(own.isNotNull()).groupBy("doc_id").count().filter("count > 1").take(1):
+        return own
     if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
         own = F.lpad(F.hex(own.cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
     return F.concat(own.cast("string"), F.lit("/"), F.md5(F.coalesce("text", F.lit(""))))
