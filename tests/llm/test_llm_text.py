@@ -137,6 +137,24 @@ def test_urls_against_brute_force(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_url_query_takes_the_verdicts_of_its_rules(spark, tmp_path):
+    import duckdb
+
+    from lumiquery.llm import oracle, queries
+
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"), "http://www.Example.com/en/77": ("example.com/en/7", "allow"), "http://example.com/en/6": ("com/en/", "block"),
+        "http://net/de/": ("net/de/", "allow"), "http://a.net/de/8": ("net/de/", "allow"), "http://x.example.net/de/8": ("example.net/de/8", "block"), "http://example.net/de/9": ("net/de/", "allow"),
+        "http://b.org/es/?q": ("org/es/", "block"), "http://b.org/en/": (None, "allow"),
+    }
+    spark.createDataFrame([(k, u, "") for k, u in enumerate(want)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r["rule"], r["verdict"]) for r in queries.op2_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == list(want.values())
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert con.sql(f"select rule, verdict from ({oracle.oracle_sql()['op2_url_filter']}) order by page_id").fetchall() == got
+
+
 def test_quality_rules_counts(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice(["a b", "c ", "\n", "x", "#", "$ ", "a b c ", "\t", "é "]) for _ in range(rnd.randint(0, 80))) for _ in range(60)] + EDGES
