@@ -72,3 +72,23 @@ def test_few_and_no_references(spark):
     assert neighbours.top_k_sets(q, r.limit(0), 5).collect() == [] and neighbours.top_k_sets(q.limit(0), r, 5).collect() == []
     no_id = spark.createDataFrame([(None, [1]), (4, [1])], "candidate_id long, bits array<int>")
     assert found(neighbours.top_k_sets(no_id, r, 1)) == [(4, 1, 0.5, 1)]
+
+
+def test_dissimilar_sets_leave_few_pairs(spark):
+    rnd = random.Random(5)
+    refs = {i: set(rnd.sample(range(2048), rnd.randint(30, 90))) | {b for b in range(9) if rnd.random() < 0.6} for i in range(2_500)}
+    asked = {i: refs[i] for i in range(0, 2_500, 50)}
+    q, r = frame(spark, "candidate_id", asked), frame(spark, "reference_id", refs)
+    assert found(neighbours.top_k_sets(q, r, 5, exclude_self=True)) == brute(asked, refs, 5, True)
+    pairs = neighbours.compared_pairs(q.withColumnRenamed("candidate_id", "_q"), r.withColumnRenamed("reference_id", "_r"), 5, True)
+    assert pairs.count() <= 0.02 * len(asked) * len(refs)
+
+
+def test_sets_in_many_cells(spark, monkeypatch):
+    refs = families(4, 600)
+    asked = {i: refs[i] for i in range(0, 600, 20)}
+    monkeypatch.setattr(neighbours, "BLOCK_BITS", 400)
+    monkeypatch.setattr(neighbours, "SCORES", 50)
+    named = lambda df, c: df.selectExpr(f"concat('m', {c}) AS {c}", "bits")
+    got = found(neighbours.top_k_sets(named(frame(spark, "candidate_id", asked), "candidate_id"), named(frame(spark, "reference_id", refs), "reference_id"), 3, exclude_self=True))
+    assert got == brute({f"m{i}": s for i, s in asked.items()}, {f"m{i}": s for i, s in refs.items()}, 3, True)
