@@ -25,6 +25,8 @@ from .ordering import cut
 
 #: Rows of (node, feature) that a job sends to the driver at most.
 CELLS = 400_000
+#: Rows whose numbers a task holds at once, but at least an Arrow batch.
+BLOCK_ROWS = 65_536
 STATS = "tree int, node int, feature int, n long, s double, ss double, low double, high double, n_left long, s_left double"
 
 #: Where in its range a feature is cut, from 0 to 1: of a tree, its node numbers, features and attempt.
@@ -53,7 +55,7 @@ class _Growing:
 
 
 def node_sums(x: np.ndarray, y: np.ndarray, tree: Tree, nodes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums over some rows for the open nodes (sorted) that they reach: the node, and for each feature what ``STATS`` lists."""
+    """Sums over some rows for the open nodes (sorted) that they reach: the node's place, and for each feature what ``STATS`` lists."""
     at = tree.leaves(x)
     place = np.searchsorted(nodes, at)
     rows = np.flatnonzero((place < len(nodes)) & (nodes[np.minimum(place, len(nodes) - 1)] == at))
@@ -65,7 +67,46 @@ def node_sums(x: np.ndarray, y: np.ndarray, tree: Tree, nodes: np.ndarray, cuts:
     is_left = part < cuts[place[rows]]
     total = lambda a: np.add.reduceat(a, first, axis=0)
     n = np.diff([*first, len(rows)])
-    return nodes[k], n, total(label), total(label * label), np.minimum.reduceat(part, first), np.maximum.reduceat(part, first), total(is_left.astype(np.int64)), total(is_left * label[:, None])
+    return k, n, total(label), total(label * label), np.minimum.reduceat(part, first), np.maximum.reduceat(part, first), total(is_left.astype(np.int64)), total(is_left * label[:, None])
+
+
+class _Sums:
+    """What ``STATS`` lists of a tree's open nodes, over any number of blocks of rows."""
+
+    def __init__(self, nodes: int, features: int) -> None:
+        wide = (nodes, features)
+        self.n, self.s, self.ss = np.zeros(nodes, np.int64), np.zeros(nodes), np.zeros(nodes)
+        self.low, self.high, self.n_left, self.s_left = np.full(wide, np.inf), np.full(wide, -np.inf), np.zeros(wide, np.int64), np.zeros(wide)
+
+    def add(self, k: np.ndarray, n: np.ndarray, s: np.ndarray, ss: np.ndarray, low: np.ndarray, high: np.ndarray, n_left: np.ndarray, s_left: np.ndarray) -> None:
+        for to, x in ((self.n, n), (self.s, s), (self.ss, ss), (self.n_left, n_left), (self.s_left, s_left)):
+            to[k] += x
+        self.low[k], self.high[k] = np.minimum(self.low[k], low), np.maximum(self.high[k], high)
+
+    def rows(self, t: int, nodes: np.ndarray) -> pa.RecordBatch:
+        met = np.flatnonzero(self.n)
+        d = self.low.shape[1]
+        wide = [np.full(len(met) * d, t, np.int32), np.repeat(nodes[met], d).astype(np.int32), np.tile(np.arange(d, dtype=np.int32), len(met))]
+        wide += [np.repeat(c[met], d) for c in (self.n, self.s, self.ss)] + [c[met].ravel() for c in (self.low, self.high, self.n_left, self.s_left)]
+        return pa.record_batch([pa.array(c) for c in wide], ["tree", "node", "feature", "n", "s", "ss", "low", "high", "n_left", "s_left"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of so many rows or a batch more as one block of numbers each, the first as a matrix."""
+    held: list[pa.RecordBatch] = []
+
+    def block() -> list[np.ndarray]:
+        x = np.concatenate([b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in held])
+        return [x, *(np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in range(1, held[0].num_columns))]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield block()
+            held = []
+    if held:
+        yield block()
 
 
 def level_sums(data: DataFrame, trees: dict[int, tuple[Tree, np.ndarray, np.ndarray]]) -> DataFrame:
@@ -73,16 +114,14 @@ def level_sums(data: DataFrame, trees: dict[int, tuple[Tree, np.ndarray, np.ndar
     made = data.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
-        if not held:
-            return
-        x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        for t, (tree, nodes, cuts) in made.value.items():
-            if found := node_sums(x, y, tree, nodes, cuts):
-                node, n, s, ss, *by_feature = found
-                d = x.shape[1]
-                wide = [np.full(len(node) * d, t, np.int32), np.repeat(node, d).astype(np.int32), np.tile(np.arange(d, dtype=np.int32), len(node)), *(np.repeat(c, d) for c in (n, s, ss)), *(c.ravel() for c in by_feature)]
-                yield pa.record_batch([pa.array(c) for c in wide], ["tree", "node", "feature", "n", "s", "ss", "low", "high", "n_left", "s_left"])
+        sums = {t: _Sums(*cuts.shape) for t, (_, _, cuts) in made.value.items()}
+        for x, y in _blocks(batches, BLOCK_ROWS):
+            for t, (tree, nodes, cuts) in made.value.items():
+                if found := node_sums(x, y, tree, nodes, cuts):
+                    sums[t].add(*found)
+        for t, (_, nodes, _) in made.value.items():
+            if sums[t].n.any():
+                yield sums[t].rows(t, nodes)
 
     parts = data.select("x", "y").mapInArrow(run, STATS)
     return parts.groupBy("tree", "node", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_left").alias("n_left"), F.sum("s_left").alias("s_left"))
@@ -119,8 +158,8 @@ def fit_extra_trees(df: DataFrame, features: list[str], label: str, trees: int =
     """Extra trees on all rows without missing values; ``learners.predict`` applies them.
 
     A tree has at most ``2 ** max_depth`` leaves, so trees are small whatever the rows.
-    Rows of a partition are held as one block of numbers while their sums are made. Without rows
-    there are no trees.
+    A task holds ``BLOCK_ROWS`` rows at once, and the sums of the open nodes. Without rows there
+    are no trees.
     """
     draw = draw or random_draw(seed)
     numbers = [F.col(c).cast("double") for c in features]

@@ -44,6 +44,26 @@ def test_trees_in_any_partitions_and_jobs(spark, monkeypatch):
         assert (a.feature == b.feature).all() and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
 
 
+def test_trees_hold_few_rows_of_a_partition(spark, monkeypatch):
+    df, _, _ = table(spark, 2_000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    before = forest.fit_extra_trees(df.coalesce(1), NAMES, "y", trees=2, max_depth=4)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 200, raising=False)
+    sums, most = forest.node_sums, 300
+
+    def few(x, *more):  # tasks take it along, so a larger block fails them
+        assert len(x) <= most, f"{len(x)} rows at once"
+        return sums(x, *more)
+
+    monkeypatch.setattr(forest, "node_sums", few)
+    try:
+        after = forest.fit_extra_trees(df.coalesce(1), NAMES, "y", trees=2, max_depth=4)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for a, b in zip(before, after, strict=True):
+        assert (a.feature == b.feature).all() and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
+
+
 def test_trees_of_odd_tables(spark):
     schema = "a double, b double, y double"
     rows = [(1.0, None, 5.0), (2.0, 1.0, None), (1.0, 1.0, 3.0), (1.0, 1.0, 5.0), (1.0, 1.0, 4.0)]
