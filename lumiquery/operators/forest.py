@@ -1,6 +1,7 @@
 """Extremely randomized trees on all rows, grown level by level.
 
-A level is one aggregate: tasks walk their rows down the trees that exist so far, and sum,
+Equal rows are counted first, and weigh as many: columns of few values leave few rows, whatever
+the table's size. A level is one aggregate: tasks walk their rows down the trees that exist so far, and sum,
 for each open node and feature, the rows on the left of one random cut, their labels, and
 the feature's range in the node. The driver sees one row for each open node and feature,
 picks the best cut of each node, and broadcasts the grown trees; all trees of a level
@@ -54,20 +55,22 @@ class _Growing:
         return len(self.value) - 1
 
 
-def node_sums(x: np.ndarray, y: np.ndarray, tree: Tree, nodes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums over some rows for the open nodes (sorted) that they reach: the node's place, and for each feature what ``STATS`` lists."""
+def node_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, tree: Tree, nodes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums over some weighted rows for the open nodes (sorted) that they reach: the node's place, and for each feature what ``STATS`` lists."""
     at = tree.leaves(x)
     place = np.searchsorted(nodes, at)
     rows = np.flatnonzero((place < len(nodes)) & (nodes[np.minimum(place, len(nodes) - 1)] == at))
     if not len(rows):
         return ()
+    place = place.astype(np.uint16 if len(nodes) < 2**16 else np.int64)  # short numbers are sorted by their digits
     rows = rows[np.argsort(place[rows], kind="stable")]
-    k, first = np.unique(place[rows], return_index=True)
-    part, label = x[rows], y[rows]
-    is_left = part < cuts[place[rows]]
+    place = place[rows]
+    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+    part, label, w = x[rows], y[rows], weight[rows]
+    is_left = part < cuts[place]
     total = lambda a: np.add.reduceat(a, first, axis=0)
-    n = np.diff([*first, len(rows)])
-    return k, n, total(label), total(label * label), np.minimum.reduceat(part, first), np.maximum.reduceat(part, first), total(is_left.astype(np.int64)), total(is_left * label[:, None])
+    wy = w * label
+    return place[first], total(w), total(wy), total(wy * label), np.minimum.reduceat(part, first), np.maximum.reduceat(part, first), total(is_left * w[:, None]), total(is_left * wy[:, None])
 
 
 class _Sums:
@@ -110,20 +113,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.nd
 
 
 def level_sums(data: DataFrame, trees: dict[int, tuple[Tree, np.ndarray, np.ndarray]]) -> DataFrame:
-    """``STATS`` of some trees' open nodes over all rows of ``x`` (an array) and ``y``."""
+    """``STATS`` of some trees' open nodes over all rows of ``x`` (an array), ``y`` and the row's weight ``w``."""
     made = data.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {t: _Sums(*cuts.shape) for t, (_, _, cuts) in made.value.items()}
-        for x, y in _blocks(batches, BLOCK_ROWS):
+        for x, y, w in _blocks(batches, BLOCK_ROWS):
             for t, (tree, nodes, cuts) in made.value.items():
-                if found := node_sums(x, y, tree, nodes, cuts):
+                if found := node_sums(x, y, w, tree, nodes, cuts):
                     sums[t].add(*found)
         for t, (_, nodes, _) in made.value.items():
             if sums[t].n.any():
                 yield sums[t].rows(t, nodes)
 
-    parts = data.select("x", "y").mapInArrow(run, STATS)
+    parts = data.select("x", "y", "w").mapInArrow(run, STATS)
     return parts.groupBy("tree", "node", "feature").agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")], F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n_left").alias("n_left"), F.sum("s_left").alias("s_left"))
 
 
@@ -163,7 +166,9 @@ def fit_extra_trees(df: DataFrame, features: list[str], label: str, trees: int =
     """
     draw = draw or random_draw(seed)
     numbers = [F.col(c).cast("double") for c in features]
-    data = cut(df.select(F.array(*numbers).alias("x"), F.col(label).cast("double").alias("y"), *[c.alias(f"_f{k}") for k, c in enumerate(numbers)]).na.drop().select("x", "y"))
+    names = [f"_f{k}" for k in range(len(features))]
+    rows = df.select(*[c.alias(n) for n, c in zip(names, numbers, strict=True)], F.col(label).cast("double").alias("y")).na.drop()
+    data = cut(rows.groupBy(*names, "y").agg(F.count(F.lit(1)).alias("w")).select(F.array(*names).alias("x"), "y", "w"))
     ranges = data.select(*[f(F.col("x")[k]).alias(f"{name}{k}") for k in range(len(features)) for f, name in ((F.min, "l"), (F.max, "h"))]).first()
     if ranges is None or ranges[0] is None:
         return []

@@ -64,6 +64,24 @@ def test_trees_hold_few_rows_of_a_partition(spark, monkeypatch):
         assert (a.feature == b.feature).all() and np.allclose(a.cut, b.cut) and np.allclose(a.value, b.value)
 
 
+def test_trees_count_equal_rows_once(spark, monkeypatch):
+    few, x, y = table(spark, 500)
+    many = few.unionAll(few).unionAll(few.filter("id % 3 = 0")).repartition(4)
+    sums = forest.level_sums
+    seen = []
+    monkeypatch.setattr(forest, "level_sums", lambda data, trees: seen.append(data.count()) or sums(data, trees))
+    trees = forest.fit_extra_trees(many, NAMES, "y", trees=2, max_depth=4)
+    assert seen and max(seen) == 500
+    weight = 2 + (np.arange(500) % 3 == 0)
+    for t in trees:
+        at = t.leaves(x)
+        for leaf in np.unique(at):
+            assert abs(t.value[leaf] - np.average(y[at == leaf], weights=weight[at == leaf])) < 1e-9
+    # as many rows as a leaf must have may be one row that stands for them
+    pair = spark.createDataFrame([(0.0, 1.0)] * 2 + [(1.0, 5.0)] * 2, "a double, y double")
+    assert [sorted(t.value) for t in forest.fit_extra_trees(pair, ["a"], "y", trees=1)] == [[1.0, 3.0, 5.0]]
+
+
 def test_trees_of_odd_tables(spark):
     schema = "a double, b double, y double"
     rows = [(1.0, None, 5.0), (2.0, 1.0, None), (1.0, 1.0, 3.0), (1.0, 1.0, 5.0), (1.0, 1.0, 4.0)]
