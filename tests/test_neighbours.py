@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import pytest
 
 from lumiquery.operators import neighbours
+from lumiquery.plans import registry
 
 
 def tanimoto(a, b):
@@ -92,3 +94,14 @@ def test_sets_in_many_cells(spark, monkeypatch):
     named = lambda df, c: df.selectExpr(f"concat('m', {c}) AS {c}", "bits")
     got = found(neighbours.top_k_sets(named(frame(spark, "candidate_id", asked), "candidate_id"), named(frame(spark, "reference_id", refs), "reference_id"), 3, exclude_self=True))
     assert got == brute({f"m{i}": s for i, s in asked.items()}, {f"m{i}": s for i, s in refs.items()}, 3, True)
+
+
+def test_every_turn_is_a_candidate(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(c, t, " ".join(rnd.choices("abcdefghijkl", k=rnd.randint(0, 9)))) for c in range(40, 61) for t in range(rnd.randint(1, 4))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in registry.queries()["knn_sets_payload"](spark, str(tmp_path)).collect())
+    assert [r[0] for r in got] == sorted(c * 1000 + t for c, t, _ in rows)
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == sorted(con.sql(registry.oracle_sql()["knn_sets_payload"]).fetchall())
