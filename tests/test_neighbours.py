@@ -105,3 +105,10 @@ def test_every_turn_is_a_candidate(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert got == sorted(con.sql(registry.oracle_sql()["knn_sets_payload"]).fetchall())
+
+
+def test_sets_among_themselves(spark, monkeypatch):
+    sets = families(9, 300) | {400: set(), 401: set(), 402: {7}}
+    monkeypatch.setattr(neighbours, "BLOCK_BITS", 4_000)
+    monkeypatch.setattr(neighbours, "GROUP", 3)
+    assert found(neighbours.top_k_sets(frame(spark, "candidate_id", sets), None, 4, exclude_self=True)) == brute(sets, sets, 4, True)
